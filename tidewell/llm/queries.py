@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality
+from . import line_quality, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,4 +19,10 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), *line_quality.PROFILE, "left_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality,)}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of four-word shingles, linked at four bits."""
+    near = simhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, max_bits=4)
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_simhash)}
