@@ -28,4 +28,34 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND left_words >= 50 AND 100 * left_words >= 30 * n_words AS kept FROM f
 """
 
-ORACLES = {"op1_line_quality": OP1}
+OP5 = rf"""
+WITH d AS (SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '{_W}')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM s),
+c AS (SELECT *, [3, 1, 2][(k - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS total FROM r),
+o AS (SELECT *, row_number() OVER u AS pos,
+             (total - coalesce(sum(cap) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+             / (sum(w) OVER () - coalesce(sum(w) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+      FROM c WINDOW u AS (ORDER BY cap / w, k)),
+t AS (SELECT source, source_size, least(cap, w * (SELECT level FROM o WHERE level <= cap / w ORDER BY pos LIMIT 1)) AS target FROM o),
+p AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS rate,
+             ('0x' || substr(md5('7 ' || coalesce(d.doc_id::VARCHAR, 'text ' || md5(d.text), 'none')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, ((floor(rate) + (u < rate - floor(rate))::INT) * size)::BIGINT AS taken FROM p
+"""
+
+OP6 = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS u,
+                  coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+site(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+pat(pos, pattern) AS (VALUES (0, '^[a-z]+://([^/?#]*\.)?spam-farm\.'), (1, '://[^/?#]*\bcasino\b'), (2, '[?&]utm_source=feed(&|#|$)'),
+    (3, '/ads?/banner\b'), (4, '://[^/?#]*\bbuy-(pills|followers)\b'), (5, '/(trackback|xmlrpc)\.php(\?|#|$)'),
+    (6, '[?&]sessionid=[0-9a-f]{16,}'), (7, '/free-download/.*\.exe(\?|#|$)')),
+j AS (SELECT *, (SELECT h || s.p FROM site s WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, s.p) ORDER BY len(h || s.p) DESC LIMIT 1) AS rule,
+             (SELECT pattern FROM pat WHERE regexp_matches(u, pattern) ORDER BY pos LIMIT 1) AS hit FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN hit END AS pattern,
+       CASE WHEN rule IS NOT NULL THEN (SELECT verdict FROM site s WHERE h || s.p = rule) WHEN hit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
+ORACLES = {"op1_line_quality": OP1, "op5_mixing": OP5, "op6_url_rules": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, simhash
+from . import line_quality, mixing, simhash, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,4 +25,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_simhash)}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes, and its source's size and target."""
+    plan = mixing.plan_mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return plan.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site and pattern rules' verdicts on every page's URL."""
+    judged = url_rules.judge(_read(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "pattern", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_simhash, op5_mixing, op6_url_rules)}
