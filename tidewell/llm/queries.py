@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, mixing, packing, simhash, url_rules
+from . import line_quality, logbilinear, mixing, packing, simhash, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,4 +44,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_simhash, op5_mixing, op6_url_rules, op8_packing)}
+def op10_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear scores of every document, learned from six sevenths of them."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
+    counts, lex, model = logbilinear.fit(docs.where("not held_out"))
+    out = logbilinear.score(docs, counts, lex, model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op3_simhash, op5_mixing, op6_url_rules, op8_packing, op10_logbilinear)}
