@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, logbilinear, mixing, packing, simhash, url_rules
+from . import cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,4 +53,21 @@ def op10_logbilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op3_simhash, op5_mixing, op6_url_rules, op8_packing, op10_logbilinear)}
+def op2_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the labelled ones."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    return cross_parsing.identify(docs, cross_parsing.fit(docs.where("not held_out")), ["doc_id", "held_out"])
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    found = license_scan.scan(_read(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["start"])
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), score.alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op5_mixing, op6_url_rules, op8_packing, op9_license_scan, op10_logbilinear)}
