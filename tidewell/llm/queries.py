@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, url_rules
+from . import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, url_rules
+from .common import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -70,4 +71,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), score.alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op5_mixing, op6_url_rules, op8_packing, op9_license_scan, op10_logbilinear)}
+def op7_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    quantiser = anisotropic.fit(vectors)
+    if quantiser is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    indexed = cut(anisotropic.index(vectors, quantiser))
+    return anisotropic.search(indexed, F.col("vec_id") % 50 == 0, quantiser)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op5_mixing, op6_url_rules, op7_anisotropic, op8_packing, op9_license_scan, op10_logbilinear)}
