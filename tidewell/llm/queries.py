@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, url_rules
+from . import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, suffix_index, url_rules
 from .common import cut
 
 
@@ -27,6 +27,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 200 bytes that repeat."""
+    out = suffix_index.without_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.coalesce("kept", F.lit(b""))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length(kept)).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, and its source's size and target."""
     plan = mixing.plan_mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -81,4 +88,4 @@ def op7_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.search(indexed, F.col("vec_id") % 50 == 0, quantiser)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op5_mixing, op6_url_rules, op7_anisotropic, op8_packing, op9_license_scan, op10_logbilinear)}
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op4_suffix_index, op5_mixing, op6_url_rules, op7_anisotropic, op8_packing, op9_license_scan, op10_logbilinear)}
