@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not new.where("moved").limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet into the cluster's shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        cut(spark.range(0).toDF("id"))  # sets the folder of a local session
+    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
