@@ -9,8 +9,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.cluster import shared_table
 from tidewell.llm import line_quality, mixing, packing, simhash, suffix_index
-from tidewell.llm.common import shared_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
