@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut
+from ..cluster import cut
 
 SCALE = 4096  # of the tables' whole numbers
 

@@ -1,13 +1,12 @@
-"""What several operators share: reliable cuts of the lineage, word rules, connected components."""
+"""What several operators share: word rules and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import cut
+
 #: ASCII white space that separates words.
 SPACE = "\\x20\\x09-\\x0D"
 WORD = f"[^{SPACE}]+"
@@ -25,24 +24,6 @@ def n_words(c):
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the cluster's shared checkpoint folder.
-
-    A lost executor doesn't lose these rows. Only a plain local session without the setting gets a folder
-    of its own.
-    """
-    sc = SparkSession.getActiveSession().sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidewell-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges``; root is the smallest node that it reaches.
 
@@ -62,14 +43,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not new.where("moved").limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
-
-
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet into the cluster's shared checkpoint folder and read again."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut(spark.range(0).toDF("id"))  # sets the folder of a local session
-    path = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SPACE, cut, n_words
+from ..cluster import cut
+from .common import SPACE, n_words
 
 
 @dataclass(frozen=True)

@@ -24,7 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from ..cluster import cut
+from .common import n_words
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), volume: float = 1.5, max_rate: float = 2.0) -> DataFrame:

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from . import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, suffix_index, url_rules
-from .common import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER_BYTES, connected_components, cut, partitions
+from ..cluster import cut, partitions
+from .common import LOWER_BYTES, connected_components
 
 SEED = 42
 

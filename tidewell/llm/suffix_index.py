@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from .common import partitions
+from ..cluster import partitions
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
