@@ -8,6 +8,7 @@ sees only those bytes, so two equal strings of ``length`` bytes have a sampled p
 1. Each text's sampled places are found by rolling hashes and sliding minima (numpy, no loop over bytes). Places whose
    core's hash occurs once can't be in a repeated string; the rest, sorted by hash, are told from their neighbours.
 2. The texts with such places give each place's context: ``length`` bytes from it, and up to length - core bytes before.
+   A task sends equal contexts once; that they are equal settles their own places at once.
 3. Contexts are dealt out by core. Each task keeps a family of sorted levels: a new batch gets its suffix array, is
    merge-scanned with the suffixes of all levels that share a core with it, and becomes a level; levels of equal size merge,
    so there are about log2(batches) of them.
@@ -16,8 +17,8 @@ sees only those bytes, so two equal strings of ``length`` bytes have a sampled p
    class of both orders: neighbours that share length - x bytes, and neighbours that share x. The smallest and largest such x give
    the interval of the text that goes; repeats of thousands of texts cost a sort, not their pairs.
 
-Texts travel once, by document, and contexts once, by core. Within a task a core's contexts are in memory, ``length`` and
-length - core bytes each.
+Texts travel once, by document, and contexts once, by core. The different contexts of a core meet in one task: copies of a
+passage are few of them (one for each task that has some), its edges as many as what they stand next to.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings are judged on the input, whatever
 else is removed; overlaps within one text count; repeated rows are texts of their own and so repeat each other; an empty
@@ -31,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
@@ -219,26 +221,59 @@ def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield held
 
 
-def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The contexts of the places of (k1, k2, row, bytes, places)."""
+def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int, step: int = 4096, remember: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """The contexts of the places of (k1, k2, row, bytes, places), each different one once for the task.
+
+    A context that comes again repeats all its strings, so its places are settled here: their spans go on as rows
+    without a context, (k1, k2, start, any, size), which are dealt out by document.
+    """
     ahead, behind = np.arange(length), np.arange(before)
+    seen: dict[bytes, tuple | None] = {}  # the first place, until its span is sent
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        nonlocal out
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+        cols = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)]
+        out = []
+        return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "at", "core", "n_after", "n_before", "context"])
+
+    def settled(k1: int, k2: int, at: int, n_after: int, n_before: int) -> tuple:
+        least = max(0, length - n_after)
+        return k1, k2, at - n_before, k1 ^ at, n_before + length - least, None, None
+
     for b in batches:
         for i in range(b.num_rows):
+            k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
             data, found = np.frombuffer(b.column(3)[i].as_py(), np.uint8), b.column(4)[i].values
-            places, cores = found.field("at").to_numpy(), found.field("core")
+            places, all_cores = found.field("at").to_numpy(), found.field("core").to_numpy()
             for lo in range(0, len(places), step):
-                at = places[lo : lo + step]
+                at, cores = places[lo : lo + step], all_cores[lo : lo + step]
                 n_before, n_after = np.minimum(at, before), np.minimum(len(data) - at, length)
                 follow = np.where(ahead < n_after[:, None], data[np.minimum(at[:, None] + ahead, len(data) - 1)], 0)
                 precede = np.where(behind < n_before[:, None], data[np.maximum(at[:, None] - 1 - behind, 0)], 0)
-                block = np.concatenate((follow, precede), axis=1).astype(np.uint8)
-                keys = [pa.array(np.full(len(at), b.column(c)[i].as_py(), np.int64)) for c in range(2)]
-                raw = pa.array([r.tobytes() for r in block], pa.binary())
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), cores.slice(lo, step), pa.array(n_after.astype(np.int32)), pa.array(n_before.astype(np.int32)), raw], ["k1", "k2", "at", "core", "n_after", "n_before", "context"])
+                raw = np.concatenate((follow, precede), axis=1).astype(np.uint8).tobytes()
+                width = length + before
+                for r, place in enumerate(zip(at.tolist(), n_after.tolist(), n_before.tolist())):
+                    context = raw[r * width : r * width + width]
+                    name = xxhash.xxh3_128_digest(context + b"%d %d" % place[1:])
+                    if name not in seen:
+                        if len(seen) >= remember:
+                            seen.clear()
+                        seen[name] = (k1, k2, *place)
+                        out.append((k1, k2, place[0], int(cores[r]), *place[1:], context))
+                    else:
+                        out.append(settled(k1, k2, *place))
+                        if first := seen[name]:
+                            out.append(settled(*first))
+                            seen[name] = None
+                    if len(out) >= step:
+                        yield flush()
+    yield flush()
 
 
 def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, size: int) -> Iterator[pa.RecordBatch]:
-    """What goes, (k1, k2, start, stop), by all contexts of a task."""
+    """What goes, (k1, k2, start, stop), by all contexts of a task, and the spans that were settled before."""
     family, names, waiting, rows = Family(length, before), [], [], 0
 
     def take() -> None:
@@ -248,8 +283,13 @@ def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, si
         names.append([t.column(c).to_numpy() for c in range(3)])
 
     for b in batches:
-        waiting.append(b)
-        rows += b.num_rows
+        there = b.column(6).is_valid()
+        done = b.filter(pa.compute.invert(there))
+        if done.num_rows:
+            sizes = done.column(4).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*done.columns[:3], pa.compute.add(done.column(2), sizes)], ["k1", "k2", "start", "stop"])
+        waiting.append(b.filter(there))
+        rows += waiting[-1].num_rows
         if rows >= size:
             take()
             waiting, rows = [], 0
