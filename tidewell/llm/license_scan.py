@@ -114,11 +114,19 @@ class Index:
             for t, q in self.postings[w]:
                 for i in places[w]:
                     votes[t, i - q].add(w)
+        notices = []
         for (t, start), voters in votes.items():
-            label, template, _ = self.templates[t]
+            _, template, _ = self.templates[t]
             if len(voters) >= min(self.min_votes, len(set(template))) and self._verified(words, t, start):
                 inside = sum(0 <= start + q < len(words) and words[start + q] == w for q, w in enumerate(template))
-                found.append({"label": label, "start": max(start, 0), "length": len(template), "base": False, "score": inside / len(template)})
+                notices.append((inside / len(template), t, start))
+        taken = set()
+        for score, t, start in sorted(notices, key=lambda x: (-x[0], x[1:])):
+            # One key phrase verifies several starts within the slack: the best of them counts.
+            if not any((t, start + d) in taken for d in range(-2 * self.slack, 2 * self.slack + 1)):
+                taken.add((t, start))
+                label, template, _ = self.templates[t]
+                found.append({"label": label, "start": max(start, 0), "length": len(template), "base": False, "score": score})
         return sorted(found, key=lambda s: (s["start"], s["label"]))
 
     def _verified(self, words: list[bytes], t: int, start: int) -> bool:
