@@ -18,7 +18,6 @@ adds are computed beside the document's own columns and never replace one of the
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -79,14 +78,6 @@ def with_kept_lines(docs: DataFrame, text: str = "text", host: str = "host", lim
     return rows.select("row", F.when(F.col("over").isNull(), own).otherwise(left).alias("left"))
 
 
-def text_profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the last column, a text as bytes, by the rules' counts."""
-    for batch in batches:
-        counts = [_profile(b or b"") for b in batch.column(batch.num_columns - 1).to_pylist()]
-        cols = [pa.array([c[i] for c in counts], pa.int64()) for i in range(5)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], *PROFILE])
-
-
 PROFILE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SPACES, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
@@ -113,12 +104,18 @@ def _in_repeats(words: list[bytes]) -> int:
     return covered
 
 
+def text_profile(texts: pa.Array) -> pa.Array:
+    """The rules' counts of texts as bytes; only the bytes go to Python, the rows' other columns stay."""
+    counts = [_profile(x.as_py() or b"") for x in texts]
+    return pa.StructArray.from_arrays([pa.array([c[i] for c in counts], pa.int64()) for i in range(len(PROFILE))], list(PROFILE))
+
+
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "host", limits: LineLimits = LineLimits()) -> DataFrame:
     """Each document's ``row``, its counts, the words left without frequent lines, and the verdict."""
     rows = with_kept_lines(docs, text, host, limits)
-    rows = rows.select("row", "left", n_words(F.col("left")).alias("left_words"), F.col("row").getField(text).cast("binary").alias("bytes"))
-    schema = StructType([*rows.schema.fields[:-1], *(StructField(c, LongType()) for c in PROFILE)])
-    return _judged(rows.mapInArrow(text_profile, schema), limits)
+    profile = F.arrow_udf(text_profile, StructType([StructField(c, LongType()) for c in PROFILE]))
+    counted = rows.select("row", "left", n_words(F.col("left")).alias("left_words"), profile(F.col("row").getField(text).cast("binary")).alias("p"))
+    return _judged(counted.select("row", "left", "left_words", "p.*"), limits)
 
 
 def _judged(counted: DataFrame, limits: LineLimits) -> DataFrame:
