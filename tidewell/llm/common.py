@@ -24,22 +24,24 @@ def n_words(c):
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """``(node, root)`` for every node of ``edges``; root is the smallest node that it reaches.
+def connected_components(edges: DataFrame, names: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+    """``(node, root, name)`` for every node of ``edges``, from ``names`` (node, name), which has each node once.
 
-    Each round sends every edge's smaller label to both ends and then follows the label's own label, so a
-    path of n edges takes about log2(n) rounds. Labels meet in a partial aggregate, so a node with very many
-    edges costs each task one row. Self loops are allowed, null ends are ignored.
+    name is the smallest one in the node's component, null last, and root the node that has it, the smallest of several.
+    Each round sends the smaller (name, node) over every edge and then follows the label's node to its own label, so a path of
+    n edges takes about log2(n) rounds. Labels meet in a partial aggregate, so a node with very many edges costs each task
+    one row, and what is joined on a shared root is a plain shuffle that Spark can split. Null ends are ignored.
     """
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = cut(both.union(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")).select(F.col("x").alias("node"), F.col("l").alias("root")))
+    own = F.struct(F.col("name").isNull().alias("none"), F.col("name").alias("name"), F.col("node").alias("root"))
+    labels = cut(names.join(both.select(F.col("x").alias("node")).distinct(), "node", "left_semi").select("node", own.alias("l")))
     for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("y"), "root"), "y").groupBy("x").agg(F.min("root").alias("near"))
-        step = labels.join(seen.withColumnRenamed("x", "node"), "node").select("node", "root", F.least("root", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
-        new = cut(step.join(jump, "next").select("node", F.least("next", "far").alias("root"), (F.least("next", "far") < F.col("root")).alias("moved")))
-        labels = new.select("node", "root")
-        if not new.where("moved").limit(1).count():
-            return labels
+        near = both.join(labels.select(F.col("node").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("near"))
+        step = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", "l", F.least("l", "near").alias("next"))
+        jump = labels.select(F.col("node").alias("of"), F.col("l").alias("far"))
+        new = cut(step.join(jump, F.col("next.root") == F.col("of")).select("node", F.least("next", "far").alias("new"), "l"))
+        labels = new.select("node", F.col("new").alias("l"))
+        if not new.where(F.col("new.root") != F.col("l.root")).limit(1).count():
+            return labels.select("node", "l.root", "l.name")
     raise RuntimeError("components did not settle")

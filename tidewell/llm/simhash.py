@@ -200,15 +200,15 @@ def _dealt_again(ring: Ring, start: int, fps: np.ndarray, max_bucket: int) -> tu
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
     """``(doc_id, text_hash, fp, root, component_id)`` for every row.
 
-    root is the component's smallest fingerprint, component_id the smallest id that links reach.
+    component_id is the smallest id that links reach, and root a fingerprint of the component that has it.
     """
     fps = cut(fingerprints(docs, doc_id, text, shingle))
-    unique = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(unique, max_bits))
-    named = cut(unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "root").select(F.col("fp").alias("f"), "root", "component_id")
-    return fps.join(classes, F.col("fp") == F.col("f"), "left").drop("f")
+    unique = fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("name"))
+    linked = connected_components(links(unique.withColumnRenamed("node", "fp"), max_bits), unique)
+    linked = linked.select("node", "root", F.col("name").alias("smallest"))
+    known = F.col("root").isNotNull()
+    classes = cut(unique.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(known, F.col("smallest")).otherwise(F.col("name")).alias("component_id")))
+    return fps.join(classes, F.col("fp") == F.col("node"), "left").drop("node")
 
 
 def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
