@@ -77,7 +77,8 @@ def _index(spark, entries: Sequence[tuple[str, dict]], kind: str) -> tuple[Colum
     """A constant array of buckets, each with the entries whose key's hash names it."""
     n = 1 << max(4, len(entries).bit_length() + 1)
     keys = sorted({k for k, _ in entries})
-    slots = {r["k"]: r["b"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", _bucket(F.col("k"), n).alias("b")).collect()} if keys else {}
+    listed = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("k"))
+    slots = {r["k"]: r["b"] for r in listed.select("k", _bucket(F.col("k"), n).alias("b")).collect()}
     buckets: list[list[dict]] = [[] for _ in range(n)]
     for key, entry in entries:
         buckets[slots[key] - 1].append({"key": key} | entry)
