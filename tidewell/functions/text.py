@@ -79,6 +79,12 @@ def titled(title: Column, body: Column) -> Column:
     return F.when((title != "") & (body != ""), F.concat(title, F.lit("\n\n"), body)).otherwise(F.concat(title, body))
 
 
+def page_text(title: Column, content: Column) -> Column:
+    """A page as one text: title, a blank line and content, without white space at the ends."""
+    title, content = text_or_empty(title), text_or_empty(content)
+    return strip(F.when(title != "", F.concat(title, F.lit("\n\n"), content)).otherwise(content))
+
+
 def page_number(c: Column) -> Column:
     """A page id from a number or a string of digits; raises on anything else."""
     text = F.trim(c.cast("string"))

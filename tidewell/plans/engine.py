@@ -45,6 +45,14 @@ class Engine:
         vectors = dense.embed_chunks(chunks, embedder) if with_dense else None
         return cls(pages.sparkSession, chunks, index, vectors, embedder, **options)
 
+    def summary(self) -> DataFrame:
+        """One row: pages, chunks, and of the lexical index vocab_size, postings and avgdl."""
+        counts = self.chunks.agg(F.count_distinct("page_id").alias("pages"), F.count(F.lit(1)).alias("chunks"))
+        if self.index is None:
+            return counts
+        terms = self.index.vocab.agg(F.count(F.lit(1)).alias("vocab_size"), F.sum("df").alias("postings")).first()
+        return counts.withColumns({"vocab_size": F.lit(terms["vocab_size"]), "postings": F.lit(terms["postings"]), "avgdl": F.lit(self.index.avgdl)})
+
     def save(self, folder: str) -> Engine:
         artifacts.write(folder, self.chunks, self.index, self.vectors)
         return Engine.open(self.spark, folder, embedder=self.embedder, reranker=self.reranker, config=self.config)

@@ -173,6 +173,8 @@ ORACLES = {
         SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY i) AS x FROM (SELECT doc_id, t, min(i) AS i FROM (
             SELECT doc_id, unnest({_match('text')}) AS t, generate_subscripts({_match('text')}, 1) AS i FROM doc) WHERE regexp_matches(t, '\\p{{Nd}}') GROUP BY doc_id, t) GROUP BY doc_id) USING (doc_id)"""),
     "chunk_text_compose": _with("SELECT page_id, md5(CASE WHEN title <> '' AND content <> '' THEN title || chr(10) || chr(10) || content ELSE title || content END) AS digest, md5(content) AS untitled FROM page"),
+    "page_text": _with("SELECT page_id, md5(" + _strip("CASE WHEN title <> '' THEN title || chr(10) || chr(10) || content ELSE content END") + ") AS digest FROM page"),
+    "engine_summary": _with("SELECT (SELECT count(DISTINCT page_id) FROM chunk) AS pages, (SELECT n FROM stats) AS chunks, count(*) AS vocab_size, sum(df)::BIGINT AS postings, (SELECT round(avgdl, 6) FROM stats) AS avgdl FROM vocab"),
     "page_id_coerce": _with("SELECT doc_id, trim(' ' || doc_id || ' ')::BIGINT AS page_id FROM doc"),
     "chunk_oversized": _with(f"""SELECT doc_id, i, len(string_split(piece, ' '))::BIGINT AS n, md5(piece) AS digest FROM (
         SELECT doc_id, i, array_to_string(w[i * (spread // k - 30) + least(i, spread % k) + 1 : i * (spread // k - 30) + least(i, spread % k) + spread // k + (i < spread % k)::INT], ' ') AS piece

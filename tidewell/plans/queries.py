@@ -104,6 +104,11 @@ def chunk_text_compose(spark, sf_dir):
     return page.select("page_id", F.md5(tx.titled(F.col("title"), F.col("content"))).alias("digest"), F.md5(tx.titled(F.lit(""), F.col("content"))).alias("untitled"))
 
 
+def page_text(spark, sf_dir):
+    page = corpus.document_pages(spark, sf_dir)
+    return page.select("page_id", F.md5(tx.page_text(F.col("title"), F.col("content"))).alias("digest"))
+
+
 def page_id_coerce(spark, sf_dir):
     padded = F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(" "))
     return _documents(spark, sf_dir).select("doc_id", tx.page_number(padded).alias("page_id"))
@@ -167,6 +172,10 @@ def vocab_offsets(spark, sf_dir):
     return lexical.posting_offsets(_index(spark, sf_dir)[1].vocab)
 
 
+def engine_summary(spark, sf_dir):
+    return Engine.build(corpus.document_pages(spark, sf_dir), with_dense=False).summary().withColumn("avgdl", F.round("avgdl", 6))
+
+
 # BM25
 
 
@@ -408,8 +417,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         norm_whitespace, lower_squeeze, tokenize, lower_tokens, match_tokens, distinct_tokens, untokenize, split_paragraphs, quoted_phrases, code_like,
-        digit_tokens, chunk_text_compose, page_id_coerce, chunk_oversized, chunk_merge, chunk_corpus, chunk_stats, udtf_chunks, term_frequency,
-        document_frequency, idf, corpus_stats, builder_counts, vocab_offsets, bm25_scores, bm25_topk, bm25_topk_padded, bm25_params, vocab_lookup_semi,
+        digit_tokens, chunk_text_compose, page_text, page_id_coerce, chunk_oversized, chunk_merge, chunk_corpus, chunk_stats, udtf_chunks, term_frequency,
+        document_frequency, idf, corpus_stats, builder_counts, engine_summary, vocab_offsets, bm25_scores, bm25_topk, bm25_topk_padded, bm25_params, vocab_lookup_semi,
         vocab_missing_anti, dense_topk, dense_topk_small_k_gt_n, hash_embed, udf_embed_rows, query_profile, bm25_weight, rrf_fusion, minmax_features,
         overlap_features, phrase_match, numeric_match, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, page_aggregate_max, page_aggregate_top3,
         hybrid_search, qrels, dcg_table, ndcg_per_query, ndcg_standard, mean_ndcg, ndcg_duplicates, alignment_check, json_pages_scan, artifact_roundtrip,

@@ -47,6 +47,11 @@ def chunk_references(chunks: DataFrame, text: bool = False) -> DataFrame:
     return chunks.select("chunk_idx", "page_id", "chunk_id", "title", *(["chunk_text"] if text else []), "paragraph_index", "subchunk_index")
 
 
+def dense_rows(vectors: DataFrame) -> DataFrame:
+    """All vectors with their pages, in chunk order."""
+    return vectors.select("chunk_idx", "page_id", "embedding").orderBy("chunk_idx")
+
+
 def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, LexicalIndex]:
     """Chunk references and the lexical index of a version-1 bundle: one JSON object with postings by term."""
     bundle = spark.read.schema(LEGACY).json(path, multiLine=True)

@@ -11,6 +11,12 @@ PAGE = "page_id string, title string, content string"
 QUERY_SET = "query_id string, query string, relevant_page_ids array<string>"
 
 
+def page_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(src_file)``: a folder's page files, whose order as text is that of the corpus."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("src_file")).orderBy("src_file")
+
+
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages ``(page_id, title, content, src_file)`` of a folder's ``*.json``, one object a file.
 
@@ -24,10 +30,11 @@ def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     return own.select(tx.page_number(F.col("id")).alias("page_id"), tx.text_or_empty(F.col("title")).alias("title"), tx.text_or_empty(F.col("content")).alias("content"), "src_file")
 
 
-def scan_queries(spark: SparkSession, path: str) -> DataFrame:
-    """``(qid, query, relevant)`` of a JSON array; relevant page ids are numbers, each once."""
+def scan_queries(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
+    """``(qid, query, relevant)`` of a JSON array; relevant page ids are numbers, each once if ``distinct``."""
     read = spark.read.schema(QUERY_SET).json(path, multiLine=True)
-    ids = F.array_distinct(F.transform("relevant_page_ids", tx.page_number))
+    ids = F.transform("relevant_page_ids", tx.page_number)
+    ids = F.array_distinct(ids) if distinct else ids
     return read.select(F.col("query_id").alias("qid"), tx.text_or_empty(F.col("query")).alias("query"), ids.alias("relevant"))
 
 
