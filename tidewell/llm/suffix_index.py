@@ -17,8 +17,10 @@ sees only those bytes, so two equal strings of ``length`` bytes have a sampled p
    class of both orders: neighbours that share length - x bytes, and neighbours that share x. The smallest and largest such x give
    the interval of the text that goes; repeats of thousands of texts cost a sort, not their pairs.
 
-Texts travel once, by document, and contexts once, by core. The different contexts of a core meet in one task: copies of a
-passage are few of them (one for each task that has some), its edges as many as what they stand next to.
+Texts travel once, by document, and contexts once, by core, but for hot cores. The edges of a passage in very many documents
+have one core and as many contexts, each with what the document has beside it. A core of more than ``hot`` places is cut
+into stripes of ``stripe`` starts x: the strings of a stripe all hold the same middle, which is the key that its contexts
+are dealt out by, and differ in ``stripe`` - 1 bytes at each end at most, so that few of them are different.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings are judged on the input, whatever
 else is removed; overlaps within one text count; repeated rows are texts of their own and so repeat each other; an empty
@@ -205,71 +207,120 @@ def _sent_places(batches: Iterator[pa.RecordBatch], length: int, core: int) -> I
             yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(at - starts[of] + offsets[of]), pa.array(h.view(np.int64))], ["k1", "k2", "at", "core"])
 
 
-def _with_company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by core, those whose core a neighbour has too. Holds one row between batches."""
-    held, met = None, False
+def _with_company(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by core, those whose core comes again, and whether it has over ``hot`` rows.
+
+    Holds the rows of one core at most, and of those no more than ``hot`` and a batch.
+    """
+    held, open_core = None, None
+
+    def out(rows: pa.RecordBatch, is_hot: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(is_hot)], [*rows.schema.names, "hot"])
+
     for b in batches:
+        if open_core is not None:  # a core that is known to be hot goes on
+            n = int(np.searchsorted(b.column(3).to_numpy() != open_core, True)) if b.num_rows else 0
+            if n:
+                yield out(b.slice(0, n), np.ones(n, bool))
+            if n == b.num_rows:
+                continue
+            b, open_core = b.slice(n), None
         if not b.num_rows:
             continue
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         cores = b.column(3).to_numpy()
-        before = np.concatenate(([held is not None and held.column(3)[0].as_py() == cores[0]], cores[1:] == cores[:-1]))
-        if held is not None and (met or before[0]):
-            yield held
-        yield b.slice(0, len(cores) - 1).filter(pa.array(before[:-1] | before[1:]))
-        held, met = b.slice(len(cores) - 1), bool(before[-1])
-    if held is not None and met:
-        yield held
+        starts = np.concatenate(([0], np.flatnonzero(cores[1:] != cores[:-1]) + 1))
+        last = int(starts[-1])
+        sizes = np.repeat(np.diff(starts), np.diff(starts))
+        yield out(b.slice(0, last).filter(pa.array(sizes > 1)), sizes[sizes > 1] > hot)
+        held = b.slice(last)
+        if held.num_rows > hot:
+            yield out(held, np.ones(held.num_rows, bool))
+            held, open_core = None, cores[-1]
+    if held is not None and held.num_rows > 1:
+        yield out(held, np.zeros(held.num_rows, bool))
+
+
+class Contexts:
+    """What a task sends of contexts: each different one once, and the spans that their repeats settle."""
+
+    def __init__(self, length: int, before: int, stripe: int, remember: int = 400_000):
+        self.length, self.before, self.remember = length, before, remember
+        self.stripes = [(x, min(x + stripe - 1, before)) for x in range(0, before + 1, stripe)]
+        self.seen: dict[bytes, tuple | None] = {}  # the first place, until its span is sent
+        self.out: list[tuple] = []
+
+    def _span(self, at: int, n_after: int, n_before: int) -> tuple[int, int]:
+        return at - n_before, at + self.length - max(0, self.length - n_after)
+
+    def _settle(self, k1: int, k2: int, start: int, stop: int) -> None:
+        self.out.append((k1, k2, start, k1 ^ start, stop - start, None, None))
+
+    def _send(self, k1: int, k2: int, at: int, core: int, n_after: int, n_before: int, context: bytes) -> tuple[int, int] | None:
+        """The span, if the context has been here before."""
+        name = xxhash.xxh3_128_digest(context + b"%d %d" % (n_after, n_before))
+        if name not in self.seen:
+            if len(self.seen) >= self.remember:
+                self.seen.clear()
+            self.seen[name] = (k1, k2, *self._span(at, n_after, n_before))
+            self.out.append((k1, k2, at, core, n_after, n_before, context))
+            return None
+        if first := self.seen[name]:
+            self._settle(*first)
+            self.seen[name] = None
+        return self._span(at, n_after, n_before)
+
+    def add(self, k1: int, k2: int, at: int, core: int, n_after: int, n_before: int, context: bytes, hot: bool) -> None:
+        """A place: ``context`` holds what follows and then, in reverse, what precedes, both padded."""
+        if not hot:
+            spans = [self._send(k1, k2, at, core, n_after, n_before, context)]
+        else:
+            spans, length = [], self.length
+            for low, high in self.stripes:
+                # Strings that start low to high bytes before: all of them hold the bytes of the key.
+                if n_before < low or n_after < length - high:
+                    continue
+                follow, precede = context[: length - low], context[length : length + high]
+                key = xxhash.xxh3_64_intdigest(follow[: length - high] + precede[:low], seed=low + 1) - (1 << 63)
+                own = follow + bytes(low) + precede + bytes(self.before - high)
+                spans.append(self._send(k1, k2, at, key, min(n_after, length - low), min(n_before, high), own))
+        spans = [x for x in spans if x]
+        if spans:
+            self._settle(k1, k2, min(a for a, _ in spans), max(b for _, b in spans))
+
+    def batch(self) -> pa.RecordBatch:
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+        cols = [pa.array(c, t) for c, t in zip(list(zip(*self.out)) or [()] * 7, types)]
+        self.out = []
+        return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "at", "core", "n_after", "n_before", "context"])
 
 
-def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int, step: int = 4096, remember: int = 400_000) -> Iterator[pa.RecordBatch]:
+def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int, stripe: int, step: int = 4096) -> Iterator[pa.RecordBatch]:
     """The contexts of the places of (k1, k2, row, bytes, places), each different one once for the task.
 
     A context that comes again repeats all its strings, so its places are settled here: their spans go on as rows
     without a context, (k1, k2, start, any, size), which are dealt out by document.
     """
-    ahead, behind = np.arange(length), np.arange(before)
-    seen: dict[bytes, tuple | None] = {}  # the first place, until its span is sent
-    out: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        nonlocal out
-        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-        cols = [pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, types)]
-        out = []
-        return pa.RecordBatch.from_arrays(cols, ["k1", "k2", "at", "core", "n_after", "n_before", "context"])
-
-    def settled(k1: int, k2: int, at: int, n_after: int, n_before: int) -> tuple:
-        least = max(0, length - n_after)
-        return k1, k2, at - n_before, k1 ^ at, n_before + length - least, None, None
-
+    ahead, behind, width = np.arange(length), np.arange(before), length + before
+    sent = Contexts(length, before, stripe)
     for b in batches:
         for i in range(b.num_rows):
             k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
             data, found = np.frombuffer(b.column(3)[i].as_py(), np.uint8), b.column(4)[i].values
-            places, all_cores = found.field("at").to_numpy(), found.field("core").to_numpy()
+            places, all_cores, all_hot = found.field("at").to_numpy(), found.field("core").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False)
             for lo in range(0, len(places), step):
-                at, cores = places[lo : lo + step], all_cores[lo : lo + step]
+                at = places[lo : lo + step]
                 n_before, n_after = np.minimum(at, before), np.minimum(len(data) - at, length)
                 follow = np.where(ahead < n_after[:, None], data[np.minimum(at[:, None] + ahead, len(data) - 1)], 0)
                 precede = np.where(behind < n_before[:, None], data[np.maximum(at[:, None] - 1 - behind, 0)], 0)
                 raw = np.concatenate((follow, precede), axis=1).astype(np.uint8).tobytes()
-                width = length + before
-                for r, place in enumerate(zip(at.tolist(), n_after.tolist(), n_before.tolist())):
-                    context = raw[r * width : r * width + width]
-                    name = xxhash.xxh3_128_digest(context + b"%d %d" % place[1:])
-                    if name not in seen:
-                        if len(seen) >= remember:
-                            seen.clear()
-                        seen[name] = (k1, k2, *place)
-                        out.append((k1, k2, place[0], int(cores[r]), *place[1:], context))
-                    else:
-                        out.append(settled(k1, k2, *place))
-                        if first := seen[name]:
-                            out.append(settled(*first))
-                            seen[name] = None
-                    if len(out) >= step:
-                        yield flush()
-    yield flush()
+                rows = zip(at.tolist(), all_cores[lo : lo + step].tolist(), n_after.tolist(), n_before.tolist(), all_hot[lo : lo + step].tolist())
+                for r, (place, core, after, preceding, hot) in enumerate(rows):
+                    sent.add(k1, k2, place, core, after, preceding, raw[r * width : r * width + width], hot)
+                    if len(sent.out) >= step:
+                        yield sent.batch()
+    yield sent.batch()
 
 
 def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -313,7 +364,7 @@ def _without(text: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), runs
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 20_000, stripe: int = 8) -> DataFrame:
     """``(row, n_bytes, kept, spans)`` for every row.
 
     row has the other columns, kept the bytes that stay (null for a null text), and spans the maximal runs
@@ -323,11 +374,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = docs.select(F.xxhash64(doc_id).alias("k1"), F.xxhash64(text).alias("k2"), F.struct(*(c for c in docs.columns if c != text)).alias("row"), F.col(text).cast("binary").alias("bytes"))
     place = "k1 long, k2 long, at long, core long"
     sampled = own.select(*keys, "bytes").mapInArrow(lambda x: _sent_places(x, length, core), place)
-    repeated = sampled.repartition(n, "core").sortWithinPartitions("core").mapInArrow(_with_company, place)
-    by_doc = repeated.groupBy(*keys).agg(F.collect_set(F.struct("at", "core")).alias("places"))
+    repeated = sampled.repartition(n, "core").sortWithinPartitions("core").mapInArrow(lambda x: _with_company(x, hot), f"{place}, hot boolean")
+    by_doc = repeated.groupBy(*keys).agg(F.collect_set(F.struct("at", "core", "hot")).alias("places"))
 
     joined = own.join(by_doc, keys).select(*keys, "row", "bytes", "places")
-    context = joined.mapInArrow(lambda x: _sent_contexts(x, length, before), f"{place}, n_after int, n_before int, context binary").repartition(n, "core")
+    context = joined.mapInArrow(lambda x: _sent_contexts(x, length, before, stripe), f"{place}, n_after int, n_before int, context binary").repartition(n, "core")
     gone = context.mapInArrow(lambda x: _found_spans(x, length, before, batch), "k1 long, k2 long, start long, stop long")
     by_doc = gone.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
