@@ -24,6 +24,7 @@ results; an empty table gives no row.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -161,10 +162,14 @@ class Parser:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: Sample = Sample()) -> Parser:
     """A parser from labelled rows; see the module for how few are read."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("r", first).where(F.col("r") <= sample.sample_docs).select("lang", "h").toArrow().to_pylist()
-    if len({c["lang"] for c in chosen}) > sample.max_languages:
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(sample.max_languages + 1).collect()}
+    if len(sizes) > sample.max_languages:
         raise ValueError(f"more than {sample.max_languages} languages")
+    # Hashes below a share of the languages' texts, so that the ranking meets a few hundred rows of each.
+    below = {k: int(min(1.0, 4 * sample.sample_docs / n) * (1 << 30)) for k, n in sizes.items()}
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(F.from_json(F.lit(json.dumps(below)), "map<string,bigint>"), F.col("lang")))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    chosen = drawn.select("lang", "h").distinct().withColumn("r", first).where(F.col("r") <= sample.sample_docs).select("lang", "h").toArrow().to_pylist()
     texts = rows.where(F.col("h").isin([c["h"] for c in chosen])).select("lang", "h", F.substring("text", 1, sample.doc_chars).alias("t")).distinct().toArrow().to_pylist() if chosen else []
     found = {(x["lang"], x["h"]): x["t"] for x in texts}
     references: dict[str, str] = {}
