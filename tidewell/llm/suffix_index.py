@@ -271,10 +271,11 @@ class Contexts:
             self.seen[name] = None
         return self._span(at, n_after, n_before)
 
-    def add(self, k1: int, k2: int, at: int, core: int, n_after: int, n_before: int, context: bytes, hot: bool) -> None:
+    def add(self, k1: int, k2: int, at: int, n_after: int, n_before: int, context: bytes, hot: bool) -> None:
         """A place: ``context`` holds what follows and then, in reverse, what precedes, both padded."""
         if not hot:
-            spans = [self._send(k1, k2, at, core, n_after, n_before, context)]
+            key = xxhash.xxh3_64_intdigest(context[: self.length - self.before]) - (1 << 63)
+            spans = [self._send(k1, k2, at, key, n_after, n_before, context)]
         else:
             spans, length = [], self.length
             for low, high in self.stripes:
@@ -297,7 +298,8 @@ class Contexts:
 
 
 def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int, stripe: int, step: int = 4096) -> Iterator[pa.RecordBatch]:
-    """The contexts of the places of (k1, k2, row, bytes, places), each different one once for the task.
+    """The contexts of the places of (k1, k2, row, bytes, places), each different one once for the task; a place is
+    twice its number, and one more if its core is hot.
 
     A context that comes again repeats all its strings, so its places are settled here: their spans go on as rows
     without a context, (k1, k2, start, any, size), which are dealt out by document.
@@ -307,17 +309,17 @@ def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int,
     for b in batches:
         for i in range(b.num_rows):
             k1, k2 = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-            data, found = np.frombuffer(b.column(3)[i].as_py(), np.uint8), b.column(4)[i].values
-            places, all_cores, all_hot = found.field("at").to_numpy(), found.field("core").to_numpy(), found.field("hot").to_numpy(zero_copy_only=False)
+            data, found = np.frombuffer(b.column(3)[i].as_py(), np.uint8), b.column(4)[i].values.to_numpy()
+            places, hots = found >> 1, (found & 1).astype(bool)
             for lo in range(0, len(places), step):
                 at = places[lo : lo + step]
                 n_before, n_after = np.minimum(at, before), np.minimum(len(data) - at, length)
                 follow = np.where(ahead < n_after[:, None], data[np.minimum(at[:, None] + ahead, len(data) - 1)], 0)
                 precede = np.where(behind < n_before[:, None], data[np.maximum(at[:, None] - 1 - behind, 0)], 0)
                 raw = np.concatenate((follow, precede), axis=1).astype(np.uint8).tobytes()
-                rows = zip(at.tolist(), all_cores[lo : lo + step].tolist(), n_after.tolist(), n_before.tolist(), all_hot[lo : lo + step].tolist())
-                for r, (place, core, after, preceding, hot) in enumerate(rows):
-                    sent.add(k1, k2, place, core, after, preceding, raw[r * width : r * width + width], hot)
+                rows = zip(at.tolist(), n_after.tolist(), n_before.tolist(), hots[lo : lo + step].tolist())
+                for r, (place, after, preceding, hot) in enumerate(rows):
+                    sent.add(k1, k2, place, after, preceding, raw[r * width : r * width + width], hot)
                     if len(sent.out) >= step:
                         yield sent.batch()
     yield sent.batch()
@@ -364,7 +366,7 @@ def _without(text: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), runs
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 20_000, stripe: int = 8) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 100_000, stripe: int = 8) -> DataFrame:
     """``(row, n_bytes, kept, spans)`` for every row.
 
     row has the other columns, kept the bytes that stay (null for a null text), and spans the maximal runs
@@ -375,7 +377,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     place = "k1 long, k2 long, at long, core long"
     sampled = own.select(*keys, "bytes").mapInArrow(lambda x: _sent_places(x, length, core), place)
     repeated = sampled.repartition(n, "core").sortWithinPartitions("core").mapInArrow(lambda x: _with_company(x, hot), f"{place}, hot boolean")
-    by_doc = repeated.groupBy(*keys).agg(F.collect_set(F.struct("at", "core", "hot")).alias("places"))
+    by_doc = repeated.groupBy(*keys).agg(F.collect_set(2 * F.col("at") + F.col("hot").cast("bigint")).alias("places"))
 
     joined = own.join(by_doc, keys).select(*keys, "row", "bytes", "places")
     context = joined.mapInArrow(lambda x: _sent_contexts(x, length, before, stripe), f"{place}, n_after int, n_before int, context binary").repartition(n, "core")
