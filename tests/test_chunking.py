@@ -41,6 +41,6 @@ def test_fold_equals_stream_and_numbers_have_no_gap(spark):
     one = chunking.chunk_pages(rows).collect()
     assert sorted(one) == sorted(chunking.chunk_pages_in_python(rows).collect())
     assert {r["page_id"] for r in one} == set(range(42))
-    numbered = chunking.number_chunks(chunking.chunk_pages(rows)).orderBy("page_id", "chunk_id").collect()
+    numbered = chunking.chunks_in_order(rows).orderBy("page_id", "chunk_id").collect()
     assert [r["chunk_idx"] for r in numbered] == list(range(len(one)))
-    assert chunking.number_chunks(chunking.chunk_pages(rows.limit(0))).count() == 0
+    assert chunking.chunks_in_order(rows.limit(0)).count() == 0

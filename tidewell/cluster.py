@@ -36,6 +36,10 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def is_small(df: DataFrame, most_rows: int = 200_000) -> bool:
+    return df.limit(most_rows + 1).count() <= most_rows
+
+
 def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most_rows`` rows, else as it is for a shuffled join."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if is_small(df, most_rows) else df

@@ -92,13 +92,12 @@ def _stream(paragraphs: list[str], config: ChunkConfig) -> Iterator[tuple[str, i
         at = stop
 
 
-def number_chunks(chunks: DataFrame, *order: str) -> DataFrame:
-    """``chunks`` with chunk_idx, their place in the given order, from 0 and without gaps.
+def number_chunks(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with chunk_idx, their place in the order of the partitions, from 0 and without gaps.
 
-    The rows are sorted by range, so no task sees them all; a partition's first number is the sum of the counts before
-    it, of which there is one for each partition.
+    A partition's first number is the sum of the counts before it, of which there is one for each partition.
     """
-    rows = cut(chunks.orderBy(*(order or ("page_id", "chunk_id"))).withColumn("_at", F.monotonically_increasing_id()))
+    rows = cut(chunks.withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     firsts, total = {}, 0
@@ -107,3 +106,12 @@ def number_chunks(chunks: DataFrame, *order: str) -> DataFrame:
         total += n
     known = F.from_json(F.lit(json.dumps(firsts)), "map<string,bigint>")
     return rows.select((F.element_at(known, part.cast("string")) + place).alias("chunk_idx"), *chunks.columns)
+
+
+def chunks_in_order(pages: DataFrame, *order: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """Numbered chunks of pages in the given order, page_id if none is.
+
+    Pages are sorted by range before they are cut, so the sort samples raw pages, cutting happens once and in
+    order, and no task sees all rows.
+    """
+    return number_chunks(chunk_pages(pages.orderBy(*(order or ("page_id",))), config))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import small_side
+from ..cluster import is_small, small_side
 from ..functions import text as tx
 from ..plans.config import SearchConfig
 
@@ -19,8 +19,9 @@ def profiles(queries: DataFrame, vocab: DataFrame, config: SearchConfig = Search
     unique = F.array_distinct(tx.match_tokens(F.col("query")))
     own = queries.select("qid", "query", raw.alias("raw"), unique.alias("terms"), tx.lower_squeeze(F.col("query")).alias("query_text"), tx.quoted_phrases(F.col("query")).alias("phrases"))
     own = own.withColumn("digits", tx.with_digits(F.col("terms")))
-    used = small_side(own.select("qid", F.explode("terms").alias("term")))
-    known = used.join(vocab.join(small_side(used.select("term").distinct()), "term", "left_semi").select("term", "idf"), "term").groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("idf"), False), 1, 3).alias("top"))
+    used = own.select("qid", F.explode("terms").alias("term"))
+    sent = F.broadcast if is_small(used) else lambda df: df
+    known = sent(used).join(vocab.join(sent(used.select("term").distinct()), "term", "left_semi").select("term", "idf"), "term").groupBy("qid").agg(F.slice(F.sort_array(F.collect_list("idf"), False), 1, 3).alias("top"))
     mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
     out = own.join(known, "qid", "left").withColumn("rare", F.least(F.coalesce(mean / 6, F.lit(0.0)), F.lit(1.0)))
     yes = lambda c: c.cast("double")

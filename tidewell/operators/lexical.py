@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import small_side
+from ..cluster import is_small
 from ..functions import text as tx
 from ..plans.config import BM25Config
 
@@ -81,10 +81,10 @@ def scores(queries: DataFrame, index: LexicalIndex, digits: int = 6) -> DataFram
     k1, b = index.config.k1, index.config.b
     norm = k1 * (1 - b + b * F.col("length") / index.avgdl) if index.avgdl > 0 else F.lit(1.0)
     terms = query_terms(queries)
-    few = small_side(terms)
+    sent = F.broadcast if is_small(terms) else lambda df: df
     # Only the query terms' postings are counted: the filter is by term, below the aggregates.
-    wanted = small_side(terms.select("term").distinct())
-    hits = few.join(index.postings.join(wanted, "term", "left_semi"), "term").join(index.vocab.join(wanted, "term", "left_semi").select("term", "idf"), "term")
+    wanted = sent(terms.select("term").distinct())
+    hits = sent(terms).join(index.postings.join(wanted, "term", "left_semi"), "term").join(index.vocab.join(wanted, "term", "left_semi").select("term", "idf"), "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
     return hits.groupBy("qid", "chunk_idx", "page_id").agg(F.round(F.sum(part), digits).alias("score"))
 

@@ -36,11 +36,7 @@ class Engine:
     @classmethod
     def build(cls, pages: DataFrame, with_lexical: bool = True, with_dense: bool = True, chunking_config: ChunkConfig = ChunkConfig(), bm25: BM25Config = BM25Config(), embedder: Callable[[], dense.Embedder] = dense.HashingEmbedder, order: Iterable[str] = ("page_id",), **options) -> Engine:
         """Chunks once, in the given order of pages, and either index or both from them."""
-        keep = [c for c in order if c not in chunking.CHUNK]
-        chunks = chunking.chunk_pages(pages, chunking_config)
-        if keep:  # an order by other columns of the pages, such as their files
-            chunks = chunks.join(pages.select("page_id", *keep), "page_id")
-        chunks = chunking.number_chunks(chunks, *order, "chunk_id").drop(*keep)
+        chunks = chunking.chunks_in_order(pages, *order, config=chunking_config)
         index = lexical.build(chunks, bm25) if with_lexical else None
         vectors = dense.embed_chunks(chunks, embedder) if with_dense else None
         return cls(pages.sparkSession, chunks, index, vectors, embedder, **options)

@@ -38,7 +38,7 @@ def _odd(spark: SparkSession) -> DataFrame:
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.number_chunks(chunking.chunk_pages(corpus.document_pages(spark, sf_dir)))
+    return chunking.chunks_in_order(corpus.document_pages(spark, sf_dir))
 
 
 def _index(spark: SparkSession, sf_dir: str, config: BM25Config = BM25Config()) -> tuple[DataFrame, lexical.LexicalIndex]:

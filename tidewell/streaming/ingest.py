@@ -24,7 +24,7 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def append(batch: DataFrame, number: int, folder: str, embedder: Callable[[], dense.Embedder] = dense.HashingEmbedder, config: ChunkConfig = ChunkConfig()) -> None:
     """Writes a batch's tables under its own number, so a batch that is tried again replaces itself."""
-    chunks = chunking.number_chunks(chunking.chunk_pages(batch, config))
+    chunks = chunking.chunks_in_order(batch, config=config)
     tables = {"chunks": chunks, "postings": lexical.term_frequency(chunks), "dense": dense.embed_chunks(chunks, embedder)}
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
