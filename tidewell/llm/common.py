@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import cut
@@ -24,6 +24,13 @@ def n_words(c):
     return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Limits the session's Arrow batches, so that a Python worker holds a few MB of texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def connected_components(edges: DataFrame, names: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, root, name)`` for every node of ``edges``, from ``names`` (node, name), which has each node once.
 

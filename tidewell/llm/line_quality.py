@@ -113,7 +113,8 @@ def text_profile(texts: pa.Array) -> pa.Array:
 def quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "host", limits: LineLimits = LineLimits()) -> DataFrame:
     """Each document's ``row``, its counts, the words left without frequent lines, and the verdict."""
     rows = with_kept_lines(docs, text, host, limits)
-    profile = F.arrow_udf(text_profile, StructType([StructField(c, LongType()) for c in PROFILE]))
+    # Marked so that a filter on the verdict doesn't make Spark run it once more below.
+    profile = F.arrow_udf(text_profile, StructType([StructField(c, LongType()) for c in PROFILE])).asNondeterministic()
     counted = rows.select("row", "left", n_words(F.col("left")).alias("left_words"), profile(F.col("row").getField(text).cast("binary")).alias("p"))
     return _judged(counted.select("row", "left", "left_words", "p.*"), limits)
 

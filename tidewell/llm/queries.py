@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..cluster import cut
 from . import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, suffix_index, url_rules
+from .common import small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
