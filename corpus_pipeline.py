@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.cluster import shared_table
 from tidewell.llm import line_quality, mixing, packing, simhash, suffix_index
+from tidewell.llm.common import small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rejected documents, and from the others the lines that are frequent in their source."""
+    small_batches(spark)
     return line_quality.clean(docs, host="source", n_chars="n_chars")
 
 
