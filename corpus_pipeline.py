@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.cluster import shared_table
-from tidewell.llm import line_quality, mixing, packing, simhash, suffix_index
+from tidewell.llm import line_quality, mixing, near_copies, packing, simhash, suffix_index
 from tidewell.llm.common import small_batches
 
 
@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group whose fingerprints of five-word shingles link."""
-    return simhash.first_of_each(docs, shingle=5, max_bits=4)
+    """Keeps the document of smallest id of each group whose sets of five-word shingles have similarity 0.8 or fingerprints link."""
+    return simhash.first_of_each(docs, shingle=5, max_bits=4, more=near_copies.links(docs, shingle=5, similarity=0.8))
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

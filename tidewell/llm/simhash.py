@@ -39,10 +39,11 @@ from .common import LOWER_BYTES, connected_components
 SEED = 42
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle; none for a text without words."""
     words = (text or b"").translate(LOWER_BYTES).split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line, n = b" ".join(words), len(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -51,7 +52,12 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     else:
         h = xxhash.xxh64_intdigest
         hashes = [h(line[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist())]
-    return _majority(np.array(hashes, dtype="<u8"))
+    return np.array(hashes, dtype="<u8")
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    hashes = shingle_hashes(text, shingle)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def _majority(hashes: np.ndarray, block: int = 4096) -> int:
@@ -197,23 +203,29 @@ def _dealt_again(ring: Ring, start: int, fps: np.ndarray, max_bucket: int) -> tu
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4, more: DataFrame | None = None) -> DataFrame:
     """``(doc_id, text_hash, fp, root, component_id)`` for every row.
 
-    component_id is the smallest id that links reach, and root a fingerprint of the component that has it.
+    component_id is the smallest id that links reach, and root a fingerprint of the component that has it. ``more`` has
+    further links ``(a, b)`` between text hashes.
     """
     fps = cut(fingerprints(docs, doc_id, text, shingle))
     unique = fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("name"))
-    linked = connected_components(links(unique.withColumnRenamed("node", "fp"), max_bits), unique)
+    edges = links(unique.withColumnRenamed("node", "fp"), max_bits)
+    if more is not None:
+        of = fps.select("text_hash", "fp").distinct()
+        a, b = (of.select(F.col("text_hash").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab")
+        edges = edges.union(more.join(a, "a").join(b, "b").select("fp_a", "fp_b").where("fp_a <> fp_b"))
+    linked = connected_components(edges, unique)
     linked = linked.select("node", "root", F.col("name").alias("smallest"))
     known = F.col("root").isNotNull()
     classes = cut(unique.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.when(known, F.col("smallest")).otherwise(F.col("name")).alias("component_id")))
     return fps.join(classes, F.col("fp") == F.col("node"), "left").drop("node")
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4) -> DataFrame:
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = 4, more: DataFrame | None = None) -> DataFrame:
     """One document of each component, with its own columns: the smallest id (null only if there is no other)."""
-    near = near_duplicates(docs, doc_id, text, shingle, max_bits)
+    near = near_duplicates(docs, doc_id, text, shingle, max_bits, more)
     best = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
     keep = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_hash").alias("keep_hash"))
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_hash"))
