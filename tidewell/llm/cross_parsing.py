@@ -162,10 +162,10 @@ class Parser:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: Sample = Sample()) -> Parser:
     """A parser from labelled rows; see the module for how few are read."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(sample.max_languages + 1).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().limit(sample.max_languages + 1).collect()}
     if len(sizes) > sample.max_languages:
         raise ValueError(f"more than {sample.max_languages} languages")
-    # Hashes below a share of the languages' texts, so that the ranking meets a few hundred rows of each.
+    # Hashes below a share of the languages' different texts, so that the ranking meets a few hundred of each.
     below = {k: int(min(1.0, 4 * sample.sample_docs / n) * (1 << 30)) for k, n in sizes.items()}
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(F.from_json(F.lit(json.dumps(below)), "map<string,bigint>"), F.col("lang")))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
