@@ -1,13 +1,13 @@
 """Licence scans by a positional index of rare words.
 
-Templates are notices with a label. Every template word has an inverse document frequency, counted over all documents,
-and postings (template, position). For each document the licence words in it are ranked by that frequency; the
-``look_up`` rarest are looked up, and every posting of one of its places votes for a start: place minus position. A start
-with votes of at least ``min_votes`` different words is a candidate; it is verified by its key phrases, each of which must
-stand where the template has it, give or take ``slack`` words. Its score is the share of the template's words that
-stand in place.
-
-Phrases are templates that must stand whole: the rarest word of each is looked up at all its places, and every place
+Templates are notices with a label and key phrases. Every licence word has an inverse document frequency, counted over all
+documents; the rarest word of a template's first key phrase is looked up at all its places in a document, however long, and
+where the key phrase stands, the starts that put it in its place, give or take ``slack`` words, are candidates. A candidate
+needs votes of at least ``min_votes`` different template words in place and is verified by all key phrases, each of which
+must stand where the template has it, give or take ``slack`` words. So no start that would hold is passed over. Its score is
+the share of the template's words that stand in place.
+
+Phrases are templates that must stand whole: the rarest word of each is looked up in the same way, and every place
 where all its words follow each other is found.
 
 Plan: one pass counts the template words (a row for each word and task), one pass scans; nothing else is shuffled, and
@@ -71,8 +71,8 @@ TEMPLATES = (
 
 
 class Index:
-    def __init__(self, templates: Sequence[Template], phrases: Sequence[Phrase], look_up: int = 16, min_votes: int = 2, slack: int = 3):
-        self.look_up, self.min_votes, self.slack = look_up, min_votes, slack
+    def __init__(self, templates: Sequence[Template], phrases: Sequence[Phrase], min_votes: int = 2, slack: int = 3):
+        self.min_votes, self.slack = min_votes, slack
         self.templates = [(t.label, words_of(t.text.encode()), [words_of(k.encode()) for k in t.keys]) for t in templates]
         self.phrases = [(p.label, words_of(p.text.encode())) for p in phrases]
         if not all(w for _, w in self.phrases) or not all(w and k for _, w, k in self.templates):
@@ -88,16 +88,19 @@ class Index:
     def weigh(self, holding: dict[bytes, int], n_docs: int) -> Index:
         """With the words' frequencies."""
         self.idf = {w: math.log((n_docs + 1) / (holding.get(w, 0) + 1)) + 1 for w in self.vocabulary}
-        self.postings = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for q, w in enumerate(words):
-                self.postings[w].append((t, q))
         self.anchors = defaultdict(list)
         for p, (_, words) in enumerate(self.phrases):
-            at = max(range(len(words)), key=lambda i: (self.idf[words[i]], -i))
+            at = self._rarest(words)
             self.anchors[words[at]].append((p, at))
+        self.key_anchors = defaultdict(list)
+        for t, ((key, _), *_) in enumerate(self.keys):
+            at = self._rarest(key)
+            self.key_anchors[key[at]].append((t, at))
         return self
 
+    def _rarest(self, words: list[bytes]) -> int:
+        return max(range(len(words)), key=lambda i: (self.idf[words[i]], -i))
+
     def spans(self, words: list[bytes]) -> list[dict]:
         vocabulary, places = self.vocabulary, defaultdict(list)
         for i, w in enumerate(words):
@@ -108,18 +111,19 @@ class Index:
             for p, at in starts if w in places else ():
                 label, phrase = self.phrases[p]
                 found += [{"label": label, "start": i - at, "length": len(phrase), "base": True, "score": 1.0} for i in places[w] if i >= at and words[i - at : i - at + len(phrase)] == phrase]
-        rare = sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf[w], w))[: self.look_up]
-        votes = defaultdict(set)
-        for w in rare:
-            for t, q in self.postings[w]:
+        candidates = set()
+        for w, starts in self.key_anchors.items():
+            for t, at in starts if w in places else ():
+                key, q = self.keys[t][0]
                 for i in places[w]:
-                    votes[t, i - q].add(w)
+                    if i >= at and words[i - at : i - at + len(key)] == key:
+                        candidates.update((t, i - at - q + d) for d in range(-self.slack, self.slack + 1))
         notices = []
-        for (t, start), voters in votes.items():
+        for t, start in candidates:
             _, template, _ = self.templates[t]
-            if len(voters) >= min(self.min_votes, len(set(template))) and self._verified(words, t, start):
-                inside = sum(0 <= start + q < len(words) and words[start + q] == w for q, w in enumerate(template))
-                notices.append((inside / len(template), t, start))
+            held = [w for q, w in enumerate(template) if 0 <= start + q < len(words) and words[start + q] == w]
+            if len(set(held)) >= min(self.min_votes, len(set(template))) and self._verified(words, t, start):
+                notices.append((len(held) / len(template), t, start))
         taken = set()
         for score, t, start in sorted(notices, key=lambda x: (-x[0], x[1:])):
             # One key phrase verifies several starts within the slack: the best of them counts.
