@@ -1,5 +1,8 @@
 """References of languages that consist of copies, and of large alphabets."""
 
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.llm import cross_parsing
@@ -16,3 +19,40 @@ def test_copies_leave_a_language_its_reference(spark):
     assert len(got) == 18 and all(r["lang_pred"] == r["lang"] for r in got)
     # All three texts of 26 characters, with a space between them.
     assert all(round(2**b) == 80 for b in parser.bits)
+
+
+def test_large_alphabets_get_their_language(spark):
+    """Beside two Latin languages, two of 400 letters each, of which half are common to both."""
+    rng = np.random.default_rng(2)
+    words = {
+        "de": ["der", "und", "haus", "wasser", "schiff", "regen"],
+        "en": ["the", "and", "house", "water", "ship", "rain"],
+        "ko": ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 400, 3))) for _ in range(600)],
+        "zh": ["".join(map(chr, rng.integers(0x4E00 + 200, 0x4E00 + 600, 3))) for _ in range(600)],
+    }
+    rows = [(i, k, " ".join(rng.choice(w, 60))) for k, w in words.items() for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = cross_parsing.identify(docs.where("doc_id >= 40"), cross_parsing.fit(docs.where("doc_id < 40")), ["lang"]).collect()
+    assert len(got) == 80 and all(r["lang_pred"] == r["lang"] and r["score"] > 0 for r in got)
+
+
+def test_letters_beyond_the_table_parse_alike():
+    rng, signs = np.random.default_rng(9), list("abcdefgh \u4e00\u4e01\uac00")
+    refs = {k: "".join(rng.choice(signs[i:], 120)) for i, k in enumerate("abc")}
+    wide, narrow = (cross_parsing.Parser(refs, n, block=16) for n in (60, 2))
+    texts = ["".join(rng.choice([*signs, "z"], rng.integers(1, 60))) for _ in range(200)]
+    assert (wide.phrases([wide.symbols(t) for t in texts]) == narrow.phrases([narrow.symbols(t) for t in texts])).all()
+
+    def brute(ref, text):
+        n = 0
+        for lo in range(0, len(text), 16):
+            n, now = n + 1, ""
+            for c in text[lo : lo + 16]:
+                now += c
+                if now not in ref:
+                    n, now = n + 1, c if c in ref else ""
+        return n
+
+    squeeze = lambda t: re.sub(" +", " ", t).lstrip()
+    for t in texts:
+        assert narrow.phrases([narrow.symbols(t)])[0].tolist() == [brute(squeeze(refs[k]), squeeze(t)) for k in "abc"]

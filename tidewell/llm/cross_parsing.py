@@ -6,12 +6,14 @@ the reference doesn't hold ends a phrase as its last one. The number of
 phrases times log2 of the reference's length, by the text's length, estimates the bits a character costs; the language
 with the fewest wins, and the score is the lead over the next, as a share.
 
-Characters are letters in lower case and one space for any run of others. The ``alphabet`` most frequent letters of the
-references have a class each; other letters never match. A phrase ends at every ``block`` characters, so that very long
+Characters are letters in lower case and one space for any run of others. Every letter of the references has a class;
+letters that no reference holds never match. A phrase ends at every ``block`` characters, so that very long
 texts are parsed as many short lanes side by side; whole texts are parsed.
 
 The automata are one table from (state, class) to the next state, whose sign tells that a phrase ended, so a step of
-all lanes and languages is one gather. Table size: languages * about 1.5 * ``reference`` states * classes * 4 bytes.
+all lanes and languages is one gather. The table holds the ``alphabet`` most frequent letters; the transitions by all others
+are a sorted list of (state, class), searched where a lane is at such a letter. Table size: languages * about 1.5 *
+``reference`` states * classes * 4 bytes; the list has at most 3 * ``reference`` entries of 12 bytes a language.
 
 Sample. The references are bounded: per language the ``sample_docs`` labelled texts of smallest hash, of each at most
 ``doc_chars`` characters, up to ``reference`` characters. That is all that is gathered; prediction is one pass over all
@@ -80,18 +82,26 @@ class Parser:
     def __init__(self, references: dict[str, str], alphabet: int, block: int = 1024):
         self.languages, self.block = sorted(references), block
         letters = Counter(c for r in references.values() for c in r.lower() if c.isalpha())
-        chosen = sorted(letters, key=lambda c: (-letters[c], c))[:alphabet]
+        chosen = sorted(letters, key=lambda c: (-letters[c], c))
         self.chosen = {c: i + 2 for i, c in enumerate(chosen)}
         self._classes: np.ndarray | None = None
-        self.width = len(chosen) + 2
+        self.width, self.n_classes = min(len(chosen), alphabet) + 2, len(chosen) + 2
         tables, self.roots, self.bits, base = [], [], [], 0
-        for lang in self.languages:
+        keys, nexts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        # By language and class, where a phrase that can't go on starts the next one.
+        self.again = np.zeros((len(self.languages), self.n_classes), np.int32)
+        for n, lang in enumerate(self.languages):
             symbols = self.symbols(references[lang])
             follow = suffix_automaton(symbols.tolist())
             table = np.full((len(follow), self.width), -1, np.int64)
             for state, out in enumerate(follow):
-                if out:
-                    table[state, list(out)] = list(out.values())
+                near = [c for c in out if c < self.width]
+                table[state, near] = [out[c] for c in near]
+            rest = np.array([(state, c, to) for state, out in enumerate(follow) for c, to in out.items() if c >= self.width], np.int64).reshape(-1, 3)
+            keys.append((rest[:, 0] + base) * self.n_classes + rest[:, 1])
+            nexts.append((rest[:, 2] + base).astype(np.int32))
+            self.again[n] = base
+            self.again[n, list(follow[0])] = np.array(list(follow[0].values()), np.int32) + base
             table[:, OTHER] = -1
             # A phrase that can't go on ends; the next one starts with the same character, or after an unknown one.
             again = np.maximum(table[0], 0)
@@ -100,15 +110,17 @@ class Parser:
             self.roots.append(base)
             self.bits.append(np.log2(max(len(symbols), 2)))
             base += len(follow)
+        order = np.argsort(np.concatenate(keys))
+        self.keys, self.nexts = np.concatenate(keys)[order], np.concatenate(nexts)[order]
         self.table = np.concatenate(tables).astype(np.int32).reshape(-1) if tables else np.zeros(0, np.int32)
 
     def __getstate__(self):
         return self.__dict__ | {"_classes": None}
 
     def classes(self) -> np.ndarray:
-        """Of all code points: class, or OTHER for an unlisted letter."""
+        """Of all code points: class, or OTHER for a letter of no reference."""
         if self._classes is None:
-            points = np.zeros(0x110000, np.uint8)
+            points = np.zeros(0x110000, np.min_scalar_type(self.n_classes))
             for i in range(0x110000):
                 c = chr(i)
                 if c.isalpha():
@@ -135,16 +147,30 @@ class Parser:
         order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still running are a prefix
         starts, length, owner = starts[order], (ends - starts)[order], owner[order]
         symbols, width, table = np.concatenate(texts), self.width, self.table
+        wide = int(symbols.max()) >= width
         state = np.repeat(np.array(self.roots, np.int32)[:, None], len(starts), axis=1)
         ended = np.ones((n, len(starts)), np.int64)  # the block's last phrase
         running = np.searchsorted(-length, -np.arange(length[0]), side="left")
         for step, k in enumerate(running.tolist()):
-            new = table[state[:, :k] * width + symbols[starts[:k] + step]]
+            now = symbols[starts[:k] + step]
+            rest = np.flatnonzero(now >= width) if wide else ()
+            if len(rest):
+                own, far = state[:, rest], now[rest]
+                now[rest] = OTHER
+            new = table[state[:, :k] * width + now]
+            if len(rest):
+                new[:, rest] = self._searched(own, far)
             ended[:, :k] += new < 0
             state[:, :k] = new ^ (new >> 31)
         np.add.at(out, owner, ended.T)
         return out
 
+    def _searched(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """What the table would hold for classes beyond it; a row for each language."""
+        key = state.astype(np.int64) * self.n_classes + symbols
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.nexts[at], ~self.again[:, symbols])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         symbols = [self.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
         lettered = np.array([bool((s != SPACE).any()) for s in symbols], bool)
