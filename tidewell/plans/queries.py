@@ -220,9 +220,9 @@ def _embeddings(spark, sf_dir):
     return rows.select(F.col("vec_id").alias("chunk_idx"), F.col("label").cast("bigint").alias("page_id"), "embedding")
 
 
-def _dense(spark, sf_dir, k, most=None):
+def _dense(spark, sf_dir, k, most=None, asked="chunk_idx < 3"):
     rows = _embeddings(spark, sf_dir)
-    queries = rows.where("chunk_idx < 3").select(F.col("chunk_idx").alias("qid"), "embedding")
+    queries = rows.where(asked).select(F.col("chunk_idx").alias("qid"), "embedding")
     return dense.search(queries, rows if most is None else rows.where(F.col("chunk_idx") < most), k).select("qid", "rank", "chunk_idx", "score")
 
 
@@ -234,6 +234,11 @@ def dense_topk_small_k_gt_n(spark, sf_dir):
     return _dense(spark, sf_dir, 120, most=7)
 
 
+def dense_topk_whole(spark, sf_dir):
+    """Every twentieth vector against all."""
+    return _dense(spark, sf_dir, 120, asked="chunk_idx % 20 = 0")
+
+
 def hash_embed(spark, sf_dir):
     rows = _documents(spark, sf_dir).select("doc_id", dense.embed_column(dense.HashingEmbedder)(F.col("text")).alias("e"))
     return rows.select("doc_id", F.posexplode("e").alias("bucket", "v")).where("v > 0").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("v", 6).alias("value"))
@@ -274,10 +279,15 @@ def minmax_features(spark, sf_dir):
     return rows.select("qid", "chunk_idx", *(F.round(fusion.min_max(c), 6).alias(c) for c in ("dense_score", "bm25_score", "fused")))
 
 
-def _own_pages(spark, sf_dir):
-    """Each small page as a query to its own chunks: two quoted words, four plain ones, and a number."""
-    chunks = _chunks(spark, sf_dir).where("page_id < 300")
-    page = _documents(spark, sf_dir).where("doc_id < 300").select(F.col("doc_id").alias("qid"), tx.tokens(F.col("text")).alias("w"))
+def _own_pages(spark, sf_dir, below=300):
+    """Each page as a query to its own chunks: two quoted words, four plain ones, and a number.
+
+    The SQL of three queries holds those of ids under 300; None is all pages.
+    """
+    chunks, docs = _chunks(spark, sf_dir), _documents(spark, sf_dir)
+    if below is not None:
+        chunks, docs = chunks.where(F.col("page_id") < below), docs.where(F.col("doc_id") < below)
+    page = docs.select(F.col("doc_id").alias("qid"), tx.tokens(F.col("text")).alias("w"))
     number = F.array_join(F.slice(tx.with_digits(F.col("w")), 1, 1), " ")
     plain = F.array_join(F.slice("w", 5, 4), " ")
     quoted = F.when(F.col("qid") % 2 == 0, F.concat(F.lit('"'), F.array_join(F.slice("w", 1, 2), " "), F.lit('" '))).otherwise(F.lit(""))
@@ -299,6 +309,12 @@ def numeric_match(spark, sf_dir):
     return _own_pages(spark, sf_dir).select("qid", "chunk_idx", F.round("numeric_match", 6).alias("numeric_match"))
 
 
+def overlaps_whole(spark, sf_dir):
+    """The overlap, phrase and number features of every page, with rarity over all chunks."""
+    rounded = (F.round(c, 6).alias(c) for c in ("title_overlap", "chunk_overlap", "numeric_match"))
+    return _own_pages(spark, sf_dir, None).select("qid", "chunk_idx", *rounded, "phrase_match")
+
+
 # Scores, reranking, pages
 
 
@@ -419,8 +435,8 @@ QUERIES = {
         norm_whitespace, lower_squeeze, tokenize, lower_tokens, match_tokens, distinct_tokens, untokenize, split_paragraphs, quoted_phrases, code_like,
         digit_tokens, chunk_text_compose, page_text, page_id_coerce, chunk_oversized, chunk_merge, chunk_corpus, chunk_stats, udtf_chunks, term_frequency,
         document_frequency, idf, corpus_stats, builder_counts, engine_summary, vocab_offsets, bm25_scores, bm25_topk, bm25_topk_padded, bm25_params, vocab_lookup_semi,
-        vocab_missing_anti, dense_topk, dense_topk_small_k_gt_n, hash_embed, udf_embed_rows, query_profile, bm25_weight, rrf_fusion, minmax_features,
-        overlap_features, phrase_match, numeric_match, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, page_aggregate_max, page_aggregate_top3,
+        vocab_missing_anti, dense_topk, dense_topk_small_k_gt_n, dense_topk_whole, hash_embed, udf_embed_rows, query_profile, bm25_weight, rrf_fusion, minmax_features,
+        overlap_features, phrase_match, numeric_match, overlaps_whole, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, page_aggregate_max, page_aggregate_top3,
         hybrid_search, qrels, dcg_table, ndcg_per_query, ndcg_standard, mean_ndcg, ndcg_duplicates, alignment_check, json_pages_scan, artifact_roundtrip,
     )
 }
