@@ -28,3 +28,10 @@ def test_vectors_of_every_twentieth_id(spark, tmp_path):
         own = [r["chunk_idx"] for r in sorted((r for r in got if r["qid"] == i), key=lambda r: r["rank"])]
         scores = x.astype(np.float32).astype(float) @ x[i].astype(np.float32).astype(float)
         assert set(own[:100]) <= set(np.argsort(-scores)[:102].tolist())
+
+
+def test_relevance_of_short_items(spark, tmp_path):
+    spark.createDataFrame([(1, "b c"), (2, "x"), (3, "a b c d e f"), (4, "f e")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(10, "a b c d e f"), (11, "z b c"), (12, "x"), (13, "b d c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["qrels"](spark, str(tmp_path)).collect()
+    assert sorted((r["qid"], r["page_id"]) for r in got) == [(1, 10), (1, 11), (2, 12), (3, 10)]

@@ -58,11 +58,13 @@ def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 10) -> Data
 def benchmark_relevance(spark: SparkSession, sf_dir: str, words: int = 5) -> DataFrame:
     """``(qid, page_id)``: documents that hold a benchmark item's text.
 
-    Items are looked up by their first words among the documents' runs of as many words; only those that meet are
-    compared as texts. The items are a fixed small set, sent to every task.
+    Items are looked up by their first words among the documents' runs of as many words, shorter items by all their words;
+    only those that meet are compared as texts. The items are a fixed small set, sent to every task.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("item"), tx.join_tokens(F.slice(tx.tokens(F.col("text")), 1, words)).alias("run"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", tx.tokens(F.col("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, words), " "))
+    sizes = [r["n"] for r in items.select(F.least(F.size(tx.tokens(F.col("item"))), F.lit(words)).alias("n")).distinct().collect() if r["n"]]
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
+    runs = F.concat(*map(run, sorted(sizes))) if sizes else F.array().cast("array<string>")
     met = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(F.broadcast(items), "run").select("qid", "doc_id", "item").distinct()
     return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("qid", F.col("doc_id").alias("page_id")).distinct()
