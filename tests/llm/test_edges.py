@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewell.llm import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, suffix_index, url_rules
+from tidewell.llm import anisotropic, cross_parsing, license_scan, line_quality, mixing, packing, simhash, suffix_index, url_rules
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LINE = "one two three four five six seven eight nine ten"
@@ -320,34 +320,6 @@ def test_licences(docs, texts, spark):
     assert license_scan.scan(docs.limit(0), ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("head", [400_000, 9])
-def test_language_model(docs, texts, head):
-    shape = logbilinear.Shape(symbols=5, endings=3, head=head, steps=20)
-    train = docs.where("doc_id is null or doc_id % 5 != 1")
-    counts, lex, model = logbilinear.fit(train, shape=shape)
-    tokens = lambda t: [w.encode().lower() for w in _words(t)] + [b""]
-    c = Counter(w for r in train.collect() for w in tokens(r["text"]))
-    n, v = sum(c.values()), len(c)
-    assert (model["tokens"], model["distinct"]) == (n, v)
-    assert np.allclose((10.0 ** model["table"].astype(float)).sum(axis=1), 1, atol=1e-4)
-    got = logbilinear.score(docs, counts, lex, model, ["doc_id", "text"]).collect()
-    assert len(got) == len(texts)
-    for r in got:
-        own = tokens(r["text"])
-        assert (r["n_tokens"], r["n_known"]) == (len(own), sum(c[w] > 0 for w in own))
-        assert abs(r["base_score"] - sum(np.log10((c[w] + 1) / (n + v + 1)) for w in own)) < 1e-6 * len(own)
-        kinds = [lex.words.index(w) if w in lex.words[: lex.n_symbols] else lex.ending(w) for w in own]
-        before = [lex.n_classes] * 2 + kinds
-        score = 0.0
-        for i, (w, k) in enumerate(zip(own, kinds)):
-            score += model["table"][before[i] * (lex.n_classes + 1) + before[i + 1], k]
-            score += 0 if k < lex.n_symbols else np.log10(c[w] + 1) + model["within"][k]
-        assert abs(r["score"] - score) < 1e-3 * len(own)
-    nothing = logbilinear.fit(docs.limit(0), shape=shape)
-    assert logbilinear.score(docs.limit(0), *nothing, ["doc_id"]).count() == 0
-    assert logbilinear.score(docs, *nothing, ["doc_id"]).count() == len(texts)
-
-
 def test_crc_rule(spark):
     """The queries' folds are those of zlib's CRC-32 of the id as text."""
     got = {r["i"]: r["c"] for r in spark.range(50).select(F.col("id").alias("i"), F.crc32(F.col("id").cast("string")).alias("c")).collect()}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,24 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, rows)
 
 
+def free_memory() -> None:
+    """Gives back what a task leaves unused: Python workers live on, and the next task may run in another one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def kept_names(keep: Sequence[str], results: Sequence[str]) -> list[str]:
+    """The names of kept columns beside ``results``: one that clashes comes as ``own_`` and its name."""
+    names = []
+    for c in keep:
+        while c in results or c in names:
+            c = f"own_{c}"
+        names.append(c)
+    return names
+
+
 def connected_components(edges: DataFrame, names: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, root, name)`` for every node of ``edges``, from ``names`` (node, name), which has each node once.
 
