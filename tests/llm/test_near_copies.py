@@ -1,6 +1,7 @@
 """The pipeline's near-dedup against all pairs."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tidewell.llm import near_copies, simhash
@@ -51,26 +52,44 @@ def test_near_dedup_keeps_one_of_each_similar_group(spark):
     assert near_copies.links(docs.limit(0)).count() == 0
 
 
-def test_forest_against_all_pairs():
-    rng = np.random.default_rng(4)
-    for _ in range(60):
-        base = rng.integers(0, 1 << 60, 40).astype("<u8")
-        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(28, 41)], rng.integers(0, 1 << 60, rng.integers(0, 4)).astype("<u8")])) for _ in range(25)]
-        root, want = list(range(25)), list(range(25))
-
-        def find(r, i):
-            while r[i] != i:
-                i = r[i]
-            return i
-
-        for i, j in near_copies.similar(sets, 0.8):
-            root[find(root, i)] = find(root, j)
-        for i in range(25):
-            for j in range(i):
-                if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])):
-                    want[find(want, i)] = find(want, j)
-        same = lambda r: [[find(r, i) == find(r, j) for j in range(25)] for i in range(25)]
-        assert same(root) == same(want)
+@pytest.mark.parametrize("most", [1000, 3])
+def test_links_connect_all_pairs_that_share_a_band(spark, most):
+    """Chains, groups and stray texts in the same buckets, which one row a band makes large."""
+    rng, bands = np.random.default_rng(4), near_copies.Bands(bands=4, rows=1)
+    texts = []
+    for _ in range(6):
+        now = [f"w{rng.integers(400)}" for _ in range(60)]
+        for _ in range(14):
+            at = int(rng.integers(60))
+            now = now[:at] + [f"w{rng.integers(400)}"] + now[at + 1 :]
+            texts.append(" ".join(now))
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = near_copies.links(docs, shingle=1, bands=bands, most=most).collect()
+    hashes = [r["h"] for r in docs.orderBy("doc_id").selectExpr("xxhash64(text) h").collect()]
+    sets = [near_copies.shingle_set(t.encode(), 1) for t in texts]
+    keys = [bands.keys(s) for s in sets]
+    number = {h: i for i, h in enumerate(hashes)}
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    got, want = list(range(len(texts))), list(range(len(texts)))
+
+    def find(r, i):
+        while r[i] != i:
+            i = r[i]
+        return i
+
+    for r in found:
+        i, j = number[r["a"]], number[r["b"]]
+        assert alike(i, j)
+        got[find(got, i)] = find(got, j)
+    for i in range(len(texts)):
+        for j in range(i):
+            if (keys[i] == keys[j]).any() and alike(i, j):
+                want[find(want, i)] = find(want, j)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (find(got, i) == find(got, j)) == (find(want, i) == find(want, j))
+    assert len(found) < len(texts) * 4
 
 
 def test_recall_of_bands():

@@ -3,11 +3,12 @@
 A text's set holds the XXH64 of its shingles (those of the SimHash fingerprint). ``bands`` * ``rows`` MinHash values are cut into
 bands; a pair of similarity s shares one of them with probability 1 - (1 - s^rows)^bands, 0.9997 at 0.8 for 20 bands of 5.
 
-Candidates. Each band's bucket links its texts to the smallest of them (a partial aggregate and a join, no pairs), and
-connected components of these links hold every pair that shares a band. Only texts of components with two different texts
-send their set, once each, to the task of their component. There a breadth-first search links every pair of the
-component's sets whose similarity is at least ``similarity``, but only a spanning forest of the links is emitted. A search step
-compares one set with those not reached yet whose sizes allow the similarity.
+Candidates. Texts that share a band are a bucket, led by its smallest text hash. First every text is compared with its
+buckets' leaders; where a leader has many texts they are dealt out by a salt and the leader's set goes to each share. The links
+found make classes, by connected components. Most buckets then hold one class and are done. Of the others, one class is left
+aside and the texts of all others are compared with the whole bucket but their own class, in blocks of ``most`` sets against
+``most`` sets, and each names one link to each class that it meets. So every pair of a bucket is compared or connected already, no task
+holds more than two blocks, and no group's pairs are emitted.
 
 Defined results: texts without words are equal; shorter texts than a shingle are one shingle; a null text has no word; repeated
 texts are one node; an empty table gives no row.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..cluster import cut, partitions, small_side
-from .common import connected_components
+from .common import connected_components, free_memory
 from .simhash import SEED, shingle_hashes
 
 
@@ -53,40 +54,75 @@ class Bands:
         return out.view("<i8")
 
 
-def similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of ``sets`` whose Jaccard similarity is at least ``similarity``."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    _, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
-    own = np.split(flat, np.cumsum(sizes)[:-1])
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    todo, found = np.arange(len(sets)), []
-    while len(todo):
-        queue = [int(todo[0])]
-        todo, flat = todo[1:], flat[sizes[todo[0]] :]
-        while queue and len(todo):
-            x = queue.pop()
-            left = sizes[todo]
-            lo = np.searchsorted(left, similarity * sizes[x] - 1e-9)
-            hi = np.searchsorted(left, sizes[x] / similarity + 1e-9, side="right")
-            if lo == hi:
-                continue
-            starts = np.cumsum(left) - left
-            mark[own[x]] = True
-            inside = np.add.reduceat(mark[flat[starts[lo] : starts[hi - 1] + left[hi - 1]]], starts[lo:hi] - starts[lo], dtype=np.int64)
-            mark[own[x]] = False
-            near = np.zeros(len(todo), bool)
-            near[lo:hi] = inside >= similarity * (left[lo:hi] + sizes[x] - inside) - 1e-9
-            if near.any():
-                reached = todo[near].tolist()
-                found += [(int(order[x]), int(order[y])) for y in reached]
-                queue += reached
-                todo, flat = todo[~near], flat[np.repeat(~near, left)]
-    return found
-
-
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: Bands = Bands()) -> DataFrame:
-    """Edges ``(a, b)`` between text hashes, enough to connect all texts of at least ``similarity`` that share a band."""
+def shared(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``sets`` has in common with ``one``; all are sorted and without repeats."""
+    flat = np.concatenate(sets)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    sizes = np.array([len(s) for s in sets])
+    return np.add.reduceat(one[at] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+
+def alike(one: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of ``sets`` have at least that Jaccard similarity with ``one``; only those whose sizes allow it are compared."""
+    sizes = np.array([len(s) for s in sets])
+    out = (sizes >= similarity * len(one) - 1e-9) & (sizes * similarity <= len(one) + 1e-9)
+    some = np.flatnonzero(out)
+    if len(some):
+        both = shared(one, [sets[i] for i in some])
+        out[some] = both >= similarity * (sizes[some] + len(one) - both) - 1e-9
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+    """The rows of each group of equal first ``n_keys`` columns, of sorted batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[:n_keys] != held[0][:n_keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _set(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u8")
+
+
+def _with_leaders(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of sorted (a, salt, b, hashes), where a null b comes first and has the set that the others are compared with."""
+    for rows in _groups(batches, 2):
+        leader = _set(rows[0][3])
+        near = alike(leader, [_set(r[3]) for r in rows[1:]], similarity) if len(rows) > 1 else np.zeros(0, bool)
+        own = [r[2] for r, ok in zip(rows[1:], near) if ok]
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(own), pa.int64()), pa.array(own, pa.int64())], ["a", "b"])
+    free_memory()
+
+
+def _across_classes(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of (key, part, salt, asking, text_hash, class, hashes): one link of each asking row to each other class it meets."""
+    for rows in _groups(batches, 3):
+        asked, asking = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+        a, b = [], []
+        if asked:
+            classes, sets = np.array([r[5] for r in asked]), [_set(r[6]) for r in asked]
+            for r in asking:
+                there = np.flatnonzero(classes != r[5])
+                if len(there):
+                    near = there[alike(_set(r[6]), [sets[i] for i in there], similarity)]
+                    first = np.unique(classes[near], return_index=True)[1]
+                    a += [r[4]] * len(first)
+                    b += [asked[near[i]][4] for i in first]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    free_memory()
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bands: Bands = Bands(), most: int = 1000) -> DataFrame:
+    """Edges ``(a, b)`` between text hashes, enough to connect all texts of at least ``similarity`` that share a band.
+
+    ``most`` bounds the sets that a task compares with each other at once.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("b"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,44 +131,48 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands.bands), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists], ["doc_id", "text_hash", "keys"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = cut(rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, keys array<long>"))
-    texts = signed.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
-    met = signed.select("text_hash", F.explode("keys").alias("key"))
-    leaders = met.groupBy("key").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("most")).where("a < most").select("key", "a")
-    edges = met.join(leaders, "key").where("a <> text_hash").select("a", F.col("text_hash").alias("b")).distinct()
-    edges = cut(edges)
-    names = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("name"))
-    group = connected_components(edges, names).select(F.col("node").alias("text_hash"), "root")
-    chosen = cut(texts.join(group, "text_hash").select("text_hash", F.col("first.doc_id").alias("own"), "root"))
+        free_memory()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], ["root", "text_hash", "hashes"])
-
-    side = small_side(chosen.withColumnRenamed("text_hash", "h"))
-    one = rows.join(side, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("h"))).select("root", "text_hash", "b")
-    sets = one.mapInArrow(gather, "root long, text_hash long, hashes binary")
-    dealt = sets.repartition(partitions(sets), "root").sortWithinPartitions("root", "text_hash")
+            sets = [shingle_set(x.as_py(), shingle).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["text_hash", "hashes"])
+        free_memory()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges_of(names: list[int], own: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = similar(own, similarity) if len(own) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([names[p[i]] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        root, names, own = None, [], []
-        for batch in batches:
-            for r, h, b in zip(*(batch.column(i) for i in range(3))):
-                r, h = r.as_py(), h.as_py()
-                if r != root and names:
-                    yield edges_of(names, own)
-                    names, own = [], []
-                root = r
-                if not names or names[-1] != h:
-                    names.append(h), own.append(np.frombuffer(b.as_py(), "<u8"))
-        if names:
-            yield edges_of(names, own)
-
-    return dealt.mapInArrow(verify, "a long, b long")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    signed = cut(rows.mapInArrow(sign, f"doc_id {kind}, text_hash long, keys array<long>"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    met = signed.select("text_hash", F.explode("keys").alias("key")).distinct()
+    leaders = met.groupBy("key").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("most")).where("a < most").select("key", "a")
+    met = cut(met.join(leaders, "key").where("a <> text_hash"))
+    stars = met.select("a", F.col("text_hash").alias("b")).distinct()
+
+    # The sets of all texts that share a band with another, each once.
+    there = stars.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()
+    chosen = signed.groupBy("text_hash").agg(least).join(there, "text_hash").select(F.col("text_hash").alias("h"), F.col("first.doc_id").alias("own"))
+    side = small_side(cut(chosen))
+    one = rows.join(side, F.col("doc_id").eqNullSafe(F.col("own")) & (F.col("text_hash") == F.col("h"))).select("text_hash", "b")
+    sets = cut(one.mapInArrow(gather, "text_hash long, hashes binary").dropDuplicates(["text_hash"]))
+
+    # Each text with the leaders of its buckets. A leader of many texts goes to as many tasks as they fill.
+    salts = stars.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).alias("salts"))
+    members = stars.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b").join(sets, F.col("b") == F.col("text_hash")).select("a", "salt", "b", "hashes")
+    heads = salts.join(sets, F.col("a") == F.col("text_hash")).select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "hashes")
+    dealt = members.union(heads).repartition(partitions(sets), "a", "salt").sortWithinPartitions("a", "salt", "b")
+    found = cut(dealt.mapInArrow(lambda x: _with_leaders(x, similarity), "a long, b long"))
+
+    # Texts of a bucket that these links leave in different classes: all of them against those outside one of the classes.
+    names = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("name"))
+    classes = connected_components(found, names).select(F.col("node").alias("text_hash"), "root")
+    classed = cut(met.join(classes, "text_hash", "left").select("key", "text_hash", F.coalesce("root", "text_hash").alias("class")))
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"), F.min_by("class", "text_hash").alias("main")).where("low < high").select("key", "n", "main")
+    inside = cut(classed.join(mixed, "key").withColumn("asking", F.col("class") != F.col("main")))
+    parts = inside.groupBy("key").agg(F.ceil(F.count_if("asking") / most).alias("parts"), F.ceil(F.max("n") / most).alias("salts"))
+    inside = inside.select("key", "text_hash", "class", "asking").join(parts, "key")
+    own_part, own_salt = F.pmod(F.xxhash64("text_hash"), "parts"), F.pmod(F.xxhash64("text_hash", F.lit(1)), "salts")
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asked = inside.select("key", to("parts").alias("part"), own_salt.alias("salt"), F.lit(False).alias("asking"), "text_hash", "class")
+    asking = inside.where("asking").select("key", own_part.alias("part"), to("salts").alias("salt"), "asking", "text_hash", "class")
+    dealt = asked.union(asking).join(sets, "text_hash").select("key", "part", "salt", "asking", "text_hash", "class", "hashes")
+    dealt = dealt.repartition(partitions(sets), "key", "part", "salt").sortWithinPartitions("key", "part", "salt")
+    return found.union(dealt.mapInArrow(lambda x: _across_classes(x, similarity), "a long, b long"))
