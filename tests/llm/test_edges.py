@@ -168,15 +168,18 @@ def _without(texts, length):
         yield bytes(c for i, c in enumerate(t) if i not in gone), len(t), sum(i in gone and i - 1 not in gone for i in range(len(t)))
 
 
-@pytest.mark.parametrize(("seed", "hot", "stripe"), [(1, 20_000, 8), (2, 1, 8), (3, 6, 3)])
-def test_repeats_against_brute_force(spark, seed, hot, stripe):
+@pytest.mark.parametrize(("seed", "hot", "stripe", "frequent"), [(1, 20_000, 8, 1000), (2, 1, 8, 1000), (3, 6, 3, 1000), (4, 20_000, 8, 5), (5, 9, 3, 5)])
+def test_repeats_against_brute_force(spark, seed, hot, stripe, frequent):
     rng = np.random.default_rng(seed)
     passages = ["".join(rng.choice(list("abcd é"), rng.integers(20, 90))) for _ in range(12)]
     rows = [(i if i % 17 else None, "".join(rng.choice(passages) if rng.random() < 0.7 else "".join(rng.choice(list("abc "), rng.integers(1, 40))) for _ in range(rng.integers(0, 8))) if i % 23 else None) for i in range(120)]
     rows += [(1000, "a" * 700), (1001, "ab" * 300), (1002, "a" * 650 + "b"), rows[5], rows[5]]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = suffix_index.without_repeats(docs, length=60, core=20, batch=40, hot=hot, stripe=stripe).collect()
+    got = suffix_index.without_repeats(docs, length=60, core=20, batch=40, hot=hot, stripe=stripe, frequent=frequent).collect()
     want = list(_without([(t or "").encode() for _, t in rows], 60))
+    if frequent == 5:  # some cores are frequent, and of those some hot
+        cores, is_hot = suffix_index._frequent_cores(docs.select(F.col("text").cast("binary")), 60, 20, 5, hot)
+        assert len(cores) > 1 and is_hot.any() == (hot == 9)
     assert Counter((r["row"]["doc_id"], bytes(r["kept"] or b""), r["n_bytes"], len(r["spans"])) for r in got) == Counter((d, *w) for (d, _), w in zip(rows, want))
 
 

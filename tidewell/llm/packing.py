@@ -19,6 +19,7 @@ repeated rows, null ids and copies are packed as documents of their own; an empt
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -33,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from .common import free_memory
+
 SEQUENCE_BITS = 33
 
 
@@ -69,15 +72,12 @@ class Encoder:
     ``tiktoken`` makes them about three times as fast.
     """
 
-    def __init__(self, path: str, cache: int = 200_000):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.find = _pieces_pattern().findall
-        model = json.loads(self.tokenizer.to_str())["model"]
+    def __init__(self, path: str, cache: int = 100_000):
+        self.path, self.find = path, _pieces_pattern().findall
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
         ranks = _ranks(model["vocab"], model["merges"])
+        del model
         if ranks:
             import tiktoken
 
@@ -86,6 +86,16 @@ class Encoder:
         else:
             self.known = _Known(self.whole, cache)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Only made for texts that need it, as it holds the vocabulary once more."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.encode_special_tokens = True
+        return made
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -108,10 +118,11 @@ def _ranks(vocab: dict[str, int], merges: list) -> dict[bytes, int] | None:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, cache: int = 200_000) -> Encoder:
+def encoder(path: str, cache: int = 100_000) -> Encoder:
     """One for each worker process."""
     if (path, cache) not in _ENCODERS:
         _ENCODERS[path, cache] = Encoder(path, cache)
+        free_memory()
     return _ENCODERS[path, cache]
 
 
@@ -173,7 +184,7 @@ class Packer:
         self.order, self.windows = [], {}
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, open_windows: int = 64, min_cut: int = 16, end_id: int = 0, cache: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 1024, open_windows: int = 64, min_cut: int = 16, end_id: int = 0, cache: int = 100_000) -> DataFrame:
     """``(doc_id, start, length, token_ids, doc_tokens, sequence_id, offset)``, a row for each piece.
 
     token_ids holds the piece's ids as little-endian unsigned 32-bit numbers.
@@ -213,5 +224,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if id_type is not None:
             packer.close()
             yield flush()
+        free_memory()
 
     return rows.mapInArrow(run, schema)

@@ -6,7 +6,9 @@ sampled if the hash of the ``core`` bytes from it is the smallest in some stretc
 sees only those bytes, so two equal strings of ``length`` bytes have a sampled place in common.
 
 1. Each text's sampled places are found by rolling hashes and sliding minima (numpy, no loop over bytes). Places whose
-   core's hash occurs once can't be in a repeated string; the rest, sorted by hash, are told from their neighbours.
+   core's hash occurs once can't be in a repeated string; the rest, sorted by hash, are told from their neighbours. A first pass
+   without a shuffle of places counts the cores that come often within a task; those that hold more than a quarter of an even
+   partition are known to repeat, so their places aren't dealt by core and no core fills a task. There are at most four for each partition.
 2. The texts with such places give each place's context: ``length`` bytes from it, and up to length - core bytes before.
    A task sends equal contexts once; that they are equal settles their own places at once.
 3. Contexts are dealt out by core. Each task keeps a family of sorted levels: a new batch gets its suffix array, is
@@ -39,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from ..cluster import partitions
+from ..cluster import cut, partitions
+from .common import free_memory
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -194,30 +197,84 @@ class Family:
         self.last[entries] = np.maximum(self.last[entries], last)
 
 
-def _sent_places(batches: Iterator[pa.RecordBatch], length: int, core: int) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, at, core) of every sampled place of (k1, k2, bytes)."""
-    sampler = Sampler(length, core)
+def _core_counts(batches: Iterator[pa.RecordBatch], length: int, core: int, least: int = 4, window: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(core, n) of the cores that come ``least`` times among about ``window`` places of a task, and (null, all places)."""
+    sampler, held, total = Sampler(length, core), [], 0
+
+    def out() -> pa.RecordBatch:
+        cores, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= least
+        return pa.RecordBatch.from_arrays([pa.array(cores[often].view(np.int64)), pa.array(n[often])], ["core", "n"])
+
+    size = 0
+    for b in batches:
+        for _, _, data, sizes in _long_texts(b.column(0), length):
+            ends = np.cumsum(sizes)
+            held.append(sampler.sample(data, ends - sizes, ends)[1])
+            size += len(held[-1])
+            total += len(held[-1])
+            if size > window:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["core", "n"])
+    free_memory()
+
+
+def _frequent_cores(texts: DataFrame, length: int, core: int, least: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the cores that a task must not get whole, at most four for each partition, and which are above ``hot``.
+
+    Counts are of what each task sees often, so a core that is spread too thinly for that is left out: it fills no task either.
+    """
+    counts = cut(texts.mapInArrow(lambda x: _core_counts(x, length, core), "core long, n long").groupBy("core").agg(F.sum("n").alias("n")))
+    total = (counts.where("core is null").first() or {"n": 0})["n"]
+    found = counts.where(F.col("core").isNotNull() & (F.col("n") > max(least, total / (4 * partitions(texts))))).toArrow()
+    cores, order = found["core"].to_numpy(), np.argsort(found["core"].to_numpy())
+    return cores[order], found["n"].to_numpy()[order] > hot
+
+
+def _sent_places(batches: Iterator[pa.RecordBatch], length: int, core: int, frequent: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, at, core, state) of every sampled place of (k1, k2, bytes).
+
+    state: 0, or 1 if the core is a frequent one and 2 if it is also hot; such a place has a number of its own in place of the core.
+    """
+    sampler, (known, hot) = Sampler(length, core), frequent
     for b in batches:
         for rows, offsets, data, sizes in _long_texts(b.column(2), length):
             ends = np.cumsum(sizes)
             starts = ends - sizes
             at, h = sampler.sample(data, starts, ends)
             of = np.searchsorted(starts, at, side="right") - 1
-            doc = pa.array(rows[of])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(doc), b.column(1).take(doc), pa.array(at - starts[of] + offsets[of]), pa.array(h.view(np.int64))], ["k1", "k2", "at", "core"])
+            doc, core_hash, state, place = pa.array(rows[of]), h.view(np.int64).copy(), np.zeros(len(at), np.int8), at - starts[of] + offsets[of]
+            k1 = b.column(0).take(doc)
+            if len(known):
+                where = np.minimum(np.searchsorted(known, core_hash), len(known) - 1)
+                own = known[where] == core_hash
+                state[own] = 1 + hot[where[own]]
+                spread = (k1.to_numpy()[own].view(np.uint64) ^ place[own].astype(np.uint64)) * np.uint64(_BASE)
+                core_hash[own] = (spread ^ spread >> np.uint64(29)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([k1, b.column(1).take(doc), pa.array(place), pa.array(core_hash), pa.array(state)], ["k1", "k2", "at", "core", "state"])
+    free_memory()
 
 
 def _with_company(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by core, those whose core comes again, and whether it has over ``hot`` rows.
+    """Of rows sorted by core, those of frequent cores and those whose core comes again, and whether it has over ``hot`` rows.
 
     Holds the rows of one core at most, and of those no more than ``hot`` and a batch.
     """
     held, open_core = None, None
+    names = ["k1", "k2", "at", "hot"]
 
     def out(rows: pa.RecordBatch, is_hot: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(is_hot)], [*rows.schema.names, "hot"])
+        return pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(is_hot)], names)
 
     for b in batches:
+        state = b.column(4).to_numpy()
+        if state.any():
+            frequent = b.filter(pa.array(state > 0))
+            yield out(frequent, state[state > 0] == 2)
+            b = b.filter(pa.array(state == 0))
         if open_core is not None:  # a core that is known to be hot goes on
             n = int(np.searchsorted(b.column(3).to_numpy() != open_core, True)) if b.num_rows else 0
             if n:
@@ -240,12 +297,13 @@ def _with_company(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.Re
             held, open_core = None, cores[-1]
     if held is not None and held.num_rows > 1:
         yield out(held, np.zeros(held.num_rows, bool))
+    free_memory()
 
 
 class Contexts:
     """What a task sends of contexts: each different one once, and the spans that their repeats settle."""
 
-    def __init__(self, length: int, before: int, stripe: int, remember: int = 400_000):
+    def __init__(self, length: int, before: int, stripe: int, remember: int = 150_000):
         self.length, self.before, self.remember = length, before, remember
         self.stripes = [(x, min(x + stripe - 1, before)) for x in range(0, before + 1, stripe)]
         self.seen: dict[bytes, tuple | None] = {}  # the first place, until its span is sent
@@ -323,6 +381,7 @@ def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int,
                     if len(sent.out) >= step:
                         yield sent.batch()
     yield sent.batch()
+    free_memory()
 
 
 def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -352,6 +411,8 @@ def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, si
         k1, k2, at = (np.concatenate(x) for x in zip(*names))
         hit = family.last >= 0
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[hit], k2[hit], (at - family.last)[hit], (at + length - family.first)[hit])], ["k1", "k2", "start", "stop"])
+    del family
+    free_memory()
 
 
 def _without(text: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
@@ -366,17 +427,19 @@ def _without(text: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), runs
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 100_000, stripe: int = 8) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 100_000, stripe: int = 8, frequent: int = 1000, as_text: bool = False) -> DataFrame:
     """``(row, n_bytes, kept, spans)`` for every row.
 
-    row has the other columns, kept the bytes that stay (null for a null text), and spans the maximal runs
-    (start, stop) of bytes that go, in order.
+    row has the other columns, kept the bytes that stay (null for a null text; with ``as_text`` the whole characters among them), and
+    spans the maximal runs (start, stop) of bytes that go, in order. ``frequent`` is the least number of places from which on a core's
+    are dealt out one by one.
     """
     before, n, keys = length - core, partitions(docs), ["k1", "k2"]
     own = docs.select(F.xxhash64(doc_id).alias("k1"), F.xxhash64(text).alias("k2"), F.struct(*(c for c in docs.columns if c != text)).alias("row"), F.col(text).cast("binary").alias("bytes"))
+    known = _frequent_cores(own.select("bytes"), length, core, frequent, hot)
     place = "k1 long, k2 long, at long, core long"
-    sampled = own.select(*keys, "bytes").mapInArrow(lambda x: _sent_places(x, length, core), place)
-    repeated = sampled.repartition(n, "core").sortWithinPartitions("core").mapInArrow(lambda x: _with_company(x, hot), f"{place}, hot boolean")
+    sampled = own.select(*keys, "bytes").mapInArrow(lambda x: _sent_places(x, length, core, known), f"{place}, state tinyint")
+    repeated = sampled.repartition(n, "core").sortWithinPartitions("core").mapInArrow(lambda x: _with_company(x, hot), "k1 long, k2 long, at long, hot boolean")
     by_doc = repeated.groupBy(*keys).agg(F.collect_set(2 * F.col("at") + F.col("hot").cast("bigint")).alias("places"))
 
     joined = own.join(by_doc, keys).select(*keys, "row", "bytes", "places")
@@ -386,7 +449,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     rows = own.join(by_doc, keys, "left").select(*keys, "row", "bytes", "found").select("row", "bytes", "found")
     run = StructType([StructField("start", LongType()), StructField("stop", LongType())])
-    schema = StructType([rows.schema["row"], StructField("n_bytes", LongType()), StructField("kept", BinaryType()), StructField("spans", ArrayType(run))])
+    schema = StructType([rows.schema["row"], StructField("n_bytes", LongType()), StructField("kept", StringType() if as_text else BinaryType()), StructField("spans", ArrayType(run))])
     arrow_runs = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,10 +457,11 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             kept, spans = [], []
             for x, found in zip(b.column(1), b.column(2)):
                 bytes_, runs = _without(x.as_py(), found.as_py()) if found.is_valid else (x.as_py(), [])
-                kept.append(bytes_)
+                kept.append(bytes_.decode("utf-8", "ignore") if as_text and bytes_ is not None else bytes_)
                 spans.append(runs)
             sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(kept, b.column(1).type), pa.array(spans, arrow_runs)], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, pa.array(kept, pa.string() if as_text else b.column(1).type), pa.array(spans, arrow_runs)], schema.names)
+        free_memory()
 
     return rows.mapInArrow(finish, schema)
 
@@ -407,13 +471,6 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
 
     ``n_chars`` names a column that gets the new length.
     """
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["row", "kept"])
-
-    out = without_repeats(docs, doc_id, text, **options).select("row", "kept")
-    out = out.mapInArrow(decoded, StructType([out.schema["row"], StructField("kept", StringType())]))
+    out = without_repeats(docs, doc_id, text, as_text=True, **options).select("row", "kept")
     new = {text: F.col("kept")} | ({n_chars: F.length("kept").cast("bigint")} if n_chars else {})
     return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
