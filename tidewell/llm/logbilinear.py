@@ -321,9 +321,15 @@ class Trainer:
             e = (j == 0) - _sigmoid(np.einsum("bd,bd->b", hm, qm) - self.log_inner[cm])
             back[many] += e[:, None] * qm[:, :d]
             rows.append(n + at), grads.append(e[:, None] * hm)
-        wide = np.zeros((2 * size, d + 1), np.float32)
-        wide[:size, :d], wide[size:, :d] = back @ a.T, back @ b.T
-        self._ascend(np.concatenate((*rows, near, far)), np.concatenate((*grads, wide)))
+        # A token's second context is mostly the first one of the token before: their gradients go as one row.
+        wide, to_far = np.zeros((size, d + 1), np.float32), back @ b.T
+        alone = np.concatenate(([0], np.flatnonzero(far[1:] != near[:-1]) + 1))
+        wide[:, :d] = back @ a.T
+        apart = np.zeros((len(alone), d + 1), np.float32)
+        apart[:, :d] = to_far[alone]
+        to_far[alone] = 0
+        wide[:-1, :d] += to_far[1:]
+        self._ascend(np.concatenate((*rows, near, far[alone])), np.concatenate((*grads, wide, apart)))
         at = 2 * n + m.c
         for lo, grad in ((at, r_near.T @ back), (at + d, r_far.T @ back)):
             m.squares[lo : lo + d] += (grad * grad).mean(axis=1) / size
