@@ -301,35 +301,50 @@ class Trainer:
         m, shape, n, d = self.m, self.shape, self.m.n, self.m.dim
         r, q, g, a, b = m.parts()
         size = len(unit)
-        r_near, r_far = r[near], r[far]
+        # A token's second context is mostly the first one of the token before: their gradients go as one row.
+        alone = np.concatenate(([0], np.flatnonzero(far[1:] != near[:-1]) + 1))
+        r_near = r.take(near, 0)
+        r_far = np.empty_like(r_near)
+        r_far[1:] = r_near[:-1]
+        r_far[alone] = r[far[alone]]
         h1 = np.ones((size, d + 1), np.float32)
-        h = h1[:, :d]
-        h[:] = r_near @ a
-        h += r_far @ b
+        h1[:, :d] = r_near @ a
+        h1[:, :d] += r_far @ b
         c = self.class_of[unit]
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(shape.noise)), m.c - 1)
-        true = 1 - _sigmoid(np.einsum("bd,bd->b", h1, g[c]) - self.log_noise[c])
+        own = g.take(c, 0)
+        true = 1 - _sigmoid(np.einsum("bd,bd->b", h1, own) - self.log_noise[c])
         false = -_sigmoid(h1 @ (g[noise] - self.bias_only * self.log_noise[noise][:, None]).T)
-        back = true[:, None] * g[c, :d]
-        back += false @ g[noise, :d]
-        rows, grads = [2 * n + c, 2 * n + noise], [true[:, None] * h1, false.T @ h1]
+        own *= true[:, None]
+        back = false @ g[noise, :d]
+        back += own[:, :d]
         many = np.flatnonzero(self.widths[c] > 1)
+        blocks = [size, shape.noise, *([len(many)] * (shape.inner + 1)), size, len(alone)]
+        cuts = np.cumsum([0, *blocks])
+        rows, grads = np.empty(cuts[-1], np.int32), np.empty((cuts[-1], d + 1), np.float32)
+        part = [slice(lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+        rows[part[0]], rows[part[1]], rows[part[-2]], rows[part[-1]] = 2 * n + c, 2 * n + noise, near, far[alone]
+        np.multiply(true[:, None], h1, out=grads[part[0]])
+        np.matmul(false.T, h1, out=grads[part[1]])
+        every = len(many) == size
+        cm, hm = (c, h1) if every else (c[many], h1[many])
         for j in range(shape.inner + 1 if len(many) else 0):
-            cm = c[many]
-            at = unit[many] if j == 0 else self.starts[cm] + (self.rng.random(len(many), np.float32) * self.widths[cm]).astype(np.int64)
-            qm, hm = q[at], h1[many]
-            e = (j == 0) - _sigmoid(np.einsum("bd,bd->b", hm, qm) - self.log_inner[cm])
-            back[many] += e[:, None] * qm[:, :d]
-            rows.append(n + at), grads.append(e[:, None] * hm)
-        # A token's second context is mostly the first one of the token before: their gradients go as one row.
-        wide, to_far = np.zeros((size, d + 1), np.float32), back @ b.T
-        alone = np.concatenate(([0], np.flatnonzero(far[1:] != near[:-1]) + 1))
-        wide[:, :d] = back @ a.T
-        apart = np.zeros((len(alone), d + 1), np.float32)
-        apart[:, :d] = to_far[alone]
+            at = (unit if every else unit[many]) if j == 0 else self.starts[cm] + (self.rng.random(len(many), np.float32) * self.widths[cm]).astype(np.int64)
+            qm = q.take(at, 0)
+            e = ((j == 0) - _sigmoid(np.einsum("bd,bd->b", hm, qm) - self.log_inner[cm]))[:, None]
+            rows[part[2 + j]] = n + at
+            np.multiply(e, hm, out=grads[part[2 + j]])
+            qm *= e
+            if every:
+                back += qm[:, :d]
+            else:
+                back[many] += qm[:, :d]
+        wide, to_far = grads[part[-2]], back @ b.T
+        wide[:, :d], wide[:, d] = back @ a.T, 0
+        grads[part[-1], :d], grads[part[-1], d] = to_far[alone], 0
         to_far[alone] = 0
         wide[:-1, :d] += to_far[1:]
-        self._ascend(np.concatenate((*rows, near, far[alone])), np.concatenate((*grads, wide, apart)))
+        self._ascend(rows, grads)
         at = 2 * n + m.c
         for lo, grad in ((at, r_near.T @ back), (at + d, r_far.T @ back)):
             m.squares[lo : lo + d] += (grad * grad).mean(axis=1) / size
@@ -340,10 +355,11 @@ class Trainer:
         order = np.argsort(rows)
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        own, grad = rows[first], np.add.reduceat(grads[order], first, axis=0)
+        own, grad = rows[first], np.add.reduceat(grads.take(order, 0), first, axis=0)
         m = self.m
         m.squares[own] += np.einsum("rd,rd->r", grad, grad) / grad.shape[1]
-        m.rows[own] += self.shape.rate * grad / np.sqrt(m.squares[own])[:, None]
+        grad *= (self.shape.rate / np.sqrt(m.squares[own]))[:, None]
+        m.rows[own] += grad
         m.met[own] += np.diff(np.append(first, len(rows)))
 
     def fit(self, units: np.ndarray, sizes: np.ndarray, end: int) -> None:
