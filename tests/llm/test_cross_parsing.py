@@ -36,23 +36,54 @@ def test_large_alphabets_get_their_language(spark):
     assert len(got) == 80 and all(r["lang_pred"] == r["lang"] and r["score"] > 0 for r in got)
 
 
+def _squeeze(text):
+    return re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())).lstrip()
+
+
+def _phrases(ref, text):
+    """By the strings themselves."""
+    n, now = bool(text), ""
+    for c in text:
+        now += c
+        if now not in ref:
+            n, now = n + 1, c if c in ref else ""
+    return n
+
+
 def test_letters_beyond_the_table_parse_alike():
     rng, signs = np.random.default_rng(9), list("abcdefgh \u4e00\u4e01\uac00")
     refs = {k: "".join(rng.choice(signs[i:], 120)) for i, k in enumerate("abc")}
-    wide, narrow = (cross_parsing.Parser(refs, n, block=16) for n in (60, 2))
     texts = ["".join(rng.choice([*signs, "z"], rng.integers(1, 60))) for _ in range(200)]
-    assert (wide.phrases([wide.symbols(t) for t in texts]) == narrow.phrases([narrow.symbols(t) for t in texts])).all()
-
-    def brute(ref, text):
-        n = 0
-        for lo in range(0, len(text), 16):
-            n, now = n + 1, ""
-            for c in text[lo : lo + 16]:
-                now += c
-                if now not in ref:
-                    n, now = n + 1, c if c in ref else ""
-        return n
-
-    squeeze = lambda t: re.sub(" +", " ", t).lstrip()
-    for t in texts:
-        assert narrow.phrases([narrow.symbols(t)])[0].tolist() == [brute(squeeze(refs[k]), squeeze(t)) for k in "abc"]
+    want = [[_phrases(_squeeze(refs[k]), _squeeze(t)) for k in "abc"] for t in texts]
+    for alphabet, few in ((60, 24), (2, 24), (2, 500)):
+        parser = cross_parsing.Parser(refs, alphabet, few=few)
+        assert parser.phrases([parser.symbols(t) for t in texts]).tolist() == want
+
+
+def test_predictions_against_brute_force(spark):
+    """Four languages with words in common, texts of a word to some thousands, by the costs of plain string searches."""
+    rng, common = np.random.default_rng(6), ["in", "es", "la", "on", "1", "?!"]
+    words = {k: common + ["".join(rng.choice(list("aeiounrstlk" + x), rng.integers(2, 8))) for _ in range(40)] for k, x in zip("abcd", "ãbcd")}
+    rows = [(i, k, " ".join(rng.choice(words[k], rng.integers(1, 90) if i % 40 else 3000))) for i, k in enumerate(rng.choice(list("abcd"), 240))]
+    docs = spark.createDataFrame([*rows, (900, "a", None), (901, None, "12 !")], "doc_id long, lang string, text string").repartition(3)
+    sample = cross_parsing.Sample(reference=2000, long_text=400)
+    parser = cross_parsing.fit(docs.where("doc_id % 4 <> 1"), sample=sample)
+    # References are whole texts by hash, the long ones last.
+    hashes = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "pmod(xxhash64(text), 1073741824) h").collect()}
+    refs = {}
+    for k in "abcd":
+        own = sorted({(len(t) > 400, hashes[i], t) for i, lang, t in rows if lang == k and i % 4 != 1})
+        refs[k] = _squeeze(" ".join(t for _, _, t in own)[:2000])
+    costs = {t: [_phrases(refs[k], _squeeze(t)) * np.log2(len(refs[k])) / max(len(_squeeze(t)), 1) for k in "abcd"] for _, _, t in rows}
+    got = cross_parsing.identify(docs, parser, ["doc_id", "text"]).collect()
+    assert len(got) == 242
+    right = 0
+    for r in got:
+        if not _squeeze(r["text"] or "").strip():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cost = costs[r["text"]]
+        first, second = sorted(cost)[:2]
+        assert r["lang_pred"] == "abcd"[int(np.argmin(cost))] and abs(r["score"] - (second - first) / second) < 1e-9
+        right += r["lang_pred"] == rows[r["doc_id"]][1]
+    assert right > 0.9 * len(rows)

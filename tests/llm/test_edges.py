@@ -73,25 +73,25 @@ def test_language(docs, texts, spark):
     assert cross_parsing.identify(docs.limit(0), parser, ["doc_id"]).count() == 0
 
 
-def test_phrases_by_hand():
+@pytest.mark.parametrize(("few", "alphabet"), [(24, 60), (3, 60), (1, 2), (3, 2)])
+def test_phrases_by_hand(few, alphabet):
     refs = {"a": "abcabcd abde" * 5, "b": "ddcba ccd" * 4}
-    parser = cross_parsing.Parser(refs, 60, block=16)
+    parser = cross_parsing.Parser(refs, alphabet, few=few)
     rng = np.random.default_rng(3)
 
     def brute(ref, text):
-        n = 0
-        for lo in range(0, len(text), 16):
-            n, now = n + 1, ""
-            for c in text[lo : lo + 16]:
-                now += c
-                if now not in ref:
-                    n, now = n + 1, c if c in ref else ""
+        n, now = bool(text), ""
+        for c in text:
+            now += c
+            if now not in ref:
+                n, now = n + 1, c if c in ref else ""
         return n
 
-    for _ in range(200):
-        text = "".join(rng.choice(list("abcd ef"), rng.integers(1, 60)))
-        squeezed = re.sub("[ ]+", " ", text).lstrip()
-        assert parser.phrases([parser.symbols(text)])[0].tolist() == [brute(refs[k], squeezed) for k in "ab"]
+    texts = ["".join(rng.choice(list("abcd ef"), rng.integers(0, 60))) for _ in range(200)]
+    squeezed = [re.sub("[ ]+", " ", t).lstrip() for t in texts]
+    for lo in range(0, 200, 5):
+        part = slice(lo, lo + 5)
+        assert parser.phrases([parser.symbols(t) for t in texts[part]]).tolist() == [[brute(refs[k], t) for k in "ab"] for t in squeezed[part]]
 
 
 def _components(fps, ids, bits):

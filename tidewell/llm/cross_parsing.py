@@ -7,21 +7,21 @@ phrases times log2 of the reference's length, by the text's length, estimates th
 with the fewest wins, and the score is the lead over the next, as a share.
 
 Characters are letters in lower case and one space for any run of others. Every letter of the references has a class;
-letters that no reference holds never match. A phrase ends at every ``block`` characters, so that very long
-texts are parsed as many short lanes side by side; whole texts are parsed.
+letters that no reference holds never match. Whole texts are parsed, side by side while many are left, and the few longest to
+their ends one by one.
 
 The automata are one table from (state, class) to the next state, whose sign tells that a phrase ended, so a step of
 all lanes and languages is one gather. The table holds the ``alphabet`` most frequent letters; the transitions by all others
 are a sorted list of (state, class), searched where a lane is at such a letter. Table size: languages * about 1.5 *
 ``reference`` states * classes * 4 bytes; the list has at most 3 * ``reference`` entries of 12 bytes a language.
 
-Sample. The references are bounded: per language the ``sample_docs`` labelled texts of smallest hash, of each at most
-``doc_chars`` characters, up to ``reference`` characters. That is all that is gathered; prediction is one pass over all
-rows without a shuffle.
+Sample. The references are bounded: per language at most ``sample_docs`` different labelled texts by hash, those of over ``long_text``
+characters last, end to end until ``reference`` characters are full. That is all that is gathered; prediction is one
+pass over all rows without a shuffle.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; ties go to the first language in order;
 with one language it always wins, with score 1; without any labelled row everything is ``und``; repeated rows get equal
-results; an empty table gives no row.
+results; a kept column with a result's name comes as ``own_`` and its name; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import free_memory, kept_names
+
 UNDETERMINED = "und"
 SPACE, OTHER = 0, 1
 
@@ -44,7 +46,7 @@ SPACE, OTHER = 0, 1
 @dataclass(frozen=True)
 class Sample:
     sample_docs: int = 48
-    doc_chars: int = 2048
+    long_text: int = 4096
     reference: int = 32_768
     alphabet: int = 60
     max_languages: int = 200
@@ -79,8 +81,8 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Parser:
     """The languages' automata as one table, and the classes of characters."""
 
-    def __init__(self, references: dict[str, str], alphabet: int, block: int = 1024):
-        self.languages, self.block = sorted(references), block
+    def __init__(self, references: dict[str, str], alphabet: int, few: int = 24):
+        self.languages, self.few = sorted(references), few
         letters = Counter(c for r in references.values() for c in r.lower() if c.isalpha())
         chosen = sorted(letters, key=lambda c: (-letters[c], c))
         self.chosen = {c: i + 2 for i, c in enumerate(chosen)}
@@ -138,19 +140,17 @@ class Parser:
         n = len(self.languages)
         out = np.zeros((len(texts), n), np.int64)
         sizes = np.array([len(t) for t in texts], np.int64)
-        lanes_of = -(-sizes // self.block)
-        owner = np.repeat(np.arange(len(texts)), lanes_of)
-        if not len(owner):
+        order = np.argsort(-sizes, kind="stable")  # longest first, so that those still running are a prefix
+        order = order[: np.count_nonzero(sizes)]
+        if not len(order):
             return out
-        starts = np.concatenate([np.arange(0, s, self.block) for s in sizes]) + (np.cumsum(sizes) - sizes)[owner]
-        ends = np.minimum(starts + self.block, np.cumsum(sizes)[owner])
-        order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still running are a prefix
-        starts, length, owner = starts[order], (ends - starts)[order], owner[order]
+        starts, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
         symbols, width, table = np.concatenate(texts), self.width, self.table
         wide = int(symbols.max()) >= width
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(starts), axis=1)
-        ended = np.ones((n, len(starts)), np.int64)  # the block's last phrase
-        running = np.searchsorted(-length, -np.arange(length[0]), side="left")
+        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(order), axis=1)
+        ended = np.ones((n, len(order)), np.int64)  # the last phrase
+        side = int(length[self.few - 1]) if len(order) >= self.few else 0  # steps with ``few`` texts or more
+        running = np.searchsorted(-length, -np.arange(side), side="left")
         for step, k in enumerate(running.tolist()):
             now = symbols[starts[:k] + step]
             rest = np.flatnonzero(now >= width) if wide else ()
@@ -162,14 +162,29 @@ class Parser:
                 new[:, rest] = self._searched(own, far)
             ended[:, :k] += new < 0
             state[:, :k] = new ^ (new >> 31)
-        np.add.at(out, owner, ended.T)
+        for i in range(min(self.few, len(order))):
+            left = symbols[starts[i] + side : starts[i] + length[i]].tolist()
+            for k in range(n) if left else ():
+                ended[k, i] += self._ended(k, int(state[k, i]), left)
+        out[order] = ended.T
         return out
 
-    def _searched(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """What the table would hold for classes beyond it; a row for each language."""
+    def _ended(self, language: int, state: int, symbols: list[int]) -> int:
+        """How many phrases end on the way from a state."""
+        table, width, ended = memoryview(self.table), self.width, 0
+        for c in symbols:
+            new = table[state * width + c] if c < width else int(self._searched(np.array([[state]]), np.array([c]), language)[0, 0])
+            if new < 0:
+                ended += 1
+                new = ~new
+            state = new
+        return ended
+
+    def _searched(self, state: np.ndarray, symbols: np.ndarray, language: int | slice = slice(None)) -> np.ndarray:
+        """What the table would hold for classes beyond it; a row for each language, or of one."""
         key = state.astype(np.int64) * self.n_classes + symbols
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.nexts[at], ~self.again[:, symbols])
+        return np.where(self.keys[at] == key, self.nexts[at], ~self.again[language][..., symbols])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         symbols = [self.symbols(t) if t else np.zeros(0, np.uint8) for t in texts]
@@ -194,21 +209,24 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: Sam
     # Hashes below a share of the languages' different texts, so that the ranking meets a few hundred of each.
     below = {k: int(min(1.0, 4 * sample.sample_docs / n) * (1 << 30)) for k, n in sizes.items()}
     drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(F.from_json(F.lit(json.dumps(below)), "map<string,bigint>"), F.col("lang")))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
-    chosen = drawn.select("lang", "h").distinct().withColumn("r", first).where(F.col("r") <= sample.sample_docs).select("lang", "h").toArrow().to_pylist()
-    texts = rows.where(F.col("h").isin([c["h"] for c in chosen])).select("lang", "h", F.substring("text", 1, sample.doc_chars).alias("t")).distinct().toArrow().to_pylist() if chosen else []
+    order = Window.partitionBy("lang").orderBy(F.col("size") > sample.long_text, F.pmod("h", F.lit(1 << 30)), "h")
+    ranked = drawn.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample.sample_docs)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = ranked.withColumn("before", before).where(F.col("before") < sample.reference).orderBy("lang", "r").select("lang", "h").toArrow().to_pylist()
+    # Only the text that fills a reference is longer than what is left of it.
+    texts = rows.where(F.col("h").isin([c["h"] for c in chosen])).select("lang", "h", F.substring("text", 1, sample.reference).alias("t")).distinct().toArrow().to_pylist() if chosen else []
     found = {(x["lang"], x["h"]): x["t"] for x in texts}
     references: dict[str, str] = {}
-    for c in sorted(chosen, key=lambda c: (c["lang"], c["h"])):
-        own = references.get(c["lang"], "")
-        references[c["lang"]] = (own + " " + found[c["lang"], c["h"]])[: sample.reference]
+    for c in chosen:
+        own = references.get(c["lang"])
+        references[c["lang"]] = " ".join(filter(None, (own, found[c["lang"], c["h"]])))[: sample.reference]
     return Parser(references, sample.alphabet)
 
 
 def identify(docs: DataFrame, parser: Parser, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` and lang_pred, score for every row."""
     sent = docs.sparkSession.sparkContext.broadcast(parser)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*(F.col(c).alias(name) for c, name in zip(keep, kept_names(keep, ("lang_pred", "score", "__text")))), F.col(text).alias("__text"))
     schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +236,7 @@ def identify(docs: DataFrame, parser: Parser, keep: list[str], text: str = "text
             for x in batch.column(batch.num_columns - 1):
                 part.append(x.as_py())
                 size += len(part[-1] or "")
-                if size > 1 << 20:
+                if size > 1 << 22:
                     a, b = parser.predict(part)
                     langs += a
                     scores.append(b)
@@ -226,5 +244,6 @@ def identify(docs: DataFrame, parser: Parser, keep: list[str], text: str = "text
             a, b = parser.predict(part)
             cols = [*batch.columns[:-1], pa.array(langs + a, pa.string()), pa.array(np.concatenate([*scores, b]))]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
+        free_memory()
 
     return rows.mapInArrow(run, schema)
