@@ -17,7 +17,7 @@ tasks' lists meet in one window by query, limited to k before its shuffle.
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than most of
 the sample take no part, as query or candidate, nor do rows without an id; a query's own id is never its neighbour;
 repeated rows are candidates of their own and one query; ties go to the smaller id; with fewer than k candidates all are
-returned; an empty table gives no row.
+returned; only the id and the vector are read, so no other column's name clashes; an empty table gives no row.
 """
 
 from __future__ import annotations

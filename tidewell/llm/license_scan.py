@@ -14,8 +14,9 @@ Plan: one pass counts the template words (a row for each word and task), one pas
 what is sent to the tasks is the templates. Words are runs of ASCII letters and digits and of any other characters
 beyond ASCII; A-Z are lower-cased.
 
-Defined results: a null text is empty; a document without a find has no span and score 0; places overlap freely;
-repeated rows get equal results; an empty table gives no row.
+Defined results: a null text is empty; a document without a find has no span and score 0; places overlap freely; very long texts are
+scanned whole; repeated rows get equal results; a kept column with a result's name comes as ``own_`` and its name; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
+from .common import free_memory, kept_names
+
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -154,7 +157,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: Sequen
     holding = {r["word"] and bytes(r["word"]): r["n"] for r in counted}
     index.weigh(holding, holding.pop(None, 0))
 
-    rows = docs.select(*keep, F.col(text).cast("binary").alias("__text"))
+    rows = docs.select(*(F.col(c).alias(name) for c, name in zip(keep, kept_names(keep, ("n_words", "spans", "__text")))), F.col(text).cast("binary").alias("__text"))
     span = StructType([StructField("label", StringType()), StructField("start", LongType()), StructField("length", LongType()), StructField("base", BooleanType()), StructField("score", DoubleType())])
     schema = StructType([*rows.schema.fields[:-1], StructField("n_words", LongType()), StructField("spans", ArrayType(span))])
     arrow_span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("base", pa.bool_()), ("score", pa.float64())]))
@@ -167,5 +170,6 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", templates: Sequen
                 sizes.append(len(words))
                 spans.append(index.spans(words))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(spans, arrow_span)], schema.names)
+        free_memory()
 
     return rows.mapInArrow(find, schema)

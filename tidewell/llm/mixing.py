@@ -14,7 +14,7 @@ Plan: one partial aggregate to a row for each source; the sources' rates join th
 
 Defined results: a null text has size 0; a null source is a source of its own; a document's draw depends on its id
 alone (on its text's hash if the id is null), so repeated rows draw alike and reruns agree; sources without words have
-target 0; an empty table gives no row.
+target 0; very long texts count whole; a document's own columns come inside ``row``, so no name clashes; an empty table gives no row.
 """
 
 from __future__ import annotations

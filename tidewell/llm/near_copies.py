@@ -11,7 +11,7 @@ aside and the texts of all others are compared with the whole bucket but their o
 holds more than two blocks, and no group's pairs are emitted.
 
 Defined results: texts without words are equal; shorter texts than a shingle are one shingle; a null text has no word; repeated
-texts are one node; an empty table gives no row.
+texts are one node; very long texts are hashed whole; only the id and the text are read; an empty table gives no row.
 """
 
 from __future__ import annotations

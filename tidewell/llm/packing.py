@@ -14,7 +14,8 @@ Tokens. Byte-pair merges never cross the pieces of the tokenizer's pre-tokenizer
 characters below U+0180, for which the classes are listed; other texts are encoded whole.
 
 Defined results: a null text is empty; a document always ends with ``end_id``, so an empty one is that token alone;
-repeated rows, null ids and copies are packed as documents of their own; an empty table gives no row.
+repeated rows, null ids and copies are packed as documents of their own; very long texts are cut into windows; only the id and the text
+are read, so no other column's name clashes; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ bits; one above ``max_bucket`` is dealt again by segments of the remaining bits,
 
 Defined results: a null text has no word; a text without words has fingerprint zero and is linked like any other;
 shorter texts than a shingle hash whole; a null id takes part but never names a component (null if a component has no
-other id); repeated rows are rows of their own; an empty table gives no row.
+other id); repeated rows are rows of their own; very long texts
+are hashed whole; of other columns only ``first_of_each`` takes any, inside a struct, so no name clashes; an empty table gives no row.
 """
 
 from __future__ import annotations

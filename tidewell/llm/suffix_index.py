@@ -25,7 +25,7 @@ into stripes of ``stripe`` starts x: the strings of a stripe all hold the same m
 are dealt out by, and differ in ``stripe`` - 1 bytes at each end at most, so that few of them are different.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; strings are judged on the input, whatever
-else is removed; overlaps within one text count; repeated rows are texts of their own and so repeat each other; an empty
+else is removed; very long texts come in pieces that overlap; a document's own columns come inside ``row``, so no name clashes; overlaps within one text count; repeated rows are texts of their own and so repeat each other; an empty
 table gives no row. A character that is cut in its middle goes as a whole from the text, not from the bytes.
 """
 
@@ -187,6 +187,8 @@ class Family:
             two[back_order[1:]] = np.cumsum(back < x)
             two[back_order[0]] = 0
             there = np.flatnonzero((n_before >= x) & (n_after >= self.length - x))
+            if len(there) < 2:
+                continue
             key = one[there] * n + two[there]
             order = np.argsort(key, kind="stable")
             same = key[order[1:]] == key[order[:-1]]

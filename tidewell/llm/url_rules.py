@@ -12,7 +12,8 @@ a projection without any shuffle. Both indexes are constant arrays of buckets in
 costs one array access however many rules there are. The rules are parameters of the query, at most ``MAX_RULES``.
 
 Defined results: host and path of a null URL or of one without ``://`` are empty, and no site rule fits it; pattern
-rules see a null URL as empty; equal URLs get equal verdicts; an empty table gives no row.
+rules see a null URL as empty; equal URLs get equal verdicts; very long URLs are judged
+whole; a page's own columns come inside ``row``, so no name clashes; an empty table gives no row.
 """
 
 from __future__ import annotations
