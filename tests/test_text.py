@@ -47,3 +47,8 @@ def test_page_numbers(spark):
 def test_titled(spark):
     rows = spark.createDataFrame([("t", "b"), ("", "b"), ("t", ""), (None, None)], "t string, b string")
     assert [r[0] for r in rows.select(tx.titled(F.col("t"), F.col("b"))).collect()] == ["t\n\nb", "b", "t", ""]
+
+
+def test_first_tokens(spark):
+    texts = [" a  b\n\tc d", "a b", " x ", "", None, "\x1c one　two three four"]
+    assert _column(spark, texts, lambda c: tx.first_tokens(c, 3)) == [["a", "b", "c"], ["a", "b"], ["x"], [], [], ["one", "two", "three"]]

@@ -33,6 +33,12 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(text_or_empty(c), f"{WS}+"), lambda t: t != "")
 
 
+def first_tokens(c: Column, n: int) -> Column:
+    """The first ``n`` tokens; the rest isn't looked at."""
+    token = f"[^{WS[1:]}+"
+    return tokens(F.regexp_extract(text_or_empty(c), f"^{WS}*({token}(?:{WS}+{token}){{0,{n - 1}}})", 1))
+
+
 def lower_tokens(c: Column) -> Column:
     return tokens(F.lower(c))
 
@@ -62,7 +68,10 @@ def quoted_phrases(c: Column) -> Column:
 
 
 def has_code(c: Column) -> Column:
-    """Whether any of the tokens looks like code: path or call characters, letters with digits, mixed case."""
+    """Whether any of the tokens looks like code: path or call characters, letters with digits, mixed case.
+
+    Fixed values: the three patterns.
+    """
     marked = lambda t: F.regexp(t, F.lit(r"[_/\\.()\[\]]|::"))
     numbered = lambda t: F.contains(t, F.lit("-")) & F.regexp(t, F.lit(r"\p{L}")) & F.regexp(t, F.lit(r"\p{Nd}"))
     mixed = lambda t: F.regexp(t, F.lit(r"[a-z][A-Z]|[A-Z][a-z].*\d|\d.*[A-Za-z]"))

@@ -8,13 +8,13 @@ Everything is one projection: a fold over the page's paragraphs, closed formulas
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import cut
+from ..cluster import cut, partitions
 from ..functions import text as tx
 from ..plans.config import ChunkConfig
 
@@ -23,8 +23,9 @@ CHUNK = ("page_id", "chunk_id", "title", "chunk_text", "paragraph_index", "subch
 
 
 def merged(paragraphs: Column, config: ChunkConfig = ChunkConfig()) -> Column:
-    """Groups (start, text, n) of an array of paragraphs."""
-    numbered = F.transform(paragraphs, lambda p, i: F.struct(i.cast("bigint").alias("start"), p.alias("text"), F.size(tx.tokens(p)).cast("bigint").alias("n")))
+    """Groups (start, text, n) of an array of squeezed paragraphs, whose tokens are parted by single spaces."""
+    n_tokens = lambda p: (F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).cast("bigint")
+    numbered = F.transform(paragraphs, lambda p, i: F.struct(i.cast("bigint").alias("start"), p.alias("text"), n_tokens(p).alias("n")))
 
     def step(groups: Column, p: Column) -> Column:
         last = F.get(groups, F.size(groups) - 1)
@@ -35,18 +36,29 @@ def merged(paragraphs: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     return F.aggregate(numbered, F.array().cast(_GROUPS), step)
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: inside a lambda Spark computes an expression wherever it stands."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def pieces(words: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     """An array of more than ``max_tokens`` tokens as texts of balanced size."""
-    total, overlap = F.size(words), config.overlap
-    n = F.ceil((total - overlap) / F.lit(config.max_tokens - overlap)).cast("int")
-    spread = total + overlap * (n - 1)
-    size, rest = F.floor(spread / n).cast("int"), spread % n
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * (size - overlap) + F.least(i, rest) + 1, size + (i < rest).cast("int")), " "))
+    overlap = config.overlap
+
+    def cut_up(w: Column) -> Column:
+        n = F.ceil((F.size(w) - overlap) / F.lit(config.max_tokens - overlap)).cast("int")
+        return _bound(n, lambda n: _bound(F.size(w) + overlap * (n - 1), lambda spread: _bound(F.struct(F.floor(spread / n).cast("int").alias("size"), (spread % n).alias("rest")), lambda x: _texts(w, n, x["size"], x["rest"]))))
+
+    def _texts(w: Column, n: Column, size: Column, rest: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(w, i * (size - overlap) + F.least(i, rest) + 1, size + (i < rest).cast("int")), " "))
+
+    return _bound(words, cut_up)
 
 
 def _of_group(group: Column, config: ChunkConfig) -> Column:
+    """A group's chunks. One beyond ``max_tokens`` is a single squeezed paragraph."""
     whole = F.array(F.struct(group["text"].alias("chunk_text"), group["start"].alias("paragraph_index"), F.lit(0).alias("subchunk_index")))
-    parts = F.transform(pieces(tx.tokens(group["text"]), config), lambda t, i: F.struct(t.alias("chunk_text"), group["start"].alias("paragraph_index"), i.alias("subchunk_index")))
+    parts = F.transform(pieces(F.split(group["text"], " "), config), lambda t, i: F.struct(t.alias("chunk_text"), group["start"].alias("paragraph_index"), i.alias("subchunk_index")))
     return F.when(group["n"] > config.max_tokens, parts).otherwise(whole)
 
 
@@ -100,18 +112,20 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     rows = cut(chunks.withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    firsts, total = {}, 0
+    firsts, total = [0] * (counts[-1][0] + 1 if counts else 0), 0
     for p, n in counts:
-        firsts[str(p)] = total
+        firsts[p] = total
         total += n
-    known = F.from_json(F.lit(json.dumps(firsts)), "map<string,bigint>")
-    return rows.select((F.element_at(known, part.cast("string")) + place).alias("chunk_idx"), *chunks.columns)
+    known = F.from_json(F.lit(json.dumps(firsts)), "array<bigint>")  # a constant, read by place
+    return rows.select((F.get(known, part.cast("int")) + place).alias("chunk_idx"), *chunks.columns)
 
 
 def chunks_in_order(pages: DataFrame, *order: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Numbered chunks of pages in the given order, page_id if none is.
 
     Pages are sorted by range before they are cut, so the sort samples raw pages, cutting happens once and in
-    order, and no task sees all rows.
+    order, and no task sees all rows. The number of partitions is set, so that small ones aren't joined into few tasks:
+    cutting costs more than its input's size says.
     """
-    return number_chunks(chunk_pages(pages.orderBy(*(order or ("page_id",))), config))
+    keys = order or ("page_id",)
+    return number_chunks(chunk_pages(pages.repartitionByRange(partitions(pages), *keys).sortWithinPartitions(*keys), config))

@@ -6,12 +6,13 @@ the postings of query terms and needs no join with the chunks.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import is_small
+from ..cluster import cut, is_small
 from ..functions import text as tx
 from ..plans.config import BM25Config
 
@@ -22,9 +23,15 @@ def chunk_terms(chunks: DataFrame) -> DataFrame:
 
 
 def term_frequency(chunks: DataFrame) -> DataFrame:
-    """Postings ``(term, chunk_idx, page_id, length, tf)``."""
-    rows = chunk_terms(chunks).select("chunk_idx", "page_id", F.size("tokens").cast("bigint").alias("length"), F.explode("tokens").alias("term"))
-    return rows.groupBy("term", "chunk_idx", "page_id", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """Postings ``(term, chunk_idx, page_id, length, tf)``.
+
+    A chunk is one row, so its terms are counted inside it: sorted tokens, and where each run starts. No shuffle.
+    """
+    rows = chunk_terms(chunks).select("chunk_idx", "page_id", F.size("tokens").cast("bigint").alias("length"), F.array_sort("tokens").alias("t"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.where("length > 0").select("*", starts.alias("s"))
+    terms = F.transform("s", lambda at, i: F.struct(F.get("t", at).alias("term"), (F.coalesce(F.get("s", i + 1), F.size("t")) - at).cast("bigint").alias("tf")))
+    return rows.select("chunk_idx", "page_id", "length", F.explode(terms).alias("x")).select("x.term", "chunk_idx", "page_id", "length", "x.tf")
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -47,13 +54,17 @@ def vocabulary(postings: DataFrame, n: int) -> DataFrame:
 def posting_offsets(vocab: DataFrame) -> DataFrame:
     """``(term, df, offset)``: where each term's postings start if all lie end to end in term order.
 
-    Terms are dealt out by their first two characters, so the running sum is one of each group and one of the groups.
+    Terms are sorted by range, so partitions are about even whatever letters are frequent; a partition's running sum starts
+    from the sum of those before it, of which there is one number each.
     """
-    head = F.substring("term", 1, 2)
-    groups = vocab.groupBy(head.alias("head")).agg(F.sum("df").alias("own"))
-    before = groups.select("head", (F.sum("own").over(Window.orderBy("head")) - F.col("own")).alias("before"))
-    inside = F.sum("df").over(Window.partitionBy("head").orderBy("term")) - F.col("df")
-    return vocab.withColumn("head", head).join(before, "head").select("term", "df", (F.col("before") + inside).alias("offset"))
+    rows = cut(vocab.select("term", "df").orderBy("term").withColumn("part", F.spark_partition_id()))
+    own = sorted((r["part"], r["own"]) for r in rows.groupBy("part").agg(F.sum("df").alias("own")).collect())
+    before, total = [0] * (own[-1][0] + 1 if own else 0), 0
+    for part, n in own:
+        before[part] = total
+        total += n
+    inside = F.sum("df").over(Window.partitionBy("part").orderBy("term")) - F.col("df")
+    return rows.select("term", "df", (F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), "part") + inside).alias("offset"))
 
 
 @dataclass(frozen=True)
@@ -66,9 +77,10 @@ class LexicalIndex:
 
 
 def build(chunks: DataFrame, config: BM25Config = BM25Config()) -> LexicalIndex:
-    postings = term_frequency(chunks)
+    """Postings and vocabulary are computed once and kept, as every search reads both."""
+    postings = cut(term_frequency(chunks))
     stats = corpus_stats(chunks).first()
-    return LexicalIndex(postings, vocabulary(postings, stats["n"]), stats["n"], stats["avgdl"], config)
+    return LexicalIndex(postings, cut(vocabulary(postings, stats["n"])), stats["n"], stats["avgdl"], config)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

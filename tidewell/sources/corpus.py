@@ -45,7 +45,7 @@ def relevance(query_set: DataFrame) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages: the first three tokens are the title, every line is a paragraph."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    title = tx.join_tokens(F.slice(tx.tokens(F.col("text")), 1, 3))
+    title = tx.join_tokens(tx.first_tokens(F.col("text"), 3))
     return docs.select(F.col("doc_id").alias("page_id"), title.alias("title"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
 
 

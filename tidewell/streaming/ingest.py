@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import text as tx
 from ..operators import chunking, dense, lexical
 from ..plans.config import BM25Config, ChunkConfig
 from ..sources.corpus import PAGE
 
 
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages (page_id, title, content) of JSON lines that are put into a folder."""
-    return spark.readStream.schema(PAGE).json(folder).select(F.col("page_id").cast("bigint").alias("page_id"), "title", "content")
+    """Pages (page_id, title, content) of JSON lines that are put into a folder; an id that is no number raises."""
+    return spark.readStream.schema(PAGE).json(folder).select(tx.page_number(F.col("page_id")).alias("page_id"), "title", "content")
 
 
 def append(batch: DataFrame, number: int, folder: str, embedder: Callable[[], dense.Embedder] = dense.HashingEmbedder, config: ChunkConfig = ChunkConfig()) -> None:
@@ -43,11 +44,11 @@ def opened(spark: SparkSession, folder: str, config: BM25Config = BM25Config())
     for number, n, avgdl in sizes:
         first[number] = total
         total, words = total + n, words + n * avgdl
-    offset = F.create_map(*(F.lit(x) for pair in first.items() for x in pair)) if first else F.create_map()
+    offsets = F.broadcast(spark.createDataFrame(list(first.items()), "batch int, first long"))  # two numbers for each batch
 
     def numbered(name: str) -> DataFrame:
         rows = spark.read.parquet(f"{folder}/{name}")
-        return rows.withColumn("chunk_idx", F.col("chunk_idx") + F.element_at(offset, F.col("batch"))).drop("batch")
+        return rows.join(offsets, "batch").withColumn("chunk_idx", F.col("chunk_idx") + F.col("first")).select(*(c for c in rows.columns if c != "batch"))
 
     postings = numbered("postings")
     index = lexical.LexicalIndex(postings, lexical.vocabulary(postings, total), total, words / total if total else 0.0, config)
