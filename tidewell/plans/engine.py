@@ -62,11 +62,19 @@ class Engine:
 
     def warm(self) -> Engine:
         """Keeps the tables in the executors' memory and disks for queries to come."""
-        self.chunks.persist()
-        if self.vectors is not None:
-            self.vectors.persist()
+        for table in (self.chunks, self.vectors, *((self.index.postings, self.index.vocab) if self.index else ())):
+            if table is not None:
+                table.persist()
         return self
 
+    @classmethod
+    def cached(cls, spark: SparkSession, folder: str, **options) -> Engine:
+        """The warm engine of a folder, opened once for each session; its options are those of the first call."""
+        key = (spark.sparkContext.applicationId, folder)
+        if key not in _OPENED:
+            _OPENED[key] = cls.open(spark, folder, **options).warm()
+        return _OPENED[key]
+
     def search(self, queries: DataFrame) -> DataFrame:
         """``(qid, rank, page_id, score)`` for queries (qid, query); equal texts are queries of their own."""
         if self.index is None or self.vectors is None:
@@ -92,6 +100,9 @@ class Engine:
         return metrics.mean_ndcg(self.search(query_set.select("qid", "query")), relevant, query_set, k)
 
 
+_OPENED: dict[tuple[str, str], Engine] = {}
+
+
 def evaluate_run(spark: SparkSession, texts: list[str], relevant: list[set[int]], run: Callable[[list[str]], list[list[int]]], k: int = 10) -> dict[str, float]:
     """Mean NDCG of any function from texts to lists of page ids."""
     ranked = run(texts)

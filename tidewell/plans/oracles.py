@@ -57,7 +57,7 @@ def _pieces(n: str) -> str:
 _STAGES = {
     "doc": "SELECT doc_id, text FROM documents",
     "odd": "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in ODD_QUERIES) + ") AS t(qid, query)",
-    "query": f"SELECT item_id AS qid, array_to_string({_tokens('text')}[1:10], ' ') AS query FROM benchmark",
+    "query": f"SELECT item_id AS qid, array_to_string({_tokens('text')}, ' ') AS query FROM benchmark",
     "page": f"SELECT doc_id AS page_id, array_to_string({_tokens('text')}[1:3], ' ') AS title, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents",
     "para": f"""SELECT page_id, title, i - 1 AS idx, ps[i] AS p, len(string_split(ps[i], ' ')) AS n
         FROM (SELECT page_id, title, {_paragraphs('content')} AS ps FROM page), unnest(range(1, len(ps) + 1)) AS t(i)""",
@@ -121,17 +121,22 @@ _STAGES = {
 
 
 def _with(final: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in _STAGES.items()) + "\n" + final
+    stages = _STAGES | {"answered": _listed("final")}
+    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in stages.items()) + "\n" + final
 
 
 def _digest(column: str, of: str = "doc") -> str:
     return _with(f"SELECT doc_id, len(x)::BIGINT AS n, md5(array_to_string(x, '|')) AS digest FROM (SELECT doc_id, {column} AS x FROM {of})")
 
 
-def _pages(source: str, second: float = 0, third: float = 0) -> str:
-    return _with(f"""SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id) AS rank, page_id, score FROM (
+def _listed(source: str, second: float = 0, third: float = 0) -> str:
+    return f"""SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, page_id) AS rank, page_id, score FROM (
         SELECT qid, page_id, round(sum(score * CASE n WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN {second}::DOUBLE ELSE {third}::DOUBLE END), 8) AS score FROM (
-            SELECT *, row_number() OVER (PARTITION BY qid, page_id ORDER BY score DESC, chunk_idx) AS n FROM {source} QUALIFY n <= 3) GROUP BY qid, page_id) QUALIFY rank <= 10""")
+            SELECT *, row_number() OVER (PARTITION BY qid, page_id ORDER BY score DESC, chunk_idx) AS n FROM {source} QUALIFY n <= 3) GROUP BY qid, page_id) QUALIFY rank <= 10"""
+
+
+def _pages(source: str, second: float = 0, third: float = 0) -> str:
+    return _with(_listed(source, second, third))
 
 
 def _ndcg(ranked: str, relevant: str, queries: str, shift: int) -> str:
@@ -147,15 +152,19 @@ def _own_pages(columns: str) -> str:
     return _with(f"""SELECT qid, chunk_idx, {columns} FROM (
         SELECT a.qid, c.chunk_idx, a.terms, a.phrases, a.digits, a.query_text, {_match('c.title')} AS tt, {_match('c.chunk_text')} AS ct, {_squeeze("lower(c.title || ' ' || c.chunk_text)")} AS body
         FROM chunk c JOIN (SELECT doc_id AS qid, {_first(_match('ask'))} AS terms, {_phrases('ask')} AS phrases, {_digits(_first(_match('ask')))} AS digits, {_squeeze('lower(ask)')} AS query_text
-            FROM (SELECT doc_id, {ask} AS ask FROM (SELECT doc_id, {_tokens('text')} AS w FROM documents WHERE doc_id < 300))) a ON a.qid = c.page_id)""")
+            FROM (SELECT doc_id, {ask} AS ask FROM (SELECT doc_id, {_tokens('text')} AS w FROM documents))) a ON a.qid = c.page_id)""")
 
 
 _DENSE = """SELECT qid, rank, chunk_idx, score FROM (SELECT q.vec_id AS qid, v.vec_id AS chunk_idx, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
     row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank
-    FROM embeddings q JOIN embeddings v ON q.vec_id < 3 {where}) WHERE rank <= 120"""
+    FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0) WHERE rank <= 120"""
 
 _CHUNK_COLUMNS = "page_id, chunk_id, title, paragraph_index, subchunk_index, md5(chunk_text) AS digest FROM chunk"
 
+_EMBEDDED = _with("SELECT id AS chunk_idx, page_id, b AS bucket, round(v, 6) AS value FROM unit JOIN chunk ON id = chunk_idx WHERE kind = 'c'")
+
+_QUERY_SET = "SELECT item_id::VARCHAR AS qid, md5(text) AS digest, {pages} AS pages FROM benchmark"
+
 ORACLES = {
     "norm_whitespace": _with(f"SELECT doc_id, md5({_squeeze('text')}) AS digest FROM doc"),
     "lower_squeeze": _with(f"SELECT doc_id, md5({_squeeze('lower(text)')}) AS digest FROM doc"),
@@ -196,11 +205,13 @@ ORACLES = {
     "bm25_params": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, page_id, score FROM other QUALIFY rank <= 10"),
     "vocab_lookup_semi": _with("SELECT DISTINCT term FROM asked WHERE term IN (SELECT term FROM vocab)"),
     "vocab_missing_anti": _with("SELECT DISTINCT term FROM odd_asked WHERE term NOT IN (SELECT term FROM vocab)"),
-    "dense_topk": _DENSE.format(where=""),
-    "dense_topk_small_k_gt_n": _DENSE.format(where="AND v.vec_id < 7"),
+    "dense_topk": _DENSE,
+    "dense_topk_small_k_gt_n": """WITH n AS (SELECT n_nationkey::BIGINT AS k, ('0x' || substr(md5(lower(n_name)), 1, 8))::BIGINT % 64 AS b FROM nation)
+        SELECT q.k AS qid, row_number() OVER (PARTITION BY q.k ORDER BY (q.b = v.b)::INT DESC, v.k) AS rank, v.k AS chunk_idx, (q.b = v.b)::INT::DOUBLE AS score FROM n q JOIN n v ON true""",
     "hash_embed": _with(f"""SELECT doc_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM (
         SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS bucket, count(*) AS v FROM (SELECT doc_id, unnest({_tokens('lower(text)')}) AS t FROM doc) GROUP BY ALL)"""),
-    "udf_embed_rows": _with("SELECT chunk_idx, page_id, 64::BIGINT AS dim FROM chunk"),
+    "udf_embed_rows": _EMBEDDED,
+    "dense_only_build": _EMBEDDED,
     "query_profile": _with("SELECT qid, query_text, array_to_string(terms, '|') AS terms, array_to_string(phrases, '|') AS phrases, array_to_string(digits, '|') AS digits, round(rare, 6) AS rare, round(bm25_weight, 6) AS bm25_weight, dense_weight FROM profile"),
     "bm25_weight": _with("SELECT qid - 1000 AS qid, round(bm25_weight, 6) AS bm25_weight FROM profile WHERE qid >= 1000"),
     "rrf_fusion": _with("SELECT qid, chunk_idx, dense_score, bm25_score, fused FROM fused"),
@@ -211,6 +222,7 @@ ORACLES = {
     "linear_rerank": _with("SELECT qid, rank, chunk_idx, score FROM ranked"),
     "ce_head_tail": _with("SELECT qid, rank, chunk_idx, is_head FROM marked"),
     "ce_blend": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, is_head, score FROM final"),
+    "ce_model": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, is_head, score FROM final"),
     "ce_weight_half": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, is_head, score FROM half"),
     "page_aggregate_max": _pages("ranked"),
     "page_aggregate_top3": _pages("ranked", 0.2, 0.1),
@@ -221,7 +233,16 @@ ORACLES = {
     "ndcg_standard": _with(_ndcg("placed", "relevant", "query", 1)),
     "mean_ndcg": _with(f"SELECT round(avg(ndcg), 6) AS mean_ndcg, count(*) AS num_queries FROM ({_ndcg('placed', 'relevant', 'query', 0)})"),
     "ndcg_duplicates": "SELECT qid, ndcg FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.815465), (3, 0), (4, 0)) AS t(qid, ndcg)",
-    "alignment_check": "SELECT 0::BIGINT AS misaligned",
-    "json_pages_scan": "SELECT doc_id AS page_id, '' AS title, md5(text) AS digest FROM documents WHERE doc_id < 25",
+    "alignment_check": _with("SELECT unnest(['postings', 'dense', 'broken']) AS side, unnest([0, 0, (SELECT count(*) FROM chunk WHERE chunk_idx % 7 IN (1, 2))]) AS misaligned"),
+    "json_pages_scan": "SELECT doc_id AS page_id, '' AS title, md5(text) AS digest FROM documents",
+    "page_listing": "SELECT count(*) AS files, count(*) AS scanned FROM documents",
+    "query_set_sets": _QUERY_SET.format(pages="item_id || '|' || (item_id + 7)"),
+    "query_set_lists": _QUERY_SET.format(pages="item_id || '|' || (item_id + 7) || '|' || item_id"),
+    "chunks_roundtrip": _with(f"SELECT chunk_idx, {_CHUNK_COLUMNS}"),
+    "legacy_index": _with(f"""SELECT qid, chunk_idx, round(sum(ln((9 - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score
+        FROM odd_asked JOIN (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (
+            SELECT term, chunk_idx, length, avgdl, count(*) AS tf FROM (SELECT qid - 1 AS chunk_idx, len(w) AS length, avg(len(w)) OVER () AS avgdl, unnest(w) AS term FROM (
+                SELECT qid, {_tokens('lower(query)')} AS w FROM odd)) GROUP BY ALL)) USING (term) GROUP BY qid, chunk_idx"""),
+    "engine_evaluate": _with(f"SELECT round(avg(ndcg), 6) AS mean_ndcg, count(*) AS num_queries FROM ({_ndcg('answered', 'relevant', 'query', 0)})"),
     "artifact_roundtrip": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, page_id, score FROM bm25 QUALIFY rank <= 10"),
 }

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import string
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ ODD_QUERIES = (
     (8, "file.txt (call) [x]"),
     (9, "the and of that is"),
 )
+_NO_PUNCTUATION = str.maketrans("", "", string.punctuation)
 TOP3 = SearchConfig(second_chunk=0.2, third_chunk=0.1)
 
 
@@ -220,23 +222,19 @@ def _embeddings(spark, sf_dir):
     return rows.select(F.col("vec_id").alias("chunk_idx"), F.col("label").cast("bigint").alias("page_id"), "embedding")
 
 
-def _dense(spark, sf_dir, k, most=None, asked="chunk_idx < 3"):
-    rows = _embeddings(spark, sf_dir)
-    queries = rows.where(asked).select(F.col("chunk_idx").alias("qid"), "embedding")
-    return dense.search(queries, rows if most is None else rows.where(F.col("chunk_idx") < most), k).select("qid", "rank", "chunk_idx", "score")
-
-
 def dense_topk(spark, sf_dir):
-    return _dense(spark, sf_dir, 120)
+    """Every twentieth vector against all."""
+    rows = _embeddings(spark, sf_dir)
+    queries = rows.where("chunk_idx % 20 = 0").select(F.col("chunk_idx").alias("qid"), "embedding")
+    return dense.search(queries, rows, 120).select("qid", "rank", "chunk_idx", "score")
 
 
 def dense_topk_small_k_gt_n(spark, sf_dir):
-    return _dense(spark, sf_dir, 120, most=7)
-
-
-def dense_topk_whole(spark, sf_dir):
-    """Every twentieth vector against all."""
-    return _dense(spark, sf_dir, 120, asked="chunk_idx % 20 = 0")
+    """The 25 nations' names, each against all: fewer than are asked for."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("bigint").alias("chunk_idx"), F.col("n_regionkey").cast("bigint").alias("page_id"), "n_name")
+    rows = nations.select("chunk_idx", "page_id", dense.embed_column(dense.HashingEmbedder)(F.col("n_name")).alias("embedding"))
+    queries = rows.select(F.col("chunk_idx").alias("qid"), "embedding")
+    return dense.search(queries, rows, 120).select("qid", "rank", "chunk_idx", "score")
 
 
 def hash_embed(spark, sf_dir):
@@ -244,8 +242,19 @@ def hash_embed(spark, sf_dir):
     return rows.select("doc_id", F.posexplode("e").alias("bucket", "v")).where("v > 0").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("v", 6).alias("value"))
 
 
+def _components(rows):
+    every = rows.select("chunk_idx", "page_id", F.posexplode("embedding").alias("bucket", "v")).where("v > 0")
+    return every.select("chunk_idx", "page_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("v", 6).alias("value"))
+
+
 def udf_embed_rows(spark, sf_dir):
-    return dense.embed_chunks(_chunks(spark, sf_dir), dense.HashingEmbedder).select("chunk_idx", "page_id", F.size("embedding").cast("bigint").alias("dim"))
+    return _components(dense.embed_chunks(_chunks(spark, sf_dir), dense.HashingEmbedder))
+
+
+def dense_only_build(spark, sf_dir):
+    """An index of vectors alone, written and opened again, row by row."""
+    engine = Engine.build(corpus.document_pages(spark, sf_dir), with_lexical=False).save(_fresh(spark, "dense-only"))
+    return _components(artifacts.dense_rows(engine.vectors))
 
 
 # Fusion and features
@@ -279,14 +288,9 @@ def minmax_features(spark, sf_dir):
     return rows.select("qid", "chunk_idx", *(F.round(fusion.min_max(c), 6).alias(c) for c in ("dense_score", "bm25_score", "fused")))
 
 
-def _own_pages(spark, sf_dir, below=300):
-    """Each page as a query to its own chunks: two quoted words, four plain ones, and a number.
-
-    The SQL of three queries holds those of ids under 300; None is all pages.
-    """
+def _own_pages(spark, sf_dir):
+    """Each page as a query to its own chunks: two quoted words, four plain ones, and a number."""
     chunks, docs = _chunks(spark, sf_dir), _documents(spark, sf_dir)
-    if below is not None:
-        chunks, docs = chunks.where(F.col("page_id") < below), docs.where(F.col("doc_id") < below)
     page = docs.select(F.col("doc_id").alias("qid"), tx.tokens(F.col("text")).alias("w"))
     number = F.array_join(F.slice(tx.with_digits(F.col("w")), 1, 1), " ")
     plain = F.array_join(F.slice("w", 5, 4), " ")
@@ -309,12 +313,6 @@ def numeric_match(spark, sf_dir):
     return _own_pages(spark, sf_dir).select("qid", "chunk_idx", F.round("numeric_match", 6).alias("numeric_match"))
 
 
-def overlaps_whole(spark, sf_dir):
-    """The overlap, phrase and number features of every page, with rarity over all chunks."""
-    rounded = (F.round(c, 6).alias(c) for c in ("title_overlap", "chunk_overlap", "numeric_match"))
-    return _own_pages(spark, sf_dir, None).select("qid", "chunk_idx", *rounded, "phrase_match")
-
-
 # Scores, reranking, pages
 
 
@@ -343,6 +341,23 @@ def ce_weight_half(spark, sf_dir):
     return _reranked(spark, sf_dir, 0.5).select("qid", "rank", "chunk_idx", "is_head", "score")
 
 
+class WordPairs:
+    """A pair model as one would be plugged in: made once in each worker, it scores batches of texts by their shared words."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[float]:
+        out = []
+        for a, b in pairs:
+            one, two = (set(filter(None, (t.translate(_NO_PUNCTUATION) for t in x.lower().split()))) for x in (a, b))
+            out.append(len(one & two) / len(one | two) if one | two else 0.0)
+        return out
+
+
+def ce_model(spark, sf_dir):
+    """The head's blend by a model in Arrow batches instead of a column expression."""
+    config = SearchConfig()
+    return rerank.rerank(_linear(spark, sf_dir), rerank.model_reranker(WordPairs, config.rerank_batch), config).select("qid", "rank", "chunk_idx", "is_head", "score")
+
+
 def page_aggregate_max(spark, sf_dir):
     return rerank.pages(_linear(spark, sf_dir).select("qid", "chunk_idx", "page_id", "score"))
 
@@ -403,40 +418,110 @@ def ndcg_duplicates(spark, sf_dir):
 
 
 def alignment_check(spark, sf_dir):
-    chunks, index = _index(spark, sf_dir)
-    return artifacts.misaligned(chunks, index.postings).agg(F.count(F.lit(1)).alias("misaligned"))
+    """Chunks against postings and vectors of the saved index, and against vectors whose every seventh row is lost or of another page."""
+    engine = Engine.build(corpus.document_pages(spark, sf_dir)).save(_fresh(spark, "aligned"))
+    broken = engine.vectors.where("chunk_idx % 7 <> 1").withColumn("page_id", F.when(F.col("chunk_idx") % 7 == 2, F.col("page_id") + 1).otherwise(F.col("page_id")))
+    count = lambda other, name: artifacts.misaligned(engine.chunks, other).agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("misaligned"))
+    return count(engine.index.postings, "postings").unionByName(count(engine.vectors, "dense")).unionByName(count(broken, "broken"))
+
+
+def _fresh(spark, name):
+    """A folder that no other run has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _page_files(spark, sf_dir):
+    """All documents as JSON files of one object each."""
+    folder = _fresh(spark, "json-pages")
+    pages = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("page_id"), F.col("text").alias("content"))
+    pages.write.option("maxRecordsPerFile", 1).json(folder)
+    return folder
 
 
 def json_pages_scan(spark, sf_dir):
     """Documents written as one JSON file each, and read back as pages."""
-    folder = f"{shared_folder(spark)}/json-pages"
-    first = _documents(spark, sf_dir).where("doc_id < 25").select(F.col("doc_id").cast("string").alias("name"), F.to_json(F.struct(F.col("doc_id").alias("page_id"), F.col("text").alias("content"))).alias("value"))
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path(folder), True)
-    for row in first.collect():
-        out = fs.create(fs_path(f"{folder}/{row['name']}.json"), True)
-        out.write(bytearray(json.dumps(json.loads(row["value"])).encode()))
-        out.close()
-    return corpus.scan_pages(spark, folder).select("page_id", "title", F.md5("content").alias("digest"))
+    return corpus.scan_pages(spark, _page_files(spark, sf_dir)).select("page_id", "title", F.md5("content").alias("digest"))
+
+
+def page_listing(spark, sf_dir):
+    """How many files a folder of pages has, and that a scan meets each."""
+    folder = _page_files(spark, sf_dir)
+    listed = corpus.page_files(spark, folder)
+    met = corpus.scan_pages(spark, folder).select("src_file", F.lit(1).alias("met"))
+    return listed.join(met, "src_file", "left").agg(F.count_distinct("src_file").alias("files"), F.count("met").alias("scanned"))
+
+
+def _query_set(spark, sf_dir):
+    """The benchmark as a query set, with a relevant page named twice."""
+    path = _fresh(spark, "query-set")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id")
+    one = F.struct(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"), F.array(F.col("item_id"), F.col("item_id") + 7, F.col("item_id")).cast("array<string>").alias("relevant_page_ids"))
+    items.agg(F.to_json(F.collect_list(one)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+def _asked(rows):
+    return rows.select("qid", F.md5("query").alias("digest"), F.array_join(F.col("relevant").cast("array<string>"), "|").alias("pages"))
+
+
+def query_set_sets(spark, sf_dir):
+    return _asked(corpus.scan_queries(spark, _query_set(spark, sf_dir)))
+
+
+def query_set_lists(spark, sf_dir):
+    return _asked(corpus.scan_queries(spark, _query_set(spark, sf_dir), distinct=False))
 
 
 def artifact_roundtrip(spark, sf_dir):
     """BM25 from an index that was written and opened again."""
-    folder = f"{shared_folder(spark)}/index"
-    engine = Engine.build(corpus.document_pages(spark, sf_dir)).save(folder)
+    engine = Engine.build(corpus.document_pages(spark, sf_dir)).save(_fresh(spark, "index"))
     best = lexical.search(corpus.benchmark_queries(spark, sf_dir), engine.index, engine.chunks, 10, pad=False)
     return best.select("qid", "rank", "chunk_idx", "page_id", "score")
 
 
+def chunks_roundtrip(spark, sf_dir):
+    """The saved chunk table, by its references."""
+    engine = Engine.build(corpus.document_pages(spark, sf_dir), with_dense=False).save(_fresh(spark, "chunks"))
+    refs = artifacts.chunk_references(engine.chunks, text=True)
+    return refs.select("chunk_idx", "page_id", "chunk_id", "title", "paragraph_index", "subchunk_index", F.md5("chunk_text").alias("digest"))
+
+
+def legacy_index(spark, sf_dir):
+    """The odd queries as pages of an index in the old format, one JSON object, opened by its file's name and asked the same queries."""
+    pages = _odd(spark).select(F.col("qid").alias("page_id"), F.lit("").alias("title"), F.col("query").alias("content"))
+    chunks = chunking.chunks_in_order(pages)
+    index = lexical.build(chunks)
+    by_term = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", F.col("tf").cast("double").alias("tf")))).alias("p")).join(index.vocab, "term")
+    entry = F.struct("term", F.struct(F.col("p.chunk_idx").alias("doc_indices"), F.col("p.tf").alias("term_frequencies"), F.col("df").alias("doc_freq"), "idf"))
+    lengths = lexical.chunk_terms(chunks).select("chunk_idx", F.size("tokens").cast("double").alias("length"))
+    refs = artifacts.chunk_references(chunks).join(lengths, "chunk_idx")
+    row = refs.agg(F.lit(1).alias("one"), F.sort_array(F.collect_list(F.struct("chunk_idx", "length", F.struct("page_id", "chunk_id", "title", "paragraph_index", "subchunk_index").alias("c")))).alias("x"))
+    bundle = row.join(by_term.agg(F.lit(1).alias("one"), F.map_from_entries(F.collect_list(entry)).alias("postings")), "one")
+    bundle = bundle.select(F.lit(1.5).alias("k1"), F.lit(0.75).alias("b"), F.lit(index.avgdl).alias("avgdl"), F.col("x.length").alias("chunk_lengths"), F.col("x.c").alias("chunks"), "postings")
+    path = f"{_fresh(spark, 'legacy')}.json"
+    bundle.coalesce(1).write.json(path)
+    opened = Engine.open(spark, path)
+    return lexical.scores(_odd(spark), opened.index).select("qid", "chunk_idx", "score")
+
+
+def engine_evaluate(spark, sf_dir):
+    """Mean NDCG of the whole search over the query set of the benchmark, by the saved index."""
+    engine = Engine.build(corpus.document_pages(spark, sf_dir)).save(_fresh(spark, "evaluated"))
+    relevant = corpus.benchmark_relevance(spark, sf_dir).groupBy("qid").agg(F.collect_set("page_id").alias("relevant"))
+    asked = corpus.benchmark_queries(spark, sf_dir).join(relevant, "qid", "left")
+    out = engine.evaluate(asked)
+    return out.select(F.round("mean_ndcg", 6).alias("mean_ndcg"), "num_queries")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         norm_whitespace, lower_squeeze, tokenize, lower_tokens, match_tokens, distinct_tokens, untokenize, split_paragraphs, quoted_phrases, code_like,
         digit_tokens, chunk_text_compose, page_text, page_id_coerce, chunk_oversized, chunk_merge, chunk_corpus, chunk_stats, udtf_chunks, term_frequency,
         document_frequency, idf, corpus_stats, builder_counts, engine_summary, vocab_offsets, bm25_scores, bm25_topk, bm25_topk_padded, bm25_params, vocab_lookup_semi,
-        vocab_missing_anti, dense_topk, dense_topk_small_k_gt_n, dense_topk_whole, hash_embed, udf_embed_rows, query_profile, bm25_weight, rrf_fusion, minmax_features,
-        overlap_features, phrase_match, numeric_match, overlaps_whole, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, page_aggregate_max, page_aggregate_top3,
-        hybrid_search, qrels, dcg_table, ndcg_per_query, ndcg_standard, mean_ndcg, ndcg_duplicates, alignment_check, json_pages_scan, artifact_roundtrip,
+        vocab_missing_anti, dense_topk, dense_topk_small_k_gt_n, hash_embed, udf_embed_rows, dense_only_build, query_profile, bm25_weight, rrf_fusion, minmax_features,
+        overlap_features, phrase_match, numeric_match, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, ce_model, page_aggregate_max, page_aggregate_top3,
+        hybrid_search, qrels, dcg_table, ndcg_per_query, ndcg_standard, mean_ndcg, ndcg_duplicates, alignment_check, json_pages_scan, page_listing, query_set_sets, query_set_lists,
+        artifact_roundtrip, chunks_roundtrip, legacy_index, engine_evaluate,
     )
 }

@@ -33,6 +33,9 @@ def write(folder: str, chunks: DataFrame, lexical: LexicalIndex | None, vectors:
 
 
 def read(spark: SparkSession, folder: str) -> tuple[DataFrame, LexicalIndex | None, DataFrame | None]:
+    """Chunks, lexical index and vectors of a folder, or of a version-1 bundle, which is one JSON file."""
+    if folder.endswith(".json"):
+        return *read_legacy(spark, folder), None
     stats = spark.read.parquet(f"{folder}/corpus_stats").first()
     if stats["version"] != VERSION:
         raise ValueError(f"version {stats['version']} isn't {VERSION}")

@@ -49,10 +49,10 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("page_id"), title.alias("title"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("content"))
 
 
-def benchmark_queries(spark: SparkSession, sf_dir: str, words: int = 10) -> DataFrame:
-    """Each benchmark item's first words as a query."""
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's words as a query."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return items.select(F.col("item_id").alias("qid"), tx.join_tokens(F.slice(tx.tokens(F.col("text")), 1, words)).alias("query"))
+    return items.select(F.col("item_id").alias("qid"), tx.join_tokens(tx.tokens(F.col("text"))).alias("query"))
 
 
 def benchmark_relevance(spark: SparkSession, sf_dir: str, words: int = 5) -> DataFrame:
