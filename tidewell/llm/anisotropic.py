@@ -161,7 +161,7 @@ def index(vectors: DataFrame, quantiser: Quantiser, vec_id: str = "vec_id", embe
     return rows.mapInArrow(run, schema)
 
 
-def search(indexed: DataFrame, is_query: Column, quantiser: Quantiser, k: int = 5, rerank: int = 128, block: int = 8192) -> DataFrame:
+def search(indexed: DataFrame, is_query: Column, quantiser: Quantiser, k: int = 5, rerank: int = 128, block: int = 32_768) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest by cosine of each row where ``is_query``."""
     queries = indexed.where(is_query).select("vec_id", "embedding")
     blocks = max(1, -(-queries.count() // block))
