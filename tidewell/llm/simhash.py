@@ -228,7 +228,8 @@ def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """One document of each component, with its own columns: the smallest id (null only if there is no other)."""
     near = near_duplicates(docs, doc_id, text, shingle, max_bits, more)
     best = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"))
-    keep = best.select(F.col("best.doc_id").alias("keep_id"), F.col("best.text_hash").alias("keep_hash"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own_id"), F.xxhash64(text).alias("own_hash"))
-    kept = rows.join(keep, F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_hash") == F.col("keep_hash")), "left_semi")
-    return kept.dropDuplicates(["own_id", "own_hash"]).select("row.*")
+    # Plain keys for an id that may be null, so that the join's partitions also serve to drop repeated rows.
+    key = lambda c: (c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("id"))
+    keep = best.select(*key(F.col("best.doc_id")), F.col("best.text_hash").alias("hash"))
+    rows = docs.select(F.struct("*").alias("row"), *key(F.col(doc_id)), F.xxhash64(text).alias("hash"))
+    return rows.join(keep, ["none", "id", "hash"], "left_semi").dropDuplicates(["none", "id", "hash"]).select("row.*")
