@@ -58,4 +58,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN hit END AS pattern
        CASE WHEN rule IS NOT NULL THEN (SELECT verdict FROM site s WHERE h || s.p = rule) WHEN hit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM j
 """
 
-ORACLES = {"op1_line_quality": OP1, "op5_mixing": OP5, "op6_url_rules": OP6}
+OP12 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES = {"op1_line_quality": OP1, "op5_mixing": OP5, "op6_url_rules": OP6, "op12_chunk_recipes": OP12}

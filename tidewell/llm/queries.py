@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..cluster import cut
-from . import anisotropic, cross_parsing, license_scan, line_quality, logbilinear, mixing, packing, simhash, suffix_index, url_rules
-from .common import small_batches
+from ..cluster import cut, partitions, shared_folder
+from . import anisotropic, chunk_recipes, cross_parsing, keyed_upsert, license_scan, line_quality, logbilinear, mixing, packing, simhash, suffix_index, turn_repair, url_rules
+from .common import free_memory, small_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,4 +96,104 @@ def op7_anisotropic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anisotropic.search(indexed, F.col("vec_id") % 50 == 0, quantiser)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op4_suffix_index, op5_mixing, op6_url_rules, op7_anisotropic, op8_packing, op9_license_scan, op10_logbilinear)}
+def _crc(c, n):
+    """CRC-32 of a value as decimal text, modulo n."""
+    return F.crc32(c.cast("string")) % n
+
+
+def _client_verdict(first, change):
+    """What becomes of a change by the first id of its home."""
+    h = _crc(first, 12)
+    gone = (change.getField("op") == "D") | (_crc(change.getField("change_id"), 8) < h)
+    return F.when(h > 7, "ignore").when(F.coalesce(gone, F.lit(False)), "delete").otherwise("set")
+
+
+def _file_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, first_id, n_rows, cents, rows_crc, ids_sha256) of rows (path, id, cents, crc) that lie together by file, in order."""
+    names, path, own = ["path", "first_id", "n_rows", "cents", "rows_crc", "ids_sha256"], None, None
+
+    def out() -> pa.RecordBatch:
+        first, n, cents, crc, ids = own
+        return pa.RecordBatch.from_pylist([dict(zip(names, (path, first, n, cents, crc, ids.hexdigest())))], _DIGESTS)
+
+    for b in batches:
+        paths, start = b.column(0).to_pylist(), 0
+        while start < len(paths):
+            stop = next((i for i in range(start, len(paths)) if paths[i] != paths[start]), len(paths))
+            ids, cents, crc = (b.column(c).slice(start, stop - start).to_pylist() for c in (1, 2, 3))
+            if paths[start] != path:
+                if own:
+                    yield out()
+                path, own = paths[start], [ids[0], 0, 0, 0, hashlib.sha256()]
+                own[4].update(str(ids[0]).encode())
+                ids, own[1] = ids[1:], 1
+            own[4].update("".join(f",{i}" for i in ids).encode())
+            own[1:4] = [own[1] + len(ids), own[2] + sum(cents), own[3] + sum(crc)]
+            start = stop
+    if own:
+        yield out()
+    free_memory()
+
+
+_DIGESTS = pa.schema([("path", pa.string()), *((c, pa.int64()) for c in ("first_id", "n_rows", "cents", "rows_crc")), ("ids_sha256", pa.string())])
+
+
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a table of clients after their changes, a 700th of all clients in a file."""
+    clients, changes = _read(spark, sf_dir, "clients"), _read(spark, sf_dir, "client_changes")
+    folder, per_file = f"{shared_folder(spark)}/clients-{uuid.uuid4().hex}", 1 + clients.count() // 700
+    chosen = clients.where(_crc(F.col("client_id"), 7) > 3)
+    keyed_upsert.start(chosen, folder, "client_id", per_file)
+    if not chosen.limit(1).count():
+        return spark.createDataFrame([], "first_id long, n_rows long, cents long, rows_crc long, ids_sha256 string, columns string, path string, rewritten boolean")
+    untouched = keyed_upsert.upsert(spark, folder, changes, "client_id", ("seq", "change_id"), ("source", "segment", "city", "balance"), per_file, _client_verdict)
+    rows = keyed_upsert.table(spark, folder, clients.schema)
+    said = F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")))
+    cents = F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0)).cast("bigint")
+    dealt = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), F.col("client_id").alias("id"), cents.alias("cents"), F.crc32(said).alias("crc"))
+    files = dealt.repartition(partitions(dealt), "path").sortWithinPartitions("path", "at").select("path", "id", "cents", "crc").mapInArrow(_file_digests, "path string, first_id long, n_rows long, cents long, rows_crc long, ids_sha256 string")
+    return files.select("first_id", "n_rows", "cents", "rows_crc", "ids_sha256", F.lit(",".join(rows.columns)).alias("columns"), F.regexp_replace("path", "^file:/+", "/").alias("path"), (~F.col("path").isin(untouched)).alias("rewritten"))
+
+
+def op12_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates: of equal texts the document of the largest id stays."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return chunk_recipes.groups(docs).select("row.doc_id", "keep_id", "group_size", "kept", "row.text_sha256")
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with what the contract does to them; ``there`` is false for dropped rows."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    own = rows.select("conv_id", "turn", said("role").alias("role"), said("text").alias("text"), _crc(F.concat(said("conv_id"), F.lit(":"), said("turn")), 20).alias("h"))
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("h") == 4, "user").otherwise(F.col("role"))
+    return own.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("h") != 0).alias("there"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("h") == 3, 2).otherwise(1))).alias("_")).drop("_")
+
+
+def _turn_digests(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(conv_id, report, repaired_sha256) of repaired turns, each conversation's in order: conv_id, place, report, role, text."""
+    head, digest, done = None, None, []
+    for b in batches:
+        for conv, place, report, role, text in zip(*(c.to_pylist() for c in b.columns)):
+            if place == 0:
+                if head:
+                    done.append((*head, digest.hexdigest()))
+                head, digest = (conv, report), hashlib.sha256()
+            else:
+                digest.update(("" if place == 1 else "\n").encode() + f"{role}:{text}".encode())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], schema.field(i).type) for i in range(3)], schema=schema)
+        done = []
+    if head:
+        yield pa.RecordBatch.from_arrays([pa.array([x], schema.field(i).type) for i, x in enumerate((*head, digest.hexdigest()))], schema=schema)
+    free_memory()
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults, and the cheapest edits that repair them."""
+    repaired = turn_repair.repair(_damaged(_read(spark, sf_dir, "conversations")), there=F.col("there")).select("conv_id", "place", "report", "role", "text")
+    schema = StructType([repaired.schema["conv_id"], repaired.schema["report"], StructField("repaired_sha256", StringType())])
+    out = repaired.mapInArrow(turn_repair.with_schema(_turn_digests, schema), schema)
+    return out.select("conv_id", "report.*", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_quality, op2_cross_parsing, op3_simhash, op4_suffix_index, op5_mixing, op6_url_rules, op7_anisotropic, op8_packing, op9_license_scan, op10_logbilinear, op11_keyed_upsert, op12_chunk_recipes, op13_turn_repair)}
