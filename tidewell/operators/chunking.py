@@ -2,7 +2,8 @@
 
 Paragraphs are merged in order while a chunk has under ``min_tokens`` tokens and stays within ``max_tokens``. A paragraph
 beyond that can't be merged with anything and is cut into pieces of nearly equal size that overlap by ``overlap`` tokens.
-Everything is one projection: a fold over the page's paragraphs, closed formulas for the pieces, one explode. No shuffle.
+Everything is one projection: a walk over the paragraphs' token counts, linear for long pages too, closed formulas for the pieces, one
+explode. No shuffle.
 """
 
 from __future__ import annotations
@@ -18,27 +19,62 @@ from ..cluster import cut, partitions
 from ..functions import text as tx
 from ..plans.config import ChunkConfig
 
-_GROUPS = "array<struct<start:bigint,text:string,n:bigint>>"
 CHUNK = ("page_id", "chunk_id", "title", "chunk_text", "paragraph_index", "subchunk_index")
+_GROUP = "struct<start:int,n:bigint,stop:int>"
+#: Paragraphs that are walked over at a time: Spark copies what a walk carries at every step, so it has to stay short.
+_BLOCK = 128
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: inside a lambda Spark computes an expression wherever it stands."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _group(start: Column, n: Column, stop: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), n.cast("bigint").alias("n"), stop.cast("int").alias("stop"))
+
+
+def group_bounds(counts: Column, config: ChunkConfig = ChunkConfig()) -> Column:
+    """Groups (start, n, stop) of paragraphs by an array of their token counts: paragraphs start to stop - 1 with n tokens.
+
+    A long page is walked over in blocks: once for the group that is open where each block begins, which is all that one block has
+    to know of those before it, and once in each block for the groups that end there.
+    """
+    nothing = _group(F.lit(0), F.lit(-1), F.lit(0))
+    none = F.array().cast(f"array<{_GROUP}>")
+    fits = lambda g, n: (g["n"] >= 0) & (g["n"] < config.min_tokens) & (g["n"] + n <= config.max_tokens)
+    longer = lambda g, n: _group(g["start"], g["n"] + n, g["stop"] + 1)
+    begun = lambda g, n: _group(g["stop"], n, g["stop"] + 1)
+
+    def last(first: Column, block: Column) -> Column:
+        return F.aggregate(block, first, lambda g, n: F.when(fits(g, n), longer(g, n)).otherwise(begun(g, n)))
+
+    def ended(first: Column, block: Column, end: Callable[[Column, Column], Column]) -> Column:
+        """The groups that end in a block; ``end`` makes the list of those and the open one."""
+        both = lambda done, g: F.struct(done.alias("done"), g.alias("open"))
+        step = lambda a, n: F.when(fits(a["open"], n), both(a["done"], longer(a["open"], n))).otherwise(both(F.when(a["open"]["n"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["open"]))), begun(a["open"], n)))
+        return F.aggregate(block, both(none, first), step, lambda a: end(a["done"], a["open"]))
+
+    with_open = lambda done, g: F.concat(done, F.filter(F.array(g), lambda x: x["n"] >= 0))
+
+    def of_long(counts: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / F.lit(_BLOCK)).cast("int")), lambda b: F.slice(counts, b * _BLOCK + 1, F.lit(_BLOCK)))
+        firsts = lambda bs: F.aggregate(bs, F.array(nothing), lambda gs, b: F.concat(gs, F.array(last(F.element_at(gs, -1), b))))
+        within = lambda bs, gs: F.transform(bs, lambda b, i: ended(F.get(gs, i), b, lambda done, g: done))
+        return _bound(blocks, lambda bs: _bound(firsts(bs), lambda gs: with_open(F.flatten(within(bs, gs)), F.element_at(gs, -1))))
+
+    return _bound(counts, lambda c: F.when(F.size(c) <= _BLOCK, ended(nothing, c, with_open)).otherwise(of_long(c)))
 
 
 def merged(paragraphs: Column, config: ChunkConfig = ChunkConfig()) -> Column:
     """Groups (start, text, n) of an array of squeezed paragraphs, whose tokens are parted by single spaces."""
     n_tokens = lambda p: (F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).cast("bigint")
-    numbered = F.transform(paragraphs, lambda p, i: F.struct(i.cast("bigint").alias("start"), p.alias("text"), n_tokens(p).alias("n")))
 
-    def step(groups: Column, p: Column) -> Column:
-        last = F.get(groups, F.size(groups) - 1)
-        fits = (last["n"] < config.min_tokens) & (last["n"] + p["n"] <= config.max_tokens)
-        both = F.struct(last["start"].alias("start"), F.concat(last["text"], F.lit("\n\n"), p["text"]).alias("text"), (last["n"] + p["n"]).alias("n"))
-        return F.when(fits, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(both))).otherwise(F.concat(groups, F.array(p)))
+    def grouped(ps: Column) -> Column:
+        text = lambda g: F.array_join(F.slice(ps, g["start"] + 1, g["stop"] - g["start"]), "\n\n")
+        return F.transform(group_bounds(F.transform(ps, n_tokens), config), lambda g: F.struct(g["start"].cast("bigint").alias("start"), text(g).alias("text"), g["n"].alias("n")))
 
-    return F.aggregate(numbered, F.array().cast(_GROUPS), step)
-
-
-def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once: inside a lambda Spark computes an expression wherever it stands."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return _bound(paragraphs, grouped)
 
 
 def pieces(words: Column, config: ChunkConfig = ChunkConfig()) -> Column:
