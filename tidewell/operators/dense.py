@@ -1,7 +1,9 @@
 """Embeddings and exact inner-product search.
 
 An embedder is any function from a list of texts to an (n, dim) array; it runs in Arrow batches, made once for each Python
-worker. Search multiplies blocks of queries with each batch of vectors and passes on k rows of a task for each query.
+worker. Search packs queries and vectors into blocks, one binary matrix a row, and joins the blocks: each task multiplies the pairs of
+blocks that are dealt to it and passes on k rows for each query and block of vectors. Nothing goes through the driver, and the number
+of jobs doesn't depend on the number of queries.
 """
 
 from __future__ import annotations
@@ -13,13 +15,20 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
+from ..cluster import cut, partitions
 from ..functions import text as tx
 from .lexical import top_k
 
-MAX_QUERY_BLOCK = 4096
+#: Rows of a block of queries and of vectors: their product, 32 MB, is what a task holds at a time.
+MAX_QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+#: Queries up to this size are sent to every task; more are dealt to as many groups as there are partitions.
+SENT_BYTES = 1 << 25
 
 
 class Embedder(Protocol):
@@ -73,40 +82,63 @@ def embed_queries(queries: DataFrame, make: Callable[[], Embedder]) -> DataFrame
     return queries.select("qid", embed_column(make)(tx.text_or_empty(F.col("query"))).alias("embedding"))
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """``(qid, chunk_idx, page_id, score, rank)``: the k largest inner products of each (qid, embedding).
+def packed(rows: DataFrame, size: int, *ids: str) -> DataFrame:
+    """Rows (ids, embedding) in blocks: an array of each id and ``matrix``, the vectors as doubles end to end. Rows without a vector are left out."""
+    own = rows.where(F.col("embedding").isNotNull()).select(*ids, F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = StructType([*(StructField(c, ArrayType(own.schema[c].dataType)) for c in ids), StructField("matrix", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                lists = [pa.ListArray.from_arrays([0, part.num_rows], part.column(c)) for c in range(len(ids))]
+                matrix = part.column(len(ids)).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays([*lists, pa.array([matrix.tobytes()], pa.binary())], [*ids, "matrix"])
+
+    return own.mapInArrow(run, schema)
+
 
-    Queries come to the driver in blocks of at most ``MAX_QUERY_BLOCK`` by hash.
+def block_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every block of queries beside every block of vectors, by a join on the group that both are dealt to.
+
+    Vectors stay where they are while the queries are few enough to be sent; otherwise each group gets a share of the vectors and all queries.
     """
-    blocks = max(1, -(-queries.count() // (MAX_QUERY_BLOCK // 2)))
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).select("qid", "embedding").toPandas()
-        part = _block(own, queries.schema["qid"].dataType.simpleString(), vectors, k, digits)
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, k).select("qid", "chunk_idx", "page_id", "score", "rank")
+    size = queries.agg(F.coalesce(F.sum(F.length("matrix")), F.lit(0))).first()[0]
+    groups = 1 if size <= SENT_BYTES else partitions(vectors)
+    dealt = queries.withColumnRenamed("matrix", "query_matrix").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    own = vectors.withColumn("group", F.pmod(F.xxhash64("chunk_idx"), F.lit(groups)).cast("int"))
+    return own.join(F.broadcast(dealt) if groups == 1 else dealt, "group").drop("group")
+
+
+def _best_of(products: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k largest products, ties to the smaller id."""
+    if products.shape[1] > k:
+        least = np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k]
+        row, at = np.nonzero(products >= least[:, None])
+    else:
+        row, at = (x.reshape(-1) for x in np.indices(products.shape))
+    order = np.lexsort((ids[at], -products[row, at], row))
+    row, at = row[order], at[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], at[place < k]
 
 
-def _block(queries: pd.DataFrame, qid_type: str, vectors: DataFrame, k: int, digits: int) -> DataFrame:
-    ids = queries["qid"].to_numpy()
-    matrix = np.stack(queries["embedding"].to_numpy()).astype(np.float64) if len(queries) else np.zeros((0, 1))
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = sent.value
-        best = None
-        for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            frame = frame.sort_values("chunk_idx", kind="stable")
-            products = np.round(matrix @ np.stack(frame["embedding"].to_numpy()).astype(np.float64).T, digits)
-            order = np.argsort(-products, axis=1, kind="stable")[:, :k]
-            q = np.repeat(np.arange(len(ids)), order.shape[1])
-            at = order.reshape(-1)
-            own = pd.DataFrame({"q": q, "chunk_idx": frame["chunk_idx"].to_numpy()[at], "page_id": frame["page_id"].to_numpy()[at], "score": products[q, at]})
-            best = own if best is None else pd.concat((best, own))
-            best = best.sort_values(["q", "score", "chunk_idx"], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None:
-            yield best.assign(qid=ids[best["q"].to_numpy()])[["qid", "chunk_idx", "page_id", "score"]]
-
-    return vectors.select("chunk_idx", "page_id", "embedding").mapInPandas(run, f"qid {qid_type}, chunk_idx long, page_id long, score double")
+def search(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
+    """``(qid, chunk_idx, page_id, score, rank)``: the k largest inner products of each (qid, embedding)."""
+    kind = queries.schema["qid"].dataType
+    own = cut(packed(queries, MAX_QUERY_BLOCK, "qid"))
+    pairs = block_pairs(own, packed(vectors, VECTOR_BLOCK, "chunk_idx", "page_id")).select("qid", "query_matrix", "chunk_idx", "page_id", "matrix")
+    arrow = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                qids, ids, pages = (b.column(c)[i].values for c in (0, 2, 3))
+                one, two = (np.frombuffer(b.column(c)[i].as_py(), "<f8").reshape(len(n), -1) for c, n in ((1, qids), (4, ids)))
+                products = np.round(one @ two.T, digits)
+                row, at = _best_of(products, ids.to_numpy(zero_copy_only=False), k)
+                at_ = pa.array(at)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(row)).cast(arrow), ids.take(at_).cast(pa.int64()), pages.take(at_).cast(pa.int64()), pa.array(products[row, at])], ["qid", "chunk_idx", "page_id", "score"])
+
+    found = pairs.mapInArrow(run, f"qid {kind.simpleString()}, chunk_idx long, page_id long, score double")
+    return top_k(found, k).select("qid", "chunk_idx", "page_id", "score", "rank")

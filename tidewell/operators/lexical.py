@@ -2,6 +2,12 @@
 
 Postings carry their chunk's length, and the vocabulary is joined to the few query terms first, so scoring touches only
 the postings of query terms and needs no join with the chunks.
+
+A top-k search over many postings doesn't score every one. The vocabulary has the largest share ``top`` that a term adds to any score, and a table of
+tops has it for each block of ``BLOCK`` chunks, for terms of over ``FREQUENT`` postings. A query's rarest words give a first threshold, which
+its k best chunks reach. Words that together can't reach it bring up no candidate, and the others' partial scores give candidates
+and a better threshold. A candidate stays if its partial score and the tops of the left-out words in its block reach that. Only for
+those that stay are the postings of the left-out words, the frequent ones, added up.
 """
 
 from __future__ import annotations
@@ -12,10 +18,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..cluster import cut, is_small
+from ..cluster import cut, is_small, small_side
 from ..functions import text as tx
 from ..plans.config import BM25Config
 
+#: Chunk numbers that share a row of the tops, and the postings from which on a term has such rows.
+BLOCK, FREQUENT = 64, 256
+#: Query terms times chunks up to which a search scores all postings: one pass is sooner done there than thresholds are found.
+SCORE_ALL = 1_000_000_000
+
 
 def chunk_terms(chunks: DataFrame) -> DataFrame:
     """``(chunk_idx, page_id, tokens)``; the title counts in every chunk."""
@@ -47,8 +58,27 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def vocabulary(postings: DataFrame, n: int) -> DataFrame:
-    return document_frequency(postings).withColumn("idf", idf(F.lit(float(n)), F.col("df")))
+def share(config: BM25Config, avgdl: float) -> Column:
+    """What a posting adds to a score, but for its term's idf."""
+    norm = config.k1 * (1 - config.b + config.b * F.col("length") / avgdl) if avgdl > 0 else F.lit(1.0)
+    return F.col("tf") * (config.k1 + 1) / (F.col("tf") + norm)
+
+
+def vocabulary(postings: DataFrame, n: int, avgdl: float, config: BM25Config = BM25Config()) -> DataFrame:
+    """``(term, df, idf, top)``."""
+    counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max(share(config, avgdl)).alias("top"))
+    return counts.select("term", "df", idf(F.lit(float(n)), F.col("df")).alias("idf"), "top")
+
+
+def block_of(chunk_idx: Column) -> Column:
+    return F.floor(chunk_idx / F.lit(BLOCK))
+
+
+def block_tops(postings: DataFrame, vocab: DataFrame, avgdl: float, config: BM25Config = BM25Config()) -> DataFrame:
+    """``(term, block, top)`` of frequent terms."""
+    frequent = small_side(vocab.where(F.col("df") > FREQUENT).select("term"))
+    own = postings.join(frequent, "term", "left_semi")
+    return own.groupBy("term", block_of(F.col("chunk_idx")).alias("block")).agg(F.max(share(config, avgdl)).alias("top"))
 
 
 def posting_offsets(vocab: DataFrame) -> DataFrame:
@@ -71,16 +101,24 @@ def posting_offsets(vocab: DataFrame) -> DataFrame:
 class LexicalIndex:
     postings: DataFrame
     vocab: DataFrame
+    tops: DataFrame
     n: int
     avgdl: float
     config: BM25Config = BM25Config()
 
+    @classmethod
+    def of(cls, postings: DataFrame, n: int, avgdl: float, config: BM25Config = BM25Config(), vocab: DataFrame | None = None) -> LexicalIndex:
+        """An index of postings; its vocabulary (but for idf, if one is given) and tops are computed once and kept."""
+        own = vocabulary(postings, n, avgdl, config)
+        own = cut(own if vocab is None else vocab.join(own.select("term", "top"), "term"))
+        return cls(postings, own, cut(block_tops(postings, own, avgdl, config)), n, avgdl, config)
+
 
 def build(chunks: DataFrame, config: BM25Config = BM25Config()) -> LexicalIndex:
-    """Postings and vocabulary are computed once and kept, as every search reads both."""
-    postings = cut(term_frequency(chunks))
-    stats = corpus_stats(chunks).first()
-    return LexicalIndex(postings, cut(vocabulary(postings, stats["n"])), stats["n"], stats["avgdl"], config)
+    """Postings are computed once and kept; their frequencies add up to the corpus' length."""
+    postings, n = cut(term_frequency(chunks)), chunks.count()
+    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    return LexicalIndex.of(postings, n, words / n if n else 0.0, config)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -88,17 +126,80 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tx.lower_tokens(F.col("query")))).alias("term"))
 
 
+def _part(index: LexicalIndex) -> Column:
+    return F.col("idf") * share(index.config, index.avgdl)
+
+
 def scores(queries: DataFrame, index: LexicalIndex, digits: int = 6) -> DataFrame:
     """``(qid, chunk_idx, page_id, score)`` of the chunks that share a term with a query."""
-    k1, b = index.config.k1, index.config.b
-    norm = k1 * (1 - b + b * F.col("length") / index.avgdl) if index.avgdl > 0 else F.lit(1.0)
     terms = query_terms(queries)
     sent = F.broadcast if is_small(terms) else lambda df: df
     # Only the query terms' postings are counted: the filter is by term, below the aggregates.
     wanted = sent(terms.select("term").distinct())
     hits = sent(terms).join(index.postings.join(wanted, "term", "left_semi"), "term").join(index.vocab.join(wanted, "term", "left_semi").select("term", "idf"), "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return hits.groupBy("qid", "chunk_idx", "page_id").agg(F.round(F.sum(part), digits).alias("score"))
+    return hits.groupBy("qid", "chunk_idx", "page_id").agg(F.round(F.sum(_part(index)), digits).alias("score"))
+
+
+def weighted_terms(queries: DataFrame, index: LexicalIndex, k: int) -> DataFrame:
+    """``(qid, term, idf, df, most, rest, rare)`` of the terms that the vocabulary holds, kept.
+
+    most is what a term can add to a score, rest what it and all more frequent ones of the query can. Terms are rare until those before
+    them have 64 k postings.
+    """
+    terms = query_terms(queries)
+    sent = F.broadcast if is_small(terms) else lambda df: df
+    known = index.vocab.join(sent(terms.select("term").distinct()), "term", "left_semi")
+    own = sent(terms).join(known, "term").withColumn("most", F.col("idf") * F.col("top"))
+    order = Window.partitionBy("qid").orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("most").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return cut(own.select("qid", "term", "idf", "df", "most", rest.alias("rest"), (before < 64 * k).alias("rare")))
+
+
+def _partial(terms: DataFrame, index: LexicalIndex) -> DataFrame:
+    """``(qid, chunk_idx, page_id, part)`` by these terms alone."""
+    hits = index.postings.join(small_side(terms.select("qid", "term", "idf")), "term")
+    return hits.groupBy("qid", "chunk_idx", "page_id").agg(F.sum(_part(index)).alias("part"))
+
+
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """``(qid, least)`` of the queries with k chunks or more."""
+    return top_k(found.withColumnRenamed("part", "score"), k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+
+
+def candidates(queries: DataFrame, index: LexicalIndex, k: int, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The terms (qid, term, idf, late), and every chunk (qid, chunk_idx, page_id, part) that can be one of a query's k best.
+
+    part is the score by the terms that aren't late.
+    """
+    slack = 2 * 10.0**-digits  # scores are rounded, and sums differ by the order of their terms
+    weighted = weighted_terms(queries, index, k)
+    first = cut(_kth(_partial(weighted.where("rare"), index), k))
+    terms = cut(weighted.join(small_side(first), "qid", "left").withColumn("late", F.coalesce(F.col("rest") + slack < F.col("least"), F.lit(False))).drop("least"))
+    found = cut(_partial(terms.where("not late"), index))
+    if not terms.where("late").limit(1).count():
+        return terms, found
+    late = small_side(terms.where("late"))
+    has_tops = F.col("df") > FREQUENT
+    by_block = index.tops.join(late.where(has_tops).select("qid", "term", "idf"), "term").groupBy("qid", "block").agg(F.sum(F.col("idf") * F.col("top")).alias("more"))
+    by_query = late.groupBy("qid").agg(F.sum(F.when(~has_tops, F.col("most")).otherwise(0.0)).alias("always"))
+    near = found.withColumn("block", block_of(F.col("chunk_idx"))).join(small_side(cut(_kth(found, k))), "qid", "left")
+    near = near.join(small_side(cut(by_block)), ["qid", "block"], "left").join(small_side(by_query), "qid", "left")
+    reach = F.col("part") + F.coalesce("more", F.lit(0.0)) + F.coalesce("always", F.lit(0.0)) + slack
+    return terms, cut(near.where(F.col("least").isNull() | (reach >= F.col("least"))).select(*found.columns))
+
+
+def best(queries: DataFrame, index: LexicalIndex, k: int, digits: int = 6, score_all: int | None = None) -> DataFrame:
+    """The k best chunks of each query that share a term with it; ``score_all`` replaces SCORE_ALL."""
+    if query_terms(queries).count() * index.n <= (SCORE_ALL if score_all is None else score_all):
+        return top_k(scores(queries, index, digits), k)
+    terms, found = candidates(queries, index, k, digits)
+    late = terms.where("late").select("qid", "term", "idf")
+    wanted = index.postings.join(small_side(late.select("term").distinct()), "term", "left_semi").drop("page_id")
+    added = wanted.join(small_side(found.drop("part")), "chunk_idx").join(small_side(late), ["qid", "term"])
+    more = added.select("qid", "chunk_idx", "page_id", _part(index).alias("part"))
+    every = found.unionByName(more).groupBy("qid", "chunk_idx", "page_id").agg(F.round(F.sum("part"), digits).alias("score"))
+    return top_k(every, k)
 
 
 def top_k(scored: DataFrame, k: int, by: str = "qid", ties: str = "chunk_idx") -> DataFrame:
@@ -112,14 +213,14 @@ def search(queries: DataFrame, index: LexicalIndex, chunks: DataFrame, k: int =
 
     At most k of the first k chunks can be among the matches, so only those are offered as padding.
     """
-    best = top_k(scores(queries, index, digits), k)
+    found = best(queries, index, k, digits)
     if not pad:
-        return best
+        return found
     first = chunks.orderBy("chunk_idx").limit(k).select("chunk_idx", "page_id").collect()
     if not first:
-        return best
+        return found
     each = F.array(*(F.struct(F.lit(r["chunk_idx"]).alias("chunk_idx"), F.lit(r["page_id"]).alias("page_id")) for r in first))
     offered = queries.select("qid", F.explode(each).alias("c")).select("qid", "c.*")
-    spare = offered.join(best.select("qid", "chunk_idx"), ["qid", "chunk_idx"], "left_anti").withColumn("score", F.lit(0.0))
+    spare = offered.join(found.select("qid", "chunk_idx"), ["qid", "chunk_idx"], "left_anti").withColumn("score", F.lit(0.0))
     columns = ["qid", "chunk_idx", "page_id", "score"]
-    return top_k(best.select(*columns).unionByName(spare.select(*columns)), k)
+    return top_k(found.select(*columns).unionByName(spare.select(*columns)), k)

@@ -62,7 +62,7 @@ class Engine:
 
     def warm(self) -> Engine:
         """Keeps the tables in the executors' memory and disks for queries to come."""
-        for table in (self.chunks, self.vectors, *((self.index.postings, self.index.vocab) if self.index else ())):
+        for table in (self.chunks, self.vectors, *((self.index.postings, self.index.vocab, self.index.tops) if self.index else ())):
             if table is not None:
                 table.persist()
         return self

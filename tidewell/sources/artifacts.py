@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import partitions
+from ..cluster import cut, partitions
 from ..operators.lexical import LexicalIndex
 from ..plans.config import BM25Config
 
-VERSION = 2
+VERSION = 3
 LEGACY = "k1 double, b double, avgdl double, chunk_lengths array<double>, chunks array<struct<page_id:bigint,chunk_id:bigint,title:string,paragraph_index:bigint,subchunk_index:bigint>>, postings map<string,struct<doc_indices:array<bigint>,term_frequencies:array<double>,doc_freq:bigint,idf:double>>"
 
 
@@ -26,6 +26,7 @@ def write(folder: str, chunks: DataFrame, lexical: LexicalIndex | None, vectors:
     if lexical is not None:
         by_term = lexical.postings.repartitionByRange(partitions(chunks), "term").sortWithinPartitions("term", "chunk_idx")
         by_term.write.mode("overwrite").parquet(f"{folder}/postings")
+        lexical.tops.repartitionByRange(partitions(chunks), "term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/tops")
         lexical.vocab.repartitionByRange(partitions(chunks), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/vocab")
         n, avgdl, k1, b = lexical.n, lexical.avgdl, lexical.config.k1, lexical.config.b
     stats = spark.createDataFrame([(VERSION, k1, b, n, avgdl, lexical is not None, vectors is not None)], "version int, k1 double, b double, num_chunks long, avgdl double, lexical boolean, dense boolean")
@@ -41,7 +42,7 @@ def read(spark: SparkSession, folder: str) -> tuple[DataFrame, LexicalIndex | No
         raise ValueError(f"version {stats['version']} isn't {VERSION}")
     lexical = None
     if stats["lexical"]:
-        lexical = LexicalIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocab"), stats["num_chunks"], stats["avgdl"], BM25Config(stats["k1"], stats["b"]))
+        lexical = LexicalIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocab"), spark.read.parquet(f"{folder}/tops"), stats["num_chunks"], stats["avgdl"], BM25Config(stats["k1"], stats["b"]))
     return spark.read.parquet(f"{folder}/chunks"), lexical, spark.read.parquet(f"{folder}/dense") if stats["dense"] else None
 
 
@@ -68,7 +69,7 @@ def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, LexicalIndex
     rows = each.select("term", F.col("x.doc_indices").alias("chunk_idx"), F.col("x.term_frequencies").cast("bigint").alias("tf"))
     postings = rows.join(lengths, "chunk_idx").join(chunks.select("chunk_idx", "page_id"), "chunk_idx").select("term", "chunk_idx", "page_id", "length", "tf")
     vocab = terms.select("term", F.col("p.doc_freq").alias("df"), F.col("p.idf").alias("idf"))
-    return chunks, LexicalIndex(postings, vocab, head["n"], head["avgdl"], BM25Config(head["k1"], head["b"]))
+    return chunks, LexicalIndex.of(cut(postings), head["n"], head["avgdl"], BM25Config(head["k1"], head["b"]), vocab)
 
 
 def misaligned(chunks: DataFrame, other: DataFrame) -> DataFrame:

@@ -51,5 +51,5 @@ def opened(spark: SparkSession, folder: str, config: BM25Config = BM25Config())
         return rows.join(offsets, "batch").withColumn("chunk_idx", F.col("chunk_idx") + F.col("first")).select(*(c for c in rows.columns if c != "batch"))
 
     postings = numbered("postings")
-    index = lexical.LexicalIndex(postings, lexical.vocabulary(postings, total), total, words / total if total else 0.0, config)
+    index = lexical.LexicalIndex.of(postings, total, words / total if total else 0.0, config)
     return numbered("chunks"), index, numbered("dense")
