@@ -132,6 +132,24 @@ def test_json_sources(spark, tmp_path):
         corpus.scan_pages(spark, str(tmp_path / "missing")).count()
 
 
+def test_pages_that_cannot_be_read(spark, tmp_path):
+    """Every file that json.loads or the page id would raise on has a problem, and the scan raises."""
+    sound = {"1": b'{"page_id": 1, "content": "a"}', "2": b' {"content": 5, "x": [1, {"y": "}]"}]}\n', "3": b'{"page_id": " 30\\t", "content": "a", "content": "b"}', "4": b'{"title": "{\'}"}'}
+    problems = {"a": (b"", "empty"), "b": (b" \n", "empty"), "c": (b'{"page_id": 1, "cont', "not JSON"), "d": (b'[{"page_id": 4}]', "not an object"), "e": (b"5", "not an object"), "f": (b"{'page_id': 7}", "not JSON")}
+    problems |= {"g": (b'{"page_id": 8, "content": "\xff"}', "not UTF-8"), "h": (b'{"page_id": 1} xyz', "not JSON"), "i": (b'{"page_id": 1}\n{"page_id": 2}', "not JSON"), "j": (b'{"page_id": 1}, {"page_id": 2}', "not JSON"), "k": (b'{"title": "no number"}', "no page id")}
+    problems |= {"l": (b'{"page_id": 1.5}', "no page id"), "m": (b'{"page_id": 1}}', "not JSON"), "n": (b'{"page_id": 1}]', "not JSON"), "o": (b'\xef\xbb\xbf{"page_id": 17}', "not JSON"), "p": (b"nonsense", "not JSON")}
+    for name, data in {**sound, **{k: v for k, (v, _) in problems.items()}}.items():
+        (tmp_path / f"{name}.json").write_bytes(data)
+    got = {r["src_file"]: r for r in corpus.read_pages(spark, str(tmp_path)).collect()}
+    assert {k.removesuffix(".json"): r["problem"] for k, r in got.items()} == dict.fromkeys(sound) | {k: p for k, (_, p) in problems.items()}
+    assert [(got[f"{k}.json"]["page_id"], got[f"{k}.json"]["content"]) for k in sound] == [(1, "a"), (2, "5"), (30, "b"), (4, "")]
+    assert corpus.page_files(spark, str(tmp_path)).count() == len(got)
+    with pytest.raises(Exception, match="json: "):
+        corpus.scan_pages(spark, str(tmp_path)).collect()
+    assert corpus.sound_pages(spark, str(tmp_path), str(tmp_path / "rejects")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "rejects")).count() == len(problems)
+
+
 def test_legacy_bundle(spark, small, tmp_path):
     index = lexical.build(small)
     postings = {}

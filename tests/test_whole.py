@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidewell.operators import dense
-from tidewell.plans.engine import Engine
+from tidewell.plans.engine import BuildMetrics, Engine
 from tidewell.plans.queries import QUERIES
 
 
@@ -39,6 +39,20 @@ def test_engines_are_opened_once(spark, tmp_path):
         table.unpersist()
 
 
+def test_a_rewritten_index_is_opened_again(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "t", "red fish"), (2, "u", "blue bird")], "page_id long, title string, content string")
+    metrics = BuildMetrics()
+    Engine.build(pages, metrics=metrics).save(str(tmp_path))
+    assert metrics.counts() == {"pages": 2, "chunks": 2, "postings": 6, "tokens": 6} and "pages=2" in metrics.line()
+    one = Engine.cached(spark, str(tmp_path))
+    assert one.run(["bird"])[0] == [2, 1]
+    Engine.build(pages.where("page_id = 1").unionByName(spark.createDataFrame([(7, "v", "black bird")], pages.schema))).save(str(tmp_path))
+    two = Engine.cached(spark, str(tmp_path))
+    assert two is not one and two.run(["bird"])[0] == [7, 1] and not one.chunks.is_cached
+    Engine.forget(spark, str(tmp_path))
+    assert not two.chunks.is_cached
+
+
 @pytest.mark.parametrize("batch", [1, 256])
 def test_a_loaded_model_embeds(spark, batch):
     """A model that is loaded in the workers: two layers of numpy."""

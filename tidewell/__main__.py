@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .plans.engine import Engine
+from .plans.engine import BuildMetrics, Engine
 from .sources import corpus
 
 
@@ -18,8 +18,10 @@ def main(args: list[str]) -> int:
     spark = SparkSession.builder.appName("tidewell").getOrCreate()
     began = time.time()
     if args[0] == "build":
-        engine = Engine.build(corpus.scan_pages(spark, args[1]), order=("src_file",)).save(args[2])
-        print(f"{engine.index.n} chunks in {time.time() - began:.1f} s")
+        metrics = BuildMetrics()
+        engine = Engine.build(corpus.scan_pages(spark, args[1]), order=("src_file",), metrics=metrics)
+        metrics.timed("writing", lambda: engine.save(args[2]))
+        print(metrics.line())
     elif args[0] == "search":
         for text, pages in zip(args[2:], Engine.open(spark, args[1]).run(args[2:])):
             print(text, *pages, sep="\t")

@@ -94,8 +94,13 @@ def page_text(title: Column, content: Column) -> Column:
     return strip(F.when(title != "", F.concat(title, F.lit("\n\n"), content)).otherwise(content))
 
 
+def page_number_or_null(c: Column) -> Column:
+    """A page id from a number or a string of digits, white space around it aside; null for anything else."""
+    text = strip(c.cast("string"))
+    return F.when(F.regexp(text, F.lit(r"^\d+$")), text.try_cast("bigint"))
+
+
 def page_number(c: Column) -> Column:
     """A page id from a number or a string of digits; raises on anything else."""
-    text = F.trim(c.cast("string"))
-    good = F.regexp(text, F.lit(r"^\d+$"))
-    return F.when(good, text.cast("bigint")).otherwise(F.raise_error(F.concat(F.lit("not a page id: "), F.coalesce(text, F.lit("null")))).cast("bigint"))
+    text = c.cast("string")
+    return F.coalesce(page_number_or_null(c), F.raise_error(F.concat(F.lit("not a page id: "), F.coalesce(text, F.lit("null")))).cast("bigint"))

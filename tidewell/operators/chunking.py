@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..cluster import cut, partitions
@@ -140,12 +140,16 @@ def _stream(paragraphs: list[str], config: ChunkConfig) -> Iterator[tuple[str, i
         at = stop
 
 
-def number_chunks(chunks: DataFrame) -> DataFrame:
+def number_chunks(chunks: DataFrame, counts: Observation | None = None) -> DataFrame:
     """``chunks`` with chunk_idx, their place in the order of the partitions, from 0 and without gaps.
 
-    A partition's first number is the sum of the counts before it, of which there is one for each partition.
+    A partition's first number is the sum of the counts before it, of which there is one for each partition. ``counts`` gets
+    pages and chunks while they are written.
     """
-    rows = cut(chunks.withColumn("_at", F.monotonically_increasing_id()))
+    rows = chunks.withColumn("_at", F.monotonically_increasing_id())
+    if counts is not None:
+        rows = rows.observe(counts, F.count_if(F.col("chunk_id") == 0).alias("pages"), F.count(F.lit(1)).alias("chunks"))
+    rows = cut(rows)
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     firsts, total = [0] * (counts[-1][0] + 1 if counts else 0), 0
@@ -156,7 +160,7 @@ def number_chunks(chunks: DataFrame) -> DataFrame:
     return rows.select((F.get(known, part.cast("int")) + place).alias("chunk_idx"), *chunks.columns)
 
 
-def chunks_in_order(pages: DataFrame, *order: str, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+def chunks_in_order(pages: DataFrame, *order: str, config: ChunkConfig = ChunkConfig(), counts: Observation | None = None) -> DataFrame:
     """Numbered chunks of pages in the given order, page_id if none is.
 
     Pages are sorted by range before they are cut, so the sort samples raw pages, cutting happens once and in
@@ -164,4 +168,4 @@ def chunks_in_order(pages: DataFrame, *order: str, config: ChunkConfig = ChunkCo
     cutting costs more than its input's size says.
     """
     keys = order or ("page_id",)
-    return number_chunks(chunk_pages(pages.repartitionByRange(partitions(pages), *keys).sortWithinPartitions(*keys), config))
+    return number_chunks(chunk_pages(pages.repartitionByRange(partitions(pages), *keys).sortWithinPartitions(*keys), config), counts)

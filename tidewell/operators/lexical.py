@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..cluster import cut, is_small, small_side
@@ -114,11 +114,12 @@ class LexicalIndex:
         return cls(postings, own, cut(block_tops(postings, own, avgdl, config)), n, avgdl, config)
 
 
-def build(chunks: DataFrame, config: BM25Config = BM25Config()) -> LexicalIndex:
-    """Postings are computed once and kept; their frequencies add up to the corpus' length."""
-    postings, n = cut(term_frequency(chunks)), chunks.count()
-    words = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
-    return LexicalIndex.of(postings, n, words / n if n else 0.0, config)
+def build(chunks: DataFrame, config: BM25Config = BM25Config(), counts: Observation | None = None) -> LexicalIndex:
+    """Postings are computed once and kept; their frequencies add up to the corpus' length. ``counts`` gets postings and tokens on the way."""
+    counts = Observation() if counts is None else counts
+    postings = cut(term_frequency(chunks).observe(counts, F.count(F.lit(1)).alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")))
+    n = chunks.count()
+    return LexicalIndex.of(postings, n, counts.get["tokens"] / n if n else 0.0, config)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import cut
@@ -23,6 +24,29 @@ def candidates(queries: DataFrame, chunks: DataFrame, index: lexical.LexicalInde
     return fusion.overlaps(fusion.with_texts(fused, chunks), profile), profile
 
 
+class BuildMetrics:
+    """What a build has met, counted while its tables are written, and the seconds of its phases."""
+
+    def __init__(self):
+        self.chunking, self.lexical = Observation(), Observation()
+        self.seconds: dict[str, float] = {}
+
+    def timed(self, phase: str, made: Callable[[], object]) -> object:
+        began = time.time()
+        out = made()
+        self.seconds[phase] = time.time() - began
+        return out
+
+    def counts(self) -> dict[str, int]:
+        """pages, chunks and, of a lexical index, postings and tokens."""
+        return self.chunking.get | (self.lexical.get if "lexical" in self.seconds else {})
+
+    def line(self) -> str:
+        counts, took = self.counts(), sum(self.seconds.values()) or 1e-9
+        phases = " ".join(f"{k}={v:.1f}s" for k, v in self.seconds.items())
+        return " ".join(f"{k}={v}" for k, v in counts.items()) + f" {phases} pages_per_minute={60 * counts['pages'] / took:.1f} chunks_per_second={counts['chunks'] / took:.1f}"
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -34,10 +58,11 @@ class Engine:
     config: SearchConfig = field(default_factory=SearchConfig)
 
     @classmethod
-    def build(cls, pages: DataFrame, with_lexical: bool = True, with_dense: bool = True, chunking_config: ChunkConfig = ChunkConfig(), bm25: BM25Config = BM25Config(), embedder: Callable[[], dense.Embedder] = dense.HashingEmbedder, order: Iterable[str] = ("page_id",), **options) -> Engine:
+    def build(cls, pages: DataFrame, with_lexical: bool = True, with_dense: bool = True, chunking_config: ChunkConfig = ChunkConfig(), bm25: BM25Config = BM25Config(), embedder: Callable[[], dense.Embedder] = dense.HashingEmbedder, order: Iterable[str] = ("page_id",), metrics: BuildMetrics | None = None, **options) -> Engine:
         """Chunks once, in the given order of pages, and either index or both from them."""
-        chunks = chunking.chunks_in_order(pages, *order, config=chunking_config)
-        index = lexical.build(chunks, bm25) if with_lexical else None
+        metrics = metrics or BuildMetrics()
+        chunks = metrics.timed("chunking", lambda: chunking.chunks_in_order(pages, *order, config=chunking_config, counts=metrics.chunking))
+        index = metrics.timed("lexical", lambda: lexical.build(chunks, bm25, metrics.lexical)) if with_lexical else None
         vectors = dense.embed_chunks(chunks, embedder) if with_dense else None
         return cls(pages.sparkSession, chunks, index, vectors, embedder, **options)
 
@@ -60,20 +85,37 @@ class Engine:
             raise ValueError("chunks and vectors aren't aligned")
         return cls(spark, chunks, index, vectors, **options)
 
+    def _tables(self) -> list[DataFrame]:
+        index = (self.index.postings, self.index.vocab, self.index.tops) if self.index else ()
+        return [t for t in (self.chunks, self.vectors, *index) if t is not None]
+
     def warm(self) -> Engine:
         """Keeps the tables in the executors' memory and disks for queries to come."""
-        for table in (self.chunks, self.vectors, *((self.index.postings, self.index.vocab, self.index.tops) if self.index else ())):
-            if table is not None:
-                table.persist()
+        for table in self._tables():
+            table.persist()
         return self
 
+    def cool(self) -> None:
+        """Gives back what ``warm`` keeps."""
+        for table in self._tables():
+            table.unpersist()
+
     @classmethod
     def cached(cls, spark: SparkSession, folder: str, **options) -> Engine:
-        """The warm engine of a folder, opened once for each session; its options are those of the first call."""
-        key = (spark.sparkContext.applicationId, folder)
+        """The warm engine of a folder, opened once for each session with the options of the first call, and again when the index was rewritten."""
+        key, state = (spark.sparkContext.applicationId, folder), artifacts.state(spark, folder)
+        if key in _OPENED and _OPENED[key][0] != state:
+            _OPENED.pop(key)[1].cool()
         if key not in _OPENED:
-            _OPENED[key] = cls.open(spark, folder, **options).warm()
-        return _OPENED[key]
+            _OPENED[key] = state, cls.open(spark, folder, **options).warm()
+        return _OPENED[key][1]
+
+    @classmethod
+    def forget(cls, spark: SparkSession, folder: str) -> None:
+        """Drops a folder's warm engine, if there is one."""
+        found = _OPENED.pop((spark.sparkContext.applicationId, folder), None)
+        if found:
+            found[1].cool()
 
     def search(self, queries: DataFrame) -> DataFrame:
         """``(qid, rank, page_id, score)`` for queries (qid, query); equal texts are queries of their own."""
@@ -100,7 +142,7 @@ class Engine:
         return metrics.mean_ndcg(self.search(query_set.select("qid", "query")), relevant, query_set, k)
 
 
-_OPENED: dict[tuple[str, str], Engine] = {}
+_OPENED: dict[tuple[str, str], tuple[str, Engine]] = {}
 
 
 def evaluate_run(spark: SparkSession, texts: list[str], relevant: list[set[int]], run: Callable[[list[str]], list[list[int]]], k: int = 10) -> dict[str, float]:

@@ -235,6 +235,9 @@ ORACLES = {
     "ndcg_duplicates": "SELECT qid, ndcg FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.815465), (3, 0), (4, 0)) AS t(qid, ndcg)",
     "alignment_check": _with("SELECT unnest(['postings', 'dense', 'broken']) AS side, unnest([0, 0, (SELECT count(*) FROM chunk WHERE chunk_idx % 7 IN (1, 2))]) AS misaligned"),
     "json_pages_scan": "SELECT doc_id AS page_id, '' AS title, md5(text) AS digest FROM documents",
+    "json_page_rejects": """SELECT problem, count(*) AS n, CASE WHEN problem = 'none' THEN sum(doc_id)::BIGINT END AS ids FROM (
+        SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'empty' WHEN 4 THEN 'not JSON' WHEN 5 THEN 'no page id' ELSE 'none' END AS problem FROM documents) GROUP BY problem""",
+    "build_metrics": _with("SELECT (SELECT count(DISTINCT page_id) FROM chunk) AS pages, (SELECT count(*) FROM chunk) AS chunks, sum(tf)::BIGINT AS tokens, count(*) AS postings FROM posting"),
     "page_listing": "SELECT count(*) AS files, count(*) AS scanned FROM documents",
     "query_set_sets": _QUERY_SET.format(pages="item_id || '|' || (item_id + 7)"),
     "query_set_lists": _QUERY_SET.format(pages="item_id || '|' || (item_id + 7) || '|' || item_id"),

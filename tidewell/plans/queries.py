@@ -13,7 +13,7 @@ from ..functions import text as tx
 from ..operators import chunking, dense, fusion, lexical, metrics, rerank
 from ..sources import artifacts, corpus
 from .config import BM25Config, SearchConfig
-from .engine import Engine, candidates
+from .engine import BuildMetrics, Engine, candidates
 
 #: Queries with quotes, digits, code and repeats, which the test tables lack.
 ODD_QUERIES = (
@@ -443,6 +443,18 @@ def json_pages_scan(spark, sf_dir):
     return corpus.scan_pages(spark, _page_files(spark, sf_dir)).select("page_id", "title", F.md5("content").alias("digest"))
 
 
+def json_page_rejects(spark, sf_dir):
+    """Documents as JSON files, some of them damaged by their ids: what is rejected, and why, and what is read."""
+    text = F.to_json(F.struct(F.col("doc_id").cast("string").alias("page_id"), F.col("text").alias("content")))
+    kind = F.col("doc_id") % 11
+    damaged = F.when(kind == 1, F.left(text, F.length(text) - 1)).when(kind == 2, F.concat(F.lit("["), text, F.lit("]"))).when(kind == 3, "").when(kind == 4, F.concat(text, F.lit(" {}"))).when(kind == 5, F.to_json(F.struct(F.lit("x1").alias("page_id")))).otherwise(text)
+    folder, rejects = _fresh(spark, "json-damaged"), _fresh(spark, "rejects")
+    _documents(spark, sf_dir).select(damaged.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    pages = corpus.sound_pages(spark, folder, rejects, "*.txt")
+    told = spark.read.parquet(rejects).groupBy("problem").agg(F.count_distinct("src_file").alias("n"), F.lit(None).cast("bigint").alias("ids"))
+    return told.unionByName(pages.agg(F.lit("none").alias("problem"), F.count(F.lit(1)).alias("n"), F.sum("page_id").alias("ids")))
+
+
 def page_listing(spark, sf_dir):
     """How many files a folder of pages has, and that a scan meets each."""
     folder = _page_files(spark, sf_dir)
@@ -504,6 +516,14 @@ def legacy_index(spark, sf_dir):
     return lexical.scores(_odd(spark), opened.index).select("qid", "chunk_idx", "score")
 
 
+def build_metrics(spark, sf_dir):
+    """What a build counts while it writes its tables."""
+    metrics = BuildMetrics()
+    Engine.build(corpus.document_pages(spark, sf_dir), with_dense=False, metrics=metrics)
+    counts = metrics.counts()
+    return spark.createDataFrame([tuple(counts[c] for c in ("pages", "chunks", "tokens", "postings"))], "pages long, chunks long, tokens long, postings long")
+
+
 def engine_evaluate(spark, sf_dir):
     """Mean NDCG of the whole search over the query set of the benchmark, by the saved index."""
     engine = Engine.build(corpus.document_pages(spark, sf_dir)).save(_fresh(spark, "evaluated"))
@@ -522,6 +542,6 @@ QUERIES = {
         vocab_missing_anti, dense_topk, dense_topk_small_k_gt_n, hash_embed, udf_embed_rows, dense_only_build, query_profile, bm25_weight, rrf_fusion, minmax_features,
         overlap_features, phrase_match, numeric_match, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, ce_model, page_aggregate_max, page_aggregate_top3,
         hybrid_search, qrels, dcg_table, ndcg_per_query, ndcg_standard, mean_ndcg, ndcg_duplicates, alignment_check, json_pages_scan, page_listing, query_set_sets, query_set_lists,
-        artifact_roundtrip, chunks_roundtrip, legacy_index, engine_evaluate,
+        artifact_roundtrip, chunks_roundtrip, legacy_index, engine_evaluate, build_metrics, json_page_rejects,
     )
 }

@@ -46,6 +46,13 @@ def read(spark: SparkSession, folder: str) -> tuple[DataFrame, LexicalIndex | No
     return spark.read.parquet(f"{folder}/chunks"), lexical, spark.read.parquet(f"{folder}/dense") if stats["dense"] else None
 
 
+def state(spark: SparkSession, folder: str) -> str:
+    """What changes when an index is written again: its statistics' files, which are written last, and their times."""
+    table = spark.read.text(folder) if folder.endswith(".json") else spark.read.parquet(f"{folder}/corpus_stats")
+    rows = table.select("_metadata.file_path", F.col("_metadata.file_modification_time").cast("string").alias("at")).distinct().collect()
+    return repr(sorted(tuple(r) for r in rows))
+
+
 def chunk_references(chunks: DataFrame, text: bool = False) -> DataFrame:
     """Which chunk is which, without the texts unless asked for."""
     return chunks.select("chunk_idx", "page_id", "chunk_id", "title", *(["chunk_text"] if text else []), "paragraph_index", "subchunk_index")

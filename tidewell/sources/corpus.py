@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import small_side
 from ..functions import text as tx
 
 PAGE = "page_id string, title string, content string"
 QUERY_SET = "query_id string, query string, relevant_page_ids array<string>"
 
 
-def page_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(src_file)``: a folder's page files, whose order as text is that of the corpus."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("src_file")).orderBy("src_file")
+def _files(spark: SparkSession, folder: str, names: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
+
+
+def page_files(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
+    """``(src_file)``: a folder's page files, whose order as text is that of the corpus. Names are what Spark's own listing holds."""
+    found = [(unquote(x.rpartition("/")[2]),) for x in _files(spark, folder, names).inputFiles()]
+    return spark.createDataFrame(found, "src_file string").orderBy("src_file")
+
+
+def read_pages(spark: SparkSession, folder: str, names: str = "*.json") -> DataFrame:
+    """``(page_id, title, content, src_file, problem)`` of a folder's files of these names.
+
+    problem is null for a sound page: one JSON object in UTF-8, with nothing after it, whose id is a number. Else it is "empty", "not UTF-8",
+    "not JSON" (broken off, more after the object, or NaN, which JSON doesn't have), "not an object" or "no page id".
+    A file without a page_id is named by its stem. Null texts count as empty. A missing folder raises.
+    """
+    file = F.element_at(F.split("path", "/"), -1)
+    text = _files(spark, folder, names).select(file.alias("src_file"), F.col("content").cast("string").alias("text"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "allowSingleQuotes": "false"}
+    page = text.select("src_file", "text", F.from_json("text", f"{PAGE}, bad string", options).alias("page"))
+    # Spark's parser ignores what follows an object. As the only element of a list and as the only field of an object, nothing does.
+    alone = (F.json_array_length(F.concat(F.lit("["), "text", F.lit("]"))) == 1) & (F.size(F.json_object_keys(F.concat(F.lit('{"page":'), "text", F.lit("}")))) == 1)
+    begins = F.left(tx.strip(F.col("text")), F.lit(1))
+    number = tx.page_number_or_null(F.coalesce("page.page_id", F.regexp_extract("src_file", r"^(.*)\.[^.]*$", 1)))
+    broken = F.col("page").isNull() | F.col("page.bad").isNotNull()
+    problem = (
+        F.when(begins == "", "empty")
+        .when(~F.is_valid_utf8("text"), "not UTF-8")
+        .when(begins != "{", F.when(F.json_array_length(F.concat(F.lit("["), "text", F.lit("]"))) == 1, "not an object").otherwise("not JSON"))
+        .when(broken | ~F.coalesce(alone, F.lit(False)), "not JSON")
+        .when(number.isNull(), "no page id")
+    )
+    own = page.select(number.alias("page_id"), tx.text_or_empty(F.col("page.title")).alias("title"), tx.text_or_empty(F.col("page.content")).alias("content"), "src_file", problem.alias("problem"))
+    # Spark reads no row from a file of no byte.
+    unread = page_files(spark, folder, names).join(text.select("src_file"), "src_file", "left_anti")
+    return own.unionByName(unread.select("src_file", F.lit("empty").alias("problem")), allowMissingColumns=True)
 
 
 def scan_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages ``(page_id, title, content, src_file)`` of a folder's ``*.json``, one object a file.
 
-    A file without a page_id is named by its stem; ids that are no numbers raise. A missing folder raises. The order of
-    the corpus is that of src_file as text. Null texts count as empty.
+    Raises on the first file with a problem. The order of the corpus is that of src_file as text.
     """
-    read = spark.read.schema(PAGE).option("pathGlobFilter", "*.json").json(folder, multiLine=True)
-    file = F.col("_metadata.file_name")
-    stem = F.regexp_extract(file, r"^(.*)\.json$", 1)
-    own = read.select(F.coalesce("page_id", stem).alias("id"), "title", "content", file.alias("src_file"))
-    return own.select(tx.page_number(F.col("id")).alias("page_id"), tx.text_or_empty(F.col("title")).alias("title"), tx.text_or_empty(F.col("content")).alias("content"), "src_file")
+    told = F.raise_error(F.concat("src_file", F.lit(": "), "problem"))
+    read = read_pages(spark, folder)
+    return read.select(F.when(F.col("problem").isNull(), F.col("page_id")).otherwise(told.cast("bigint")).alias("page_id"), "title", "content", "src_file")
+
+
+def sound_pages(spark: SparkSession, folder: str, rejects: str, names: str = "*.json") -> DataFrame:
+    """Pages without those that have a problem, which are written as (src_file, problem) to the folder ``rejects``."""
+    read = read_pages(spark, folder, names)
+    read.where(F.col("problem").isNotNull()).select("src_file", "problem").write.mode("overwrite").parquet(rejects)
+    return read.where(F.col("problem").isNull()).drop("problem")
 
 
 def scan_queries(spark: SparkSession, path: str, distinct: bool = True) -> DataFrame:
@@ -66,5 +106,5 @@ def benchmark_relevance(spark: SparkSession, sf_dir: str, words: int = 5) -> Dat
     sizes = [r["n"] for r in items.select(F.least(F.size(tx.tokens(F.col("item"))), F.lit(words)).alias("n")).distinct().collect() if r["n"]]
     run = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " "))
     runs = F.concat(*map(run, sorted(sizes))) if sizes else F.array().cast("array<string>")
-    met = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(F.broadcast(items), "run").select("qid", "doc_id", "item").distinct()
+    met = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(small_side(items, 20_000), "run").select("qid", "doc_id", "item").distinct()
     return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("qid", F.col("doc_id").alias("page_id")).distinct()
