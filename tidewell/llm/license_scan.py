@@ -1,11 +1,11 @@
 """Licence scans by a positional index of rare words.
 
 Templates are notices with a label and key phrases. Every licence word has an inverse document frequency, counted over all
-documents; the rarest word of a template's first key phrase is looked up at all its places in a document, however long, and
-where the key phrase stands, the starts that put it in its place, give or take ``slack`` words, are candidates. A candidate
-needs votes of at least ``min_votes`` different template words in place and is verified by all key phrases, each of which
-must stand where the template has it, give or take ``slack`` words. So no start that would hold is passed over. Its score is
-the share of the template's words that stand in place.
+documents; a template's weight is the sum over its words. Its rarest words, those that hold all but two thirds of ``share`` of the weight, have
+postings (template, place). At all their places in a document, however long, these postings vote by their IDF for the starts that
+put the word in its place, give or take ``slack`` words. A start is looked at if its votes leave ``share`` within reach; it holds if words of
+``share`` of the template's weight stand in place and all key phrases do. As the words without postings weigh less than ``share``, no
+start that would hold is passed over. Its score is the share of the weight that stands in place.
 
 Phrases are templates that must stand whole: the rarest word of each is looked up in the same way, and every place
 where all its words follow each other is found.
@@ -74,8 +74,8 @@ TEMPLATES = (
 
 
 class Index:
-    def __init__(self, templates: Sequence[Template], phrases: Sequence[Phrase], min_votes: int = 2, slack: int = 3):
-        self.min_votes, self.slack = min_votes, slack
+    def __init__(self, templates: Sequence[Template], phrases: Sequence[Phrase], share: float = 0.3, slack: int = 3):
+        self.share, self.slack = share, slack
         self.templates = [(t.label, words_of(t.text.encode()), [words_of(k.encode()) for k in t.keys]) for t in templates]
         self.phrases = [(p.label, words_of(p.text.encode())) for p in phrases]
         if not all(w for _, w in self.phrases) or not all(w and k for _, w, k in self.templates):
@@ -95,10 +95,17 @@ class Index:
         for p, (_, words) in enumerate(self.phrases):
             at = self._rarest(words)
             self.anchors[words[at]].append((p, at))
-        self.key_anchors = defaultdict(list)
-        for t, ((key, _), *_) in enumerate(self.keys):
-            at = self._rarest(key)
-            self.key_anchors[key[at]].append((t, at))
+        self.postings, self.weights, self.least = defaultdict(list), [], []
+        for t, (_, words, _) in enumerate(self.templates):
+            total = sum(self.idf[w] for w in words)
+            rest = 2 / 3 * self.share * total
+            for q in sorted(range(len(words)), key=lambda q: (self.idf[words[q]], -q)):
+                rest -= self.idf[words[q]]
+                if rest < 0:  # this word and all rarer ones
+                    self.postings[words[q]].append((t, q))
+            self.weights.append(total)
+            # What the words with postings have to add up to, if all others stood in place.
+            self.least.append(self.share * total - sum(self.idf[w] for q, w in enumerate(words) if (t, q) not in self.postings[w]))
         return self
 
     def _rarest(self, words: list[bytes]) -> int:
@@ -114,28 +121,39 @@ class Index:
             for p, at in starts if w in places else ():
                 label, phrase = self.phrases[p]
                 found += [{"label": label, "start": i - at, "length": len(phrase), "base": True, "score": 1.0} for i in places[w] if i >= at and words[i - at : i - at + len(phrase)] == phrase]
-        candidates = set()
-        for w, starts in self.key_anchors.items():
-            for t, at in starts if w in places else ():
-                key, q = self.keys[t][0]
-                for i in places[w]:
-                    if i >= at and words[i - at : i - at + len(key)] == key:
-                        candidates.update((t, i - at - q + d) for d in range(-self.slack, self.slack + 1))
+        votes: dict[int, dict[int, float]] = defaultdict(lambda: defaultdict(float))
+        around = range(-self.slack, self.slack + 1)
+        for w in places.keys() & self.postings.keys():
+            for t, q in self.postings[w]:
+                own = votes[t]
+                for start in {i - q + d for i in places[w] for d in around}:
+                    own[start] += self.idf[w]
         notices = []
-        for t, start in candidates:
-            _, template, _ = self.templates[t]
-            held = [w for q, w in enumerate(template) if 0 <= start + q < len(words) and words[start + q] == w]
-            if len(set(held)) >= min(self.min_votes, len(set(template))) and self._verified(words, t, start):
-                notices.append((len(held) / len(template), t, start))
+        for t, own in votes.items():
+            for start, votes_of in own.items():
+                if votes_of >= self.least[t] - 1e-9:
+                    near, exact = self._held(words, t, start)
+                    if near >= self.share - 1e-9 and self._verified(words, t, start):
+                        notices.append((near, exact, t, start))
         taken = set()
-        for score, t, start in sorted(notices, key=lambda x: (-x[0], x[1:])):
-            # One key phrase verifies several starts within the slack: the best of them counts.
+        for score, _, t, start in sorted(notices, key=lambda x: (-x[0], -x[1], x[2:])):
+            # Several starts within the slack hold: the best of them counts, the one with most words exactly in place.
             if not any((t, start + d) in taken for d in range(-2 * self.slack, 2 * self.slack + 1)):
                 taken.add((t, start))
                 label, template, _ = self.templates[t]
                 found.append({"label": label, "start": max(start, 0), "length": len(template), "base": False, "score": score})
         return sorted(found, key=lambda s: (s["start"], s["label"]))
 
+    def _held(self, words: list[bytes], t: int, start: int) -> tuple[float, int]:
+        """The share of a template's weight that stands in place, give or take the slack, and how many words do exactly."""
+        near, exact = 0.0, 0
+        for q, w in enumerate(self.templates[t][1]):
+            at = start + q
+            exact += 0 <= at < len(words) and words[at] == w
+            if w in words[max(at - self.slack, 0) : max(at + self.slack + 1, 0)]:
+                near += self.idf[w]
+        return min(near / self.weights[t], 1.0), exact
+
     def _verified(self, words: list[bytes], t: int, start: int) -> bool:
         return all(any(words[max(i, 0) : max(i, 0) + len(key)] == key for i in range(start + q - self.slack, start + q + self.slack + 1)) for key, q in self.keys[t])
 
