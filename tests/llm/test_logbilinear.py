@@ -141,3 +141,13 @@ def test_steps_follow_the_objective():
 
 def test_kept_names():
     assert kept_names(["a", "score", "own_score"], ["score"]) == ["a", "own_score", "own_own_score"]
+
+
+def test_warm_sample_is_drawn_by_all_tasks_and_once_for_each_text(spark):
+    copies = spark.range(0, 100_000, 1, 6).select(F.lit("the same text again").alias("text"), F.lit(1).alias("other"))
+    some = spark.range(500).select(F.concat(F.lit("text number "), "id").alias("text"), F.lit(1).alias("other"))
+    sample = lb.warm_sample(copies.union(some), "text", 1.0)
+    assert sample.columns == ["text"] and sample.count() == 501 and sample.rdd.getNumPartitions() == 1
+    assert [r["text"] for r in sample.collect()] == [r["text"] for r in lb.warm_sample(some.union(copies), "text", 1.0).collect()]
+    assert "Coalesce 1" not in sample._jdf.queryExecution().toString()
+    assert 100 < lb.warm_sample(copies.union(some), "text", 0.5).count() < 400

@@ -9,8 +9,8 @@ Normalisation. Units in order of their counts are cut into classes, frequent one
 that of its class in its context, times its own within the class; both are softmaxes over batched matrix products, so
 all token probabilities sum to one, words never seen included.
 
-Training. Token counts are gathered over all training texts. A first model is fitted by one task to about ``warm_docs`` texts, chosen
-by hash. From there every task fits a copy to all its texts by noise-contrastive estimation (numpy, Adagrad, batches of
+Training. Token counts are gathered over all training texts. A first model is fitted by one task to about ``warm_docs`` different texts,
+drawn by hash in a pass of all tasks. From there every task fits a copy to all its texts by noise-contrastive estimation (numpy, Adagrad, batches of
 ``batch`` tokens): the true class against ``noise`` classes drawn by their counts, the true unit against units drawn evenly from its
 class. The copies are averaged row by row, weighted by how often each task met the row. Every training text takes part, the
 vocabulary grows with the corpus up to ``vectors``, and only rows that a task met are shuffled, so what is gathered grows with the
@@ -427,6 +427,12 @@ def _trained(texts: DataFrame, text: str, lex: Lexicon, model: LogBilinear, shap
     return model
 
 
+def warm_sample(texts: DataFrame, text: str, share: float) -> DataFrame:
+    """The different texts whose hash falls into ``share``, in one partition: drawn by all tasks, and each once, however many copies it has."""
+    drawn = texts.select(F.col(text)).where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return drawn.distinct().repartition(1).sortWithinPartitions(F.xxhash64(text), text)
+
+
 def fit(texts: DataFrame, text: str = "text", shape: Shape = Shape()) -> tuple[DataFrame, Lexicon, dict]:
     """The token counts, the head, and the model with the corpus' sums."""
     counts = token_counts(texts, text)
@@ -435,8 +441,7 @@ def fit(texts: DataFrame, text: str = "text", shape: Shape = Shape()) -> tuple[D
     model = LogBilinear(lex, shape.dim)
     if n:
         n_texts = int(lex.counts[pc.index(lex.words, pa.scalar(END, pa.binary())).as_py()])
-        warm = texts.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(min(1.0, shape.warm_docs / n_texts) * (1 << 30)))
-        model = _trained(warm.coalesce(1), text, lex, model, shape, shape.warm_passes)
+        model = _trained(warm_sample(texts, text, min(1.0, shape.warm_docs / n_texts)), text, lex, model, shape, shape.warm_passes)
         model = _trained(texts, text, lex, model, shape, 1)
     return counts, lex, {"rows": model.rows, "dim": shape.dim, "tokens": n, "distinct": v}
 
