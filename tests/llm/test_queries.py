@@ -187,7 +187,6 @@ def test_op7(spark, sf):
 
 def test_op8(spark, sf):
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids.encode_special_tokens = True
     rows = queries.op8_packing(spark, sf[0]).collect()
     want = {r[0]: [*ids.encode(r[1] or "", add_special_tokens=False).ids, 0] for r in sf[1]}
     at, sequences = Counter(), {}
@@ -266,7 +265,6 @@ def test_pipeline_stages(spark, sf):
 
     docs = four
     ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    ids.encode_special_tokens = True
     packed = stages["packing"](spark, docs, sf[0]).collect()
     assert sum(r["length"] for r in packed) == sum(len(ids.encode(r[1], add_special_tokens=False).ids) + 1 for r in rows4)
     whole = corpus_pipeline.run(spark, sf[0]).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()

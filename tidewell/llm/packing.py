@@ -11,7 +11,8 @@ one document. A sequence's id is the partition's number and a counter, so a task
 
 Tokens. Byte-pair merges never cross the pieces of the tokenizer's pre-tokenizer, so each piece's ids are made once by
 ``tokenizers`` and kept for ``cache`` pieces. Pieces are found by the standard ``re`` module where a text has only
-characters below U+0180, for which the classes are listed; other texts are encoded whole.
+characters below U+0180, for which the classes are listed; other texts, and those that hold one of the vocabulary's special
+tokens, which stands for its own id wherever it is written, are encoded whole.
 
 Defined results: a null text is empty; a document always ends with ``end_id``, so an empty one is that token alone;
 repeated rows, null ids and copies are packed as documents of their own; very long texts are cut into windows; only the id and the text
@@ -76,13 +77,13 @@ class Encoder:
     def __init__(self, path: str, cache: int = 100_000):
         self.path, self.find = path, _pieces_pattern().findall
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
-        ranks = _ranks(model["vocab"], model["merges"])
-        del model
-        if ranks:
-            import tiktoken
-
-            single = tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            read = json.load(file)
+        ranks = _ranks(read["model"]["vocab"], read["model"]["merges"])
+        added = [re.escape(x["content"]) for x in read.get("added_tokens") or () if x["content"]]
+        self.added = re.compile("|".join(added)) if added else None
+        del read
+        single = _single_piece(ranks) if ranks else None
+        if single:
             self.known = _Known(lambda p: np.array(single(p.encode()), dtype="<u4").tobytes(), cache)
         else:
             self.known = _Known(self.whole, cache)
@@ -93,19 +94,25 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(self.path)
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(self.path)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text.isascii() and _UNLISTED.search(text) or _CONTROLS.search(text):
+        if not text.isascii() and _UNLISTED.search(text) or _CONTROLS.search(text) or self.added and self.added.search(text):
             return self.whole(text)
         return b"".join(map(self.known.__getitem__, self.find(text)))
 
 
+def _single_piece(ranks: dict[bytes, int]):
+    """The function of ``tiktoken`` that encodes one piece, or nothing if this version has no such one."""
+    import tiktoken
+
+    core = getattr(tiktoken.Encoding("pieces", pat_str=".", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+    return getattr(core, "encode_single_piece", None)
+
+
 def _ranks(vocab: dict[str, int], merges: list) -> dict[bytes, int] | None:
     """The byte strings' ranks, if merge i makes id 256 + i and each byte has an id below 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies show other bytes from U+0100 on
