@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -193,6 +194,20 @@ def test_repeats_edges(docs, texts):
     assert suffix_index.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_many_equal_rows(spark):
+    """Rows with one id and one text cost what rows with ids of their own do, and lose the same bytes."""
+    rng = np.random.default_rng(12)
+    text = "".join(map(chr, rng.integers(97, 123, 4000)))
+    took = []
+    for ids in (F.col("id"), F.lit(5)):
+        rows = spark.range(0, 1500, 1, 3).select(ids.cast("bigint").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(-1, "z" + text[1000:1500] + "z" * 150)], "doc_id long, text string"))
+        began = time.time()
+        got = suffix_index.without_repeats(rows).collect()
+        took.append(time.time() - began)
+        assert len(got) == 1501 and Counter(bytes(r["kept"]) for r in got) == {b"": 1500, b"z" + b"z" * 150: 1}
+    assert took[1] < 2 * took[0] + 5
+
+
 def test_pieces_of_long_texts_hold_every_string():
     import pyarrow as pa
 
@@ -283,7 +298,6 @@ def test_neighbours(spark):
 
 def test_packing(docs, texts):
     ids = Tokenizer.from_file(TOKENIZER)
-    ids.encode_special_tokens = True
     got = packing.pack(docs, TOKENIZER, open_windows=3).collect()
     pieces = {}
     for r in got:
@@ -304,13 +318,17 @@ def test_packing(docs, texts):
     assert packing.pack(docs.limit(0), TOKENIZER).count() == 0
 
 
-def test_encoder_equals_tokenizers():
+def test_encoder_equals_tokenizers(monkeypatch):
     own = packing.Encoder(TOKENIZER, cache=50)
     rng = np.random.default_rng(1)
     signs = [chr(i) for i in range(0x250)] + list("abc  '' \n\n\t12\xa0\x85") * 20 + ["'s", "'re", " <|endoftext|>", "日", "😀"]
     for _ in range(1500):
         text = "".join(rng.choice(signs, rng.integers(0, 50)))
         assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(own.encode("hello <|endoftext|> world"), "<u4").tolist() == [31373, 220, 50256, 995]
+    with monkeypatch.context() as m:
+        m.setattr(packing, "_single_piece", lambda ranks: None)
+        assert packing.Encoder(TOKENIZER).encode("Hello, it's 12 <|endoftext|>") == own.encode("Hello, it's 12 <|endoftext|>")
 
 
 def test_licences(docs, texts, spark):

@@ -447,7 +447,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = own.join(by_doc, keys).select(*keys, "row", "bytes", "places")
     context = joined.mapInArrow(lambda x: _sent_contexts(x, length, before, stripe), f"{place}, n_after int, n_before int, context binary").repartition(n, "core")
     gone = context.mapInArrow(lambda x: _found_spans(x, length, before, batch), "k1 long, k2 long, start long, stop long")
-    by_doc = gone.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    # Rows with equal ids and texts have one key and find the same spans: each is kept once.
+    by_doc = gone.groupBy(*keys).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
 
     rows = own.join(by_doc, keys, "left").select(*keys, "row", "bytes", "found").select("row", "bytes", "found")
     run = StructType([StructField("start", LongType()), StructField("stop", LongType())])
