@@ -113,13 +113,13 @@ def chunk_pages_in_python(pages: DataFrame, config: ChunkConfig = ChunkConfig())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(page, i, title, *c) for page, title, ps in frame.itertuples(index=False) for i, c in enumerate(_stream(list(ps), config))]
+            rows = [(page, i, title, *c) for page, title, ps in frame.itertuples(index=False) for i, c in enumerate(stream_chunks(list(ps), config))]
             yield pd.DataFrame(rows, columns=list(CHUNK))
 
     return listed.mapInPandas(run, "page_id long, chunk_id long, title string, chunk_text string, paragraph_index long, subchunk_index long")
 
 
-def _stream(paragraphs: list[str], config: ChunkConfig) -> Iterator[tuple[str, int, int]]:
+def stream_chunks(paragraphs: list[str], config: ChunkConfig) -> Iterator[tuple[str, int, int]]:
     if not paragraphs:
         yield "", 0, 0
     at = 0

@@ -88,6 +88,12 @@ _STAGES = {
     "dot": "SELECT q.id AS qid, c.id AS chunk_idx, round(sum(q.v * c.v), 6) AS score FROM unit q JOIN unit c ON q.b = c.b AND q.kind = 'q' AND c.kind = 'c' GROUP BY ALL",
     "den": """SELECT q.qid, c.chunk_idx, c.page_id, coalesce(d.score, 0) AS score, row_number() OVER (PARTITION BY q.qid ORDER BY coalesce(d.score, 0) DESC, c.chunk_idx) AS rank
         FROM query q CROSS JOIN (SELECT chunk_idx, page_id FROM chunk) c LEFT JOIN dot d ON d.qid = q.qid AND d.chunk_idx = c.chunk_idx QUALIFY rank <= 120""",
+    "texts": "SELECT qid, query FROM odd UNION ALL SELECT doc_id + 1000, text FROM documents",
+    "bucket": "SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*) AS c FROM (SELECT doc_id, unnest(" + _tokens("lower(text)") + ") AS t FROM doc) GROUP BY ALL",
+    "bucket_weight": "SELECT b, ln(((SELECT count(*) FROM doc) + 1) / (count(*) + 1)) + 1 AS w FROM bucket GROUP BY b",
+    "modelled": "SELECT doc_id, b, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY doc_id)) AS v FROM bucket JOIN bucket_weight USING (b)",
+    "asked_bucket": "SELECT qid, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS b, count(*) AS c FROM (SELECT qid, unnest(" + _tokens("lower(query)") + ") AS t FROM query) GROUP BY ALL",
+    "asked_modelled": "SELECT qid, b, c * coalesce(w, ln((SELECT count(*) FROM doc) + 1) + 1) / sqrt(sum(c * coalesce(w, ln((SELECT count(*) FROM doc) + 1) + 1) * c * coalesce(w, ln((SELECT count(*) FROM doc) + 1) + 1)) OVER (PARTITION BY qid)) AS v FROM asked_bucket LEFT JOIN bucket_weight USING (b)",
     "asking": "SELECT qid, query FROM odd UNION ALL SELECT qid + 1000, query FROM query",
     "said": f"""SELECT qid, query, {_tokens('lower(query)')} AS raw, {_first(_match('query'))} AS terms, {_squeeze('lower(query)')} AS query_text, {_phrases('query')} AS phrases,
         {_digits(_first(_match('query')))} AS digits FROM asking""",
@@ -176,8 +182,8 @@ ORACLES = {
             SELECT doc_id, unnest({_match('text')}) AS t, generate_subscripts({_match('text')}, 1) AS i FROM doc) GROUP BY doc_id, t) GROUP BY doc_id)"""),
     "untokenize": _with(f"SELECT doc_id, md5(array_to_string({_tokens('text')}, ' ')) AS digest FROM doc"),
     "split_paragraphs": _digest(_paragraphs("replace(text, chr(10), chr(10) || chr(10))")),
-    "quoted_phrases": _with(f"SELECT qid, len(x)::BIGINT AS n, array_to_string(x, '|') AS phrases FROM (SELECT qid, {_phrases('query')} AS x FROM odd)"),
-    "code_like": _with(f"SELECT qid, {_code(_tokens('lower(query)'))} AS code_like FROM odd"),
+    "quoted_phrases": _with(f"SELECT qid, len(x)::BIGINT AS n, array_to_string(x, '|') AS phrases FROM (SELECT qid, {_phrases('query')} AS x FROM texts)"),
+    "code_like": _with(f"SELECT qid, {_code(_tokens('lower(query)'))} AS code_like FROM texts"),
     "digit_tokens": _with(f"""SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n, md5(coalesce(x, '')) AS digest FROM doc d LEFT JOIN (
         SELECT doc_id, count(*) AS n, string_agg(t, '|' ORDER BY i) AS x FROM (SELECT doc_id, t, min(i) AS i FROM (
             SELECT doc_id, unnest({_match('text')}) AS t, generate_subscripts({_match('text')}, 1) AS i FROM doc) WHERE regexp_matches(t, '\\p{{Nd}}') GROUP BY doc_id, t) GROUP BY doc_id) USING (doc_id)"""),
@@ -192,6 +198,11 @@ ORACLES = {
     "chunk_corpus": _with(f"SELECT chunk_idx, {_CHUNK_COLUMNS}"),
     "chunk_stats": _with(f"SELECT count(*) AS chunks, count(DISTINCT page_id) AS pages, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT page_id, len({_tokens('chunk_text')})::BIGINT AS n FROM chunk)"),
     "udtf_chunks": _with(f"SELECT {_CHUNK_COLUMNS}"),
+    "udtf_partitioned": _with(f"SELECT {_CHUNK_COLUMNS}"),
+    "generator_chunks": _with(f"SELECT {_CHUNK_COLUMNS}"),
+    "incremental_topk": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, page_id, chunk_id, score FROM bm25 JOIN (SELECT chunk_idx, chunk_id FROM chunk) USING (chunk_idx) QUALIFY rank <= 10"),
+    "model_embed": _with("SELECT doc_id, b AS bucket, round(v, 6) AS value FROM modelled"),
+    "model_pairs": _with("SELECT r.qid, r.page_id, round(coalesce(sum(a.v * m.v), 0), 6) AS score FROM relevant r LEFT JOIN modelled m ON m.doc_id = r.page_id LEFT JOIN asked_modelled a ON a.qid = r.qid AND a.b = m.b GROUP BY r.qid, r.page_id"),
     "term_frequency": _with("SELECT term, chunk_idx, tf FROM posting"),
     "document_frequency": _with("SELECT term, df FROM vocab"),
     "idf": _with("SELECT term, round(idf, 6) AS idf FROM vocab"),
@@ -228,11 +239,12 @@ ORACLES = {
     "page_aggregate_top3": _pages("ranked", 0.2, 0.1),
     "hybrid_search": _pages("final"),
     "qrels": _with("SELECT qid, page_id FROM relevant"),
-    "dcg_table": "SELECT i AS rank, round(1 / CASE WHEN i <= 1 THEN 1 ELSE log2(i) END, 6) AS shifted, round(1 / CASE WHEN i <= 1 THEN 1 ELSE log2(i + 1) END, 6) AS standard FROM range(1, 11) AS t(i)",
+    "dcg_table": """SELECT doc_id, i AS rank, round(1 / CASE WHEN i <= 1 THEN 1 ELSE log2(i) END, 6) AS shifted, round(1 / CASE WHEN i <= 1 THEN 1 ELSE log2(i + 1) END, 6) AS standard
+        FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)""",
     "ndcg_per_query": _with(_ndcg("placed", "relevant", "query", 0)),
     "ndcg_standard": _with(_ndcg("placed", "relevant", "query", 1)),
     "mean_ndcg": _with(f"SELECT round(avg(ndcg), 6) AS mean_ndcg, count(*) AS num_queries FROM ({_ndcg('placed', 'relevant', 'query', 0)})"),
-    "ndcg_duplicates": "SELECT qid, ndcg FROM (VALUES (1::BIGINT, 1.0::DOUBLE), (2, 0.815465), (3, 0), (4, 0)) AS t(qid, ndcg)",
+    "ndcg_duplicates": _with(_ndcg("(SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY page_id DESC) AS rank FROM (SELECT * FROM relevant UNION SELECT qid, page_id + 1 FROM relevant))", "relevant", "query", 0)),
     "alignment_check": _with("SELECT unnest(['postings', 'dense', 'broken']) AS side, unnest([0, 0, (SELECT count(*) FROM chunk WHERE chunk_idx % 7 IN (1, 2))]) AS misaligned"),
     "json_pages_scan": "SELECT doc_id AS page_id, '' AS title, md5(text) AS digest FROM documents",
     "json_page_rejects": """SELECT problem, count(*) AS n, CASE WHEN problem = 'none' THEN sum(doc_id)::BIGINT END AS ids FROM (

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import string
+import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..cluster import cut, shared_folder
 from ..functions import text as tx
-from ..operators import chunking, dense, fusion, lexical, metrics, rerank
-from ..sources import artifacts, corpus
+from ..operators import chunking, dense, fusion, lexical, metrics, rerank, udtf
+from ..sources import artifacts, corpus, models
+from ..streaming import ingest
 from .config import BM25Config, SearchConfig
 from .engine import BuildMetrics, Engine, candidates
 
@@ -88,13 +90,18 @@ def split_paragraphs(spark, sf_dir):
     return _listed(spark, sf_dir, tx.paragraphs(doubled))
 
 
+def _asked_texts(spark, sf_dir):
+    """The odd queries, and every document as one."""
+    return _odd(spark).unionByName(_documents(spark, sf_dir).select((F.col("doc_id") + 1000).alias("qid"), F.col("text").alias("query")))
+
+
 def quoted_phrases(spark, sf_dir):
     found = tx.quoted_phrases(F.col("query"))
-    return _odd(spark).select("qid", F.size(found).cast("bigint").alias("n"), F.array_join(found, "|").alias("phrases"))
+    return _asked_texts(spark, sf_dir).select("qid", F.size(found).cast("bigint").alias("n"), F.array_join(found, "|").alias("phrases"))
 
 
 def code_like(spark, sf_dir):
-    return _odd(spark).select("qid", tx.has_code(tx.lower_tokens(F.col("query"))).alias("code_like"))
+    return _asked_texts(spark, sf_dir).select("qid", tx.has_code(tx.lower_tokens(F.col("query"))).alias("code_like"))
 
 
 def digit_tokens(spark, sf_dir):
@@ -141,6 +148,21 @@ def chunk_stats(spark, sf_dir):
 
 
 def udtf_chunks(spark, sf_dir):
+    """Chunks by a lateral join in SQL."""
+    udtf.register(spark)
+    corpus.document_pages(spark, sf_dir).createOrReplaceTempView("tidewell_pages")
+    return spark.sql("SELECT p.page_id, c.chunk_id, c.title, c.paragraph_index, c.subchunk_index, md5(c.chunk_text) AS digest FROM tidewell_pages p, LATERAL chunk_page(p.title, p.content) c")
+
+
+def udtf_partitioned(spark, sf_dir):
+    """Chunks by a table function over the pages' table, partitioned by page."""
+    udtf.register(spark)
+    corpus.document_pages(spark, sf_dir).createOrReplaceTempView("tidewell_pages")
+    return spark.sql("SELECT page_id, chunk_id, title, paragraph_index, subchunk_index, md5(chunk_text) AS digest FROM chunk_table(TABLE(SELECT page_id, title, content FROM tidewell_pages) PARTITION BY page_id)")
+
+
+def generator_chunks(spark, sf_dir):
+    """Chunks by the generator for very long pages."""
     rows = chunking.chunk_pages_in_python(corpus.document_pages(spark, sf_dir))
     return rows.select("page_id", "chunk_id", "title", "paragraph_index", "subchunk_index", F.md5("chunk_text").alias("digest"))
 
@@ -379,8 +401,9 @@ def qrels(spark, sf_dir):
 
 
 def dcg_table(spark, sf_dir):
-    rows = spark.range(1, 11).select(F.col("id").alias("rank"))
-    return rows.select("rank", *(F.round(1 / metrics.discounted(F.col("rank"), d), 6).alias(d) for d in ("shifted", "standard")))
+    """Each document's weight in its source, in order of ids."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("rank"))
+    return rows.select("doc_id", "rank", *(F.round(1 / metrics.discounted(F.col("rank"), d), 6).alias(d) for d in ("shifted", "standard")))
 
 
 def _ranked(spark, sf_dir):
@@ -407,11 +430,12 @@ def mean_ndcg(spark, sf_dir):
 
 
 def ndcg_duplicates(spark, sf_dir):
-    """A list that names its pages twice scores as if it named them once."""
-    rows = spark.createDataFrame([(1, 1, 2), (1, 2, 2), (1, 3, 1), (2, 1, 1), (2, 2, 9), (2, 3, 2), (3, 1, 1)], "qid long, rank int, page_id long")
-    truth = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "qid long, page_id long")
-    queries = spark.createDataFrame([(1,), (2,), (3,), (4,)], "qid long")
-    return metrics.ndcg(rows, truth, queries).select("qid", F.round("ndcg", 6).alias("ndcg"))
+    """A list that names its pages twice scores as if it named them once: every item's relevant pages and the pages after them."""
+    truth = corpus.benchmark_relevance(spark, sf_dir)
+    listed = truth.unionByName(truth.select("qid", (F.col("page_id") + 1).alias("page_id"))).distinct()
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("page_id")))
+    twice = listed.withColumn("place", place).select("qid", "page_id", F.explode(F.array(2 * F.col("place") - 1, 2 * F.col("place"))).alias("rank"))
+    return metrics.ndcg(twice, truth, corpus.benchmark_queries(spark, sf_dir)).select("qid", F.round("ndcg", 6).alias("ndcg"))
 
 
 # Tables and files
@@ -516,6 +540,40 @@ def legacy_index(spark, sf_dir):
     return lexical.scores(_odd(spark), opened.index).select("qid", "chunk_idx", "score")
 
 
+def incremental_topk(spark, sf_dir):
+    """BM25 over an index that took the documents in three batches, with old texts replaced and pages that go again."""
+    folder, pages = _fresh(spark, "arriving"), corpus.document_pages(spark, sf_dir)
+    old = F.col("page_id") % 5 == 0
+    stale = pages.select("page_id", "title", F.when(old, F.concat(F.lit("an older text\n\n"), "content")).otherwise(F.col("content")).alias("content"))
+    first = stale.where("page_id % 3 <> 2").unionByName(pages.select((F.col("page_id") + 10_000_000).alias("page_id"), "title", "content").where("page_id % 7 = 0"))
+    second = pages.where((F.col("page_id") % 3 == 2) | old & (F.col("page_id") % 2 == 0))
+    third = pages.where(old & (F.col("page_id") % 2 == 1)).withColumn("deleted", F.lit(False)).unionByName(pages.select((F.col("page_id") + 10_000_000).alias("page_id"), "title", "content", F.lit(True).alias("deleted")).where("page_id % 7 = 0"))
+    for number, batch in enumerate((first, second, third)):
+        ingest.append(batch, number, folder, embedder=None)
+    chunks, index, _ = ingest.opened(spark, folder, with_dense=False)
+    best = lexical.search(corpus.benchmark_queries(spark, sf_dir), index, chunks, 10, pad=False)
+    return best.select("qid", "rank", "page_id", F.col("chunk_idx").bitwiseAND(F.lit((1 << ingest.PLACE_BITS) - 1)).alias("chunk_id"), "score")
+
+
+def _model(spark, sf_dir):
+    """A model that is fitted to the documents, saved to a folder of the driver and shipped."""
+    folder = models.fit_buckets(_documents(spark, sf_dir), "text", f"{tempfile.mkdtemp()}/model-{uuid.uuid4().hex}")
+    return models.ship(spark, folder, models.BucketModel.FILES)
+
+
+def model_embed(spark, sf_dir):
+    """Documents embedded by a model from a folder."""
+    rows = _documents(spark, sf_dir).select("doc_id", dense.embed_column(_model(spark, sf_dir).loader(models.BucketModel))(F.col("text")).alias("e"))
+    return rows.select("doc_id", F.posexplode("e").alias("bucket", "v")).where("v > 0").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("v", 6).alias("value"))
+
+
+def model_pairs(spark, sf_dir):
+    """Relevant pairs of items and documents, scored by a pair model from a folder."""
+    pairs = corpus.benchmark_relevance(spark, sf_dir).join(corpus.benchmark_queries(spark, sf_dir), "qid").join(_documents(spark, sf_dir).select(F.col("doc_id").alias("page_id"), "text"), "page_id")
+    score = rerank.model_reranker(_model(spark, sf_dir).loader(lambda path, on: models.BucketModel(path, on).pairs))
+    return pairs.select("qid", "page_id", F.round(score(F.col("query"), F.col("text")), 6).alias("score"))
+
+
 def build_metrics(spark, sf_dir):
     """What a build counts while it writes its tables."""
     metrics = BuildMetrics()
@@ -543,5 +601,6 @@ QUERIES = {
         overlap_features, phrase_match, numeric_match, linear_rerank, ce_head_tail, ce_blend, ce_weight_half, ce_model, page_aggregate_max, page_aggregate_top3,
         hybrid_search, qrels, dcg_table, ndcg_per_query, ndcg_standard, mean_ndcg, ndcg_duplicates, alignment_check, json_pages_scan, page_listing, query_set_sets, query_set_lists,
         artifact_roundtrip, chunks_roundtrip, legacy_index, engine_evaluate, build_metrics, json_page_rejects,
+        udtf_partitioned, generator_chunks, incremental_topk, model_embed, model_pairs,
     )
 }
