@@ -164,6 +164,20 @@ def test_legacy_bundle(spark, small, tmp_path):
     assert artifacts.misaligned(chunks, old.postings).count() == 0
 
 
+def test_legacy_bundle_by_lines(spark, small, tmp_path):
+    """What is written is one JSON object, and is read by its lines as it is when parsed whole."""
+    odd = spark.createDataFrame([(3, 3, 0, 'He "said"', 'x},{"y": [1] \\\\ b }', 0, 0)], small.schema)
+    chunks = small.unionByName(odd)
+    artifacts.write_legacy(str(tmp_path / "b.json"), chunks, lexical.build(chunks))
+    (part,) = (tmp_path / "b.json").glob("part-*")
+    bundle = json.loads(part.read_text())
+    assert bundle["chunk_lengths"] == [3, 2, 1, 7] and bundle["chunks"][3]["title"] == 'He "said"' and bundle["postings"]["b"]["doc_indices"] == [0, 1, 3]
+    (tmp_path / "whole.json").write_text(json.dumps(bundle))
+    queries = spark.createDataFrame([(1, "b c"), (2, '"said" x},{"y":')], "qid long, query string")
+    rows = lambda name: sorted(map(tuple, lexical.scores(queries, artifacts.read_legacy(spark, str(tmp_path / name))[1]).collect()))
+    assert rows("b.json") == rows("whole.json") == sorted(map(tuple, lexical.scores(queries, lexical.build(chunks)).collect()))
+
+
 def test_stream_appends(spark, pages, tmp_path):
     source, folder = tmp_path / "in", str(tmp_path / "index")
     source.mkdir()

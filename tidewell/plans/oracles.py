@@ -254,10 +254,7 @@ ORACLES = {
     "query_set_sets": _QUERY_SET.format(pages="item_id || '|' || (item_id + 7)"),
     "query_set_lists": _QUERY_SET.format(pages="item_id || '|' || (item_id + 7) || '|' || item_id"),
     "chunks_roundtrip": _with(f"SELECT chunk_idx, {_CHUNK_COLUMNS}"),
-    "legacy_index": _with(f"""SELECT qid, chunk_idx, round(sum(ln((9 - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score
-        FROM odd_asked JOIN (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM (
-            SELECT term, chunk_idx, length, avgdl, count(*) AS tf FROM (SELECT qid - 1 AS chunk_idx, len(w) AS length, avg(len(w)) OVER () AS avgdl, unnest(w) AS term FROM (
-                SELECT qid, {_tokens('lower(query)')} AS w FROM odd)) GROUP BY ALL)) USING (term) GROUP BY qid, chunk_idx"""),
+    "legacy_index": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, page_id, score FROM bm25 QUALIFY rank <= 10"),
     "engine_evaluate": _with(f"SELECT round(avg(ndcg), 6) AS mean_ndcg, count(*) AS num_queries FROM ({_ndcg('answered', 'relevant', 'query', 0)})"),
     "artifact_roundtrip": _with("SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_idx) AS rank, chunk_idx, page_id, score FROM bm25 QUALIFY rank <= 10"),
 }

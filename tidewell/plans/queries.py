@@ -523,21 +523,13 @@ def chunks_roundtrip(spark, sf_dir):
 
 
 def legacy_index(spark, sf_dir):
-    """The odd queries as pages of an index in the old format, one JSON object, opened by its file's name and asked the same queries."""
-    pages = _odd(spark).select(F.col("qid").alias("page_id"), F.lit("").alias("title"), F.col("query").alias("content"))
-    chunks = chunking.chunks_in_order(pages)
-    index = lexical.build(chunks)
-    by_term = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", F.col("tf").cast("double").alias("tf")))).alias("p")).join(index.vocab, "term")
-    entry = F.struct("term", F.struct(F.col("p.chunk_idx").alias("doc_indices"), F.col("p.tf").alias("term_frequencies"), F.col("df").alias("doc_freq"), "idf"))
-    lengths = lexical.chunk_terms(chunks).select("chunk_idx", F.size("tokens").cast("double").alias("length"))
-    refs = artifacts.chunk_references(chunks).join(lengths, "chunk_idx")
-    row = refs.agg(F.lit(1).alias("one"), F.sort_array(F.collect_list(F.struct("chunk_idx", "length", F.struct("page_id", "chunk_id", "title", "paragraph_index", "subchunk_index").alias("c")))).alias("x"))
-    bundle = row.join(by_term.agg(F.lit(1).alias("one"), F.map_from_entries(F.collect_list(entry)).alias("postings")), "one")
-    bundle = bundle.select(F.lit(1.5).alias("k1"), F.lit(0.75).alias("b"), F.lit(index.avgdl).alias("avgdl"), F.col("x.length").alias("chunk_lengths"), F.col("x.c").alias("chunks"), "postings")
+    """BM25 over all documents from an index in the old one-file format, opened by its file's name."""
+    chunks, index = _index(spark, sf_dir)
     path = f"{_fresh(spark, 'legacy')}.json"
-    bundle.coalesce(1).write.json(path)
+    artifacts.write_legacy(path, chunks, index)
     opened = Engine.open(spark, path)
-    return lexical.scores(_odd(spark), opened.index).select("qid", "chunk_idx", "score")
+    best = lexical.search(corpus.benchmark_queries(spark, sf_dir), opened.index, opened.chunks, 10, pad=False)
+    return best.select("qid", "rank", "chunk_idx", "page_id", "score")
 
 
 def incremental_topk(spark, sf_dir):

@@ -6,10 +6,14 @@ so that a scan for a few terms skips row groups by their bounds.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import cut, partitions
+from ..functions import text as tx
+from ..operators.chunking import number_chunks
 from ..operators.lexical import LexicalIndex
 from ..plans.config import BM25Config
 
@@ -63,20 +67,65 @@ def dense_rows(vectors: DataFrame) -> DataFrame:
     return vectors.select("chunk_idx", "page_id", "embedding").orderBy("chunk_idx")
 
 
+def write_legacy(path: str, chunks: DataFrame, index: LexicalIndex) -> None:
+    """The version-1 bundle: one JSON object in one file, with a line for each length, chunk and term, so that it can be read in parts.
+
+    One task writes the file, line by line in the order of a range sort; a term's line is as long as its postings.
+    """
+    entry = F.struct(F.transform("p", lambda x: x["chunk_idx"]).alias("doc_indices"), F.transform("p", lambda x: x["tf"]).alias("term_frequencies"), F.col("df").alias("doc_freq"), "idf")
+    lists = index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", F.col("tf").cast("double").alias("tf")))).alias("p"))
+    of_term = F.to_json(F.create_map("term", entry))
+    first = index.vocab.agg(F.min("term")).first()[0]
+    inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
+    after = lambda is_first, line: F.concat(F.when(is_first, "").otherwise(","), line)
+    terms = lists.join(index.vocab, "term").select(F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("at"), F.col("term").alias("name"), after(F.col("term") == first, inner(of_term)).alias("value"))
+    sizes = chunks.select("chunk_idx", F.size(tx.lower_tokens(tx.titled(F.col("title"), F.col("chunk_text")))).cast("string").alias("n"))
+    placed = lambda part, value: value.select(F.lit(part).alias("part"), F.col("chunk_idx").alias("at"), F.lit("").alias("name"), after(F.col("chunk_idx") == 0, F.col("n")).alias("value"))
+    refs = chunks.select("chunk_idx", F.to_json(F.struct("page_id", "chunk_id", "title", "paragraph_index", "subchunk_index")).alias("n"))
+    head = {"k1": index.config.k1, "b": index.config.b, "avgdl": index.avgdl}
+    fixed = [(0, f'{{{json.dumps(head)[1:-1]}, "postings": {{'), (2, '}, "chunk_lengths": ['), (4, '], "chunks": ['), (6, "]}")]
+    marks = chunks.sparkSession.createDataFrame([(part, 0, "", line) for part, line in fixed], "part int, at long, name string, value string")
+    lines = marks.unionByName(terms).unionByName(placed(3, sizes)).unionByName(placed(5, refs))
+    order = ["part", "at", "name"]
+    lines.repartitionByRange(partitions(chunks), *order).sortWithinPartitions(*order).select("value").coalesce(1).write.text(path)
+
+
 def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, LexicalIndex]:
-    """Chunk references and the lexical index of a version-1 bundle: one JSON object with postings by term."""
+    """Chunk references and the lexical index of a version-1 bundle: one JSON object with postings by term.
+
+    A bundle with a line for each term is read by lines, in parallel; any other one is parsed as one row.
+    """
+    lines = spark.read.text(path)
+    if lines.where(F.startswith("value", F.lit('{"k1": ')) & F.endswith("value", F.lit('"postings": {'))).limit(1).count():
+        return _legacy_lines(spark, lines)
     bundle = spark.read.schema(LEGACY).json(path, multiLine=True)
     head = bundle.select("k1", "b", "avgdl", F.size("chunk_lengths").alias("n"), F.col("postings").isNotNull().alias("good")).first()
     if head is None or not head["good"]:
         raise ValueError("postings aren't an object")
     chunks = bundle.select(F.posexplode("chunks").alias("chunk_idx", "c")).select(F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "c.*")
     lengths = bundle.select(F.posexplode("chunk_lengths").alias("chunk_idx", "length")).select(F.col("chunk_idx").cast("bigint").alias("chunk_idx"), F.col("length").cast("bigint").alias("length"))
-    terms = bundle.select(F.explode("postings").alias("term", "p"))
+    return _legacy_index(chunks, lengths, bundle.select(F.explode("postings").alias("term", "p")), head["n"], head)
+
+
+def _legacy_index(chunks: DataFrame, lengths: DataFrame, terms: DataFrame, n: int, head) -> tuple[DataFrame, LexicalIndex]:
     each = terms.select("term", F.explode(F.arrays_zip("p.doc_indices", "p.term_frequencies")).alias("x"))
     rows = each.select("term", F.col("x.doc_indices").alias("chunk_idx"), F.col("x.term_frequencies").cast("bigint").alias("tf"))
     postings = rows.join(lengths, "chunk_idx").join(chunks.select("chunk_idx", "page_id"), "chunk_idx").select("term", "chunk_idx", "page_id", "length", "tf")
     vocab = terms.select("term", F.col("p.doc_freq").alias("df"), F.col("p.idf").alias("idf"))
-    return chunks, LexicalIndex.of(cut(postings), head["n"], head["avgdl"], BM25Config(head["k1"], head["b"]), vocab)
+    return chunks, LexicalIndex.of(cut(postings), n, head["avgdl"], BM25Config(head["k1"], head["b"]), vocab)
+
+
+def _legacy_lines(spark: SparkSession, lines: DataFrame) -> tuple[DataFrame, LexicalIndex]:
+    """A bundle by its lines: where a line's part of the file begins and its place there give the order of lengths and chunks."""
+    at = lines.select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.ltrim(F.col("value"), F.lit(",")).alias("line"))
+    in_order = lambda rows: number_chunks(rows.repartitionByRange(partitions(lines), "block", "at").sortWithinPartitions("block", "at"))
+    head = json.loads(at.where(F.startswith("line", F.lit('{"k1": '))).first()["line"].rpartition(', "postings"')[0] + "}")
+    entry = "map<string,struct<doc_indices:array<bigint>,term_frequencies:array<double>,doc_freq:bigint,idf:double>>"
+    terms = at.where(F.startswith("line", F.lit('"'))).select(F.explode(F.from_json(F.concat(F.lit("{"), "line", F.lit("}")), entry)).alias("term", "p"))
+    lengths = in_order(at.where(F.regexp("line", F.lit(r"^\d+$"))).select("block", "at", F.col("line").cast("bigint").alias("length"))).select("chunk_idx", "length")
+    chunk = "struct<page_id:bigint,chunk_id:bigint,title:string,paragraph_index:bigint,subchunk_index:bigint>"
+    chunks = in_order(at.where(F.startswith("line", F.lit('{"page_id"'))).select("block", "at", F.from_json("line", chunk).alias("c"))).select("chunk_idx", "c.*")
+    return _legacy_index(chunks, lengths, terms, chunks.count(), head)
 
 
 def misaligned(chunks: DataFrame, other: DataFrame) -> DataFrame:
