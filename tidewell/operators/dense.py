@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -37,24 +36,34 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> np.ndarray: ...
 
 
+class _Buckets(dict):
+    """Tokens' buckets; keeps the first ``most`` that it is asked for, which holds the frequent ones."""
+
+    def __init__(self, dim: int, most: int = 200_000):
+        self.dim, self.most = dim, most
+
+    def __missing__(self, token: str) -> int:
+        bucket = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        if len(self) < self.most:
+            self[token] = bucket
+        return bucket
+
+
 class HashingEmbedder:
     """Counts of lower-case tokens in ``dim`` buckets by the first eight hex digits of their MD5, scaled to unit length."""
 
     def __init__(self, dim: int = 64):
-        self.dim = dim
-        self._bucket = lru_cache(maxsize=200_000)(self._of)
+        self.dim, self._bucket = dim, _Buckets(dim)
 
     def __reduce__(self):
         return HashingEmbedder, (self.dim,)
 
-    def _of(self, token: str) -> int:
-        return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
-
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            for token in text.split():
-                row[self._bucket(token.lower())] += 1
+            found = list(map(self._bucket.__getitem__, map(str.lower, text.split())))
+            if found:
+                row += np.bincount(found, minlength=self.dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1)
 
