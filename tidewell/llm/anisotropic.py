@@ -161,21 +161,24 @@ def index(vectors: DataFrame, quantiser: Quantiser, vec_id: str = "vec_id", embe
     return rows.mapInArrow(run, schema)
 
 
-def search(indexed: DataFrame, is_query: Column, quantiser: Quantiser, k: int = 5, rerank: int = 128, block: int = 32_768) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k nearest by cosine of each row where ``is_query``."""
+def search(indexed: DataFrame, is_query: Column, quantiser: Quantiser, k: int = 5, rerank: int = 128, block: int = 32_768, share: float = 0.02) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the k nearest by cosine of each row where ``is_query``.
+
+    Of a task's vectors, the ``rerank`` or the ``share`` that the tables put first, whichever are more, are compared exactly.
+    """
     queries = indexed.where(is_query).select("vec_id", "embedding")
     blocks = max(1, -(-queries.count() // block))
     found = None
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        near = _scan(indexed, own, quantiser, k, rerank)
+        near = _scan(indexed, own, quantiser, k, rerank, share)
         near = near if blocks == 1 else cut(near)
         found = near if found is None else found.union(near)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(indexed: DataFrame, queries: pa.Table, quantiser: Quantiser, k: int, rerank: int, chunk: int = 128) -> DataFrame:
+def _scan(indexed: DataFrame, queries: pa.Table, quantiser: Quantiser, k: int, rerank: int, share: float, held_bytes: int = 1 << 26) -> DataFrame:
     column = queries.column("embedding")
     column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
     rows, unit = _vectors(column, quantiser.dim) if len(column) else (np.zeros(0, np.int64), np.zeros((0, quantiser.dim)))
@@ -186,15 +189,26 @@ def _scan(indexed: DataFrame, queries: pa.Table, quantiser: Quantiser, k: int, r
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, unit = sent.value
         best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            own = batch.column(0).to_numpy().astype(np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def compare() -> None:
+            """The vectors so far with all queries: all of a task's, but for partitions of more than ``held_bytes``."""
+            own, vectors, codes = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(own, kind="stable")
-            own, batch = own[order], batch.take(pa.array(order))
-            _, vectors = _vectors(batch.column(1), quantiser.dim)
-            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), -1)
+            own, vectors, codes = own[order], vectors[order], codes[order]
+            chunk, some = max(1, (1 << 22) // max(len(own), 1)), max(rerank, int(np.ceil(share * len(own))))
             for lo in range(0, len(ids), chunk):
                 part = slice(lo, lo + chunk)
-                _merge(best, part, ids[part], own, *_nearest(quantiser, ids[part], unit[part], own, vectors, codes, rerank), k)
+                _merge(best, part, ids[part], own, *_nearest(quantiser, ids[part], unit[part], own, vectors, codes, some), k)
+            held.clear()
+
+        for batch in batches:
+            own = batch.column(0).to_numpy().astype(np.int64)
+            held.append((own, _vectors(batch.column(1), quantiser.dim)[1], np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), -1)))
+            if sum(v.nbytes for _, v, _ in held) > held_bytes:
+                compare()
+        if held and sum(len(x) for x, _, _ in held):
+            compare()
         scores, near = best
         q, r = np.nonzero(np.isfinite(scores))
         yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(near[q, r]), pa.array(scores[q, r])], ["query_id", "vec_id", "score"])
