@@ -87,3 +87,18 @@ def test_predictions_against_brute_force(spark):
         assert r["lang_pred"] == "abcd"[int(np.argmin(cost))] and abs(r["score"] - (second - first) / second) < 1e-9
         right += r["lang_pred"] == rows[r["doc_id"]][1]
     assert right > 0.9 * len(rows)
+
+
+def test_noisy_labels_stop_nothing(spark):
+    """More labels than are learned: those of the most different texts are, and the table stays within its bytes."""
+    words = {lang: [f"{lang}{a}{b}" for a in "aeiou" for b in "rstln"] for lang in ("xa", "yb", "zc")}
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(rng.choice(words[lang], 30)), lang) for lang in words for _ in range(20)] + [(f"noise {i}", f"label{i}") for i in range(300)] + [("xa copies", "copied")] * 200
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    sample = cross_parsing.Sample(max_languages=3, table_bytes=1 << 18)
+    parser = cross_parsing.fit(docs, sample=sample)
+    assert parser.languages == ["xa", "yb", "zc"] and parser.table.nbytes <= 1 << 18
+    got = cross_parsing.identify(docs.where("lang in ('xa', 'yb', 'zc')"), parser, ["lang"]).collect()
+    assert len(got) == 60 and all(r["lang"] == r["lang_pred"] for r in got)
+    every = cross_parsing.fit(docs)
+    assert len(every.languages) == 200

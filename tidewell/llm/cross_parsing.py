@@ -16,7 +16,8 @@ are a sorted list of (state, class), searched where a lane is at such a letter.
 ``reference`` states * classes * 4 bytes; the list has at most 3 * ``reference`` entries of 12 bytes a language.
 
 Sample. The references are bounded: per language at most ``sample_docs`` different labelled texts by hash, those of over ``long_text``
-characters last, end to end until ``reference`` characters are full. That is all that is gathered; prediction is one
+characters last, end to end until ``reference`` characters are full, fewer if the table would be over ``table_bytes``. Of more than
+``max_languages`` labels those of the most different texts are learned, ties by name; the others are never predicted. That is all that is gathered; prediction is one
 pass over all rows without a shuffle.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; ties go to the first language in order;
@@ -49,7 +50,13 @@ class Sample:
     long_text: int = 4096
     reference: int = 32_768
     alphabet: int = 60
+    #: The labels of most different texts that are learned, and what their table may take: with many labels references are shorter.
     max_languages: int = 200
+    table_bytes: int = 1 << 28
+
+    def of(self, languages: int) -> int:
+        """Characters of a reference; an automaton has at most two states for each."""
+        return min(self.reference, max(1, self.table_bytes // (max(languages, 1) * 2 * (self.alphabet + 2) * 4)))
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -95,7 +102,7 @@ class Parser:
         for n, lang in enumerate(self.languages):
             symbols = self.symbols(references[lang])
             follow = suffix_automaton(symbols.tolist())
-            table = np.full((len(follow), self.width), -1, np.int64)
+            table = np.full((len(follow), self.width), -1, np.int32)
             for state, out in enumerate(follow):
                 near = [c for c in out if c < self.width]
                 table[state, near] = [out[c] for c in near]
@@ -107,7 +114,7 @@ class Parser:
             table[:, OTHER] = -1
             # A phrase that can't go on ends; the next one starts with the same character, or after an unknown one.
             again = np.maximum(table[0], 0)
-            table = np.where(table >= 0, table + base, ~(again + base))
+            table = np.where(table >= 0, table + np.int32(base), ~(again + np.int32(base)))
             tables.append(table)
             self.roots.append(base)
             self.bits.append(np.log2(max(len(symbols), 2)))
@@ -203,23 +210,23 @@ class Parser:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: Sample = Sample()) -> Parser:
     """A parser from labelled rows; see the module for how few are read."""
     rows = labelled.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    sizes = {r["lang"]: r["count"] for r in rows.select("lang", "h").distinct().groupBy("lang").count().limit(sample.max_languages + 1).collect()}
-    if len(sizes) > sample.max_languages:
-        raise ValueError(f"more than {sample.max_languages} languages")
+    most = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample.max_languages)
+    sizes = {r["lang"]: r["count"] for r in most.collect()}
+    reference = sample.of(len(sizes))
     # Hashes below a share of the languages' different texts, so that the ranking meets a few hundred of each.
     below = {k: int(min(1.0, 4 * sample.sample_docs / n) * (1 << 30)) for k, n in sizes.items()}
-    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(F.from_json(F.lit(json.dumps(below)), "map<string,bigint>"), F.col("lang")))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 30)) < F.try_element_at(F.from_json(F.lit(json.dumps(below)), "map<string,bigint>"), F.col("lang")))
     order = Window.partitionBy("lang").orderBy(F.col("size") > sample.long_text, F.pmod("h", F.lit(1 << 30)), "h")
     ranked = drawn.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample.sample_docs)
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    chosen = ranked.withColumn("before", before).where(F.col("before") < sample.reference).orderBy("lang", "r").select("lang", "h").toArrow().to_pylist()
+    chosen = ranked.withColumn("before", before).where(F.col("before") < reference).orderBy("lang", "r").select("lang", "h").toArrow().to_pylist()
     # Only the text that fills a reference is longer than what is left of it.
-    texts = rows.where(F.col("h").isin([c["h"] for c in chosen])).select("lang", "h", F.substring("text", 1, sample.reference).alias("t")).distinct().toArrow().to_pylist() if chosen else []
+    texts = rows.where(F.col("h").isin([c["h"] for c in chosen])).select("lang", "h", F.substring("text", 1, reference).alias("t")).distinct().toArrow().to_pylist() if chosen else []
     found = {(x["lang"], x["h"]): x["t"] for x in texts}
     references: dict[str, str] = {}
     for c in chosen:
         own = references.get(c["lang"])
-        references[c["lang"]] = " ".join(filter(None, (own, found[c["lang"], c["h"]])))[: sample.reference]
+        references[c["lang"]] = " ".join(filter(None, (own, found[c["lang"], c["h"]])))[:reference]
     return Parser(references, sample.alphabet)
 
 
