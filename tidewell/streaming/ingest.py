@@ -55,12 +55,10 @@ def _span(name: str) -> tuple[int, int]:
 
 def levels(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
     """(name, chunks) of the levels that no other one covers, oldest first: about log2 of the batches."""
-    try:
-        rows = spark.read.parquet(f"{folder}/stats").select("level", "chunks").collect()
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return []
-        raise
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stats")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    rows = spark.read.parquet(f"{folder}/stats").select("level", "chunks").collect()
     found = {r["level"]: r["chunks"] for r in rows}
     within = lambda a, b: a != b and _span(b)[0] <= _span(a)[0] and _span(a)[1] <= _span(b)[1]
     return sorted((n, c) for n, c in found.items() if not any(within(n, m) for m in found))
