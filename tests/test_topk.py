@@ -55,8 +55,9 @@ def test_few_and_many_queries_meet_all_vectors(spark, monkeypatch):
     want = sorted((f"q{q}", r + 1, int(c), int(c) % 7, scores[q, c]) for q in range(0, 230, 3) for r, c in enumerate(sorted(range(230), key=lambda c: (-scores[q, c], c))[:9]))
     monkeypatch.setattr(dense, "MAX_QUERY_BLOCK", 10)
     monkeypatch.setattr(dense, "VECTOR_BLOCK", 16)
-    for most in (1 << 25, 0):
+    for most, held in ((1 << 25, 1 << 26), (0, 1 << 26), (0, 4000)):
         monkeypatch.setattr(dense, "SENT_BYTES", most)
+        monkeypatch.setattr(dense, "HELD_BYTES", held)
         got = dense.search(queries, rows, 9)
         assert sorted((r["qid"], r["rank"], r["chunk_idx"], r["page_id"], r["score"]) for r in got.collect()) == want
         plan = got._jdf.queryExecution().executedPlan().toString()

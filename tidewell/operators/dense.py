@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BinaryType, StructField, StructType
 
-from ..cluster import cut, partitions
+from ..cluster import cut
 from ..functions import text as tx
 from .lexical import top_k
 
 #: Rows of a block of queries and of vectors: their product, 32 MB, is what a task holds at a time.
 MAX_QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
-#: Queries up to this size are sent to every task; more are dealt to as many groups as there are partitions.
-SENT_BYTES = 1 << 25
+#: Queries up to this size are sent to every task; of more, each streams past groups of vectors of about this size.
+SENT_BYTES, HELD_BYTES = 1 << 25, 1 << 26
 
 
 class Embedder(Protocol):
@@ -107,16 +107,18 @@ def packed(rows: DataFrame, size: int, *ids: str) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def block_pairs(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Every block of queries beside every block of vectors, by a join on the group that both are dealt to.
+def block_pairs(queries: DataFrame, vectors: DataFrame, ids: str = "chunk_idx") -> DataFrame:
+    """Every block of queries beside every block of vectors, by a join on the group that both are dealt to; ``ids`` tells vectors' blocks apart.
 
-    Vectors stay where they are while the queries are few enough to be sent; otherwise each group gets a share of the vectors and all queries.
+    Vectors stay where they are while the queries are few enough to be sent. Otherwise vectors are dealt to groups of about ``HELD_BYTES``,
+    which is what the join holds at a time, and all queries stream past each group.
     """
-    size = queries.agg(F.coalesce(F.sum(F.length("matrix")), F.lit(0))).first()[0]
-    groups = 1 if size <= SENT_BYTES else partitions(vectors)
+    held = lambda rows: rows.agg(F.coalesce(F.sum(F.length("matrix")), F.lit(0))).first()[0]
+    sent = held(queries) <= SENT_BYTES
+    groups = 1 if sent else max(1, -(-held(vectors) // HELD_BYTES))
     dealt = queries.withColumnRenamed("matrix", "query_matrix").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    own = vectors.withColumn("group", F.pmod(F.xxhash64("chunk_idx"), F.lit(groups)).cast("int"))
-    return own.join(F.broadcast(dealt) if groups == 1 else dealt, "group").drop("group")
+    own = vectors.withColumn("group", F.pmod(F.xxhash64(ids), F.lit(groups)).cast("int"))
+    return own.join(F.broadcast(dealt), "group").drop("group") if sent else dealt.join(own, "group").drop("group")
 
 
 def _best_of(products: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
