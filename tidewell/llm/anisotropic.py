@@ -6,24 +6,26 @@ error that is parallel to the vector changes large inner products most and costs
 subspace by subspace; centres come from the normal equations of that loss.
 
 Search. A query's inner products with the centres make tables of whole numbers; a byte of a code looks up the sum of
-its two subspaces, so a scan adds d / 4 numbers for a vector. The ``rerank`` best of each batch of vectors are compared
-exactly, in double precision on the original vectors, and a task keeps each query's k best. Equal codes are ranked by id,
+its two subspaces, so a scan adds d / 4 numbers for a vector. The best of each block of vectors by their codes are compared
+exactly, in double precision on the original vectors, and k of them go on for each query. Equal codes are ranked by id,
 so of many copies the smallest ids survive.
 
-Plan: the quantiser is fitted on a hash sample of about ``sample`` vectors; every vector is indexed. Queries are sent in
-blocks of at most about ``block`` by hash of their id, each against all vectors; a task passes on k rows for a query. The
-tasks' lists meet in one window by query, limited to k before its shuffle.
+Plan: the quantiser is fitted on a hash sample of about ``sample`` vectors; every vector is indexed. Queries and vectors are packed
+into blocks of bounded bytes, whatever the Arrow batches were, and the blocks are joined: queries are sent to the vectors while they
+are few enough, else they stream past groups of vectors. The number of jobs doesn't depend on the number of queries, and none of
+them comes to the driver but in a broadcast whose size is checked. The blocks' lists meet in one window by query, limited to k
+before its shuffle.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component, or have another length than most of
 the sample take no part, as query or candidate, nor do rows without an id; a query's own id is never its neighbour;
-repeated rows are candidates of their own and one query; ties go to the smaller id; with fewer than k candidates all are
+repeated rows are candidates of their own and one query, that of the smallest vector; ties go to the smaller id; with fewer than k candidates all are
 returned; only the id and the vector are read, so no other column's name clashes; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..cluster import cut
+from ..operators.dense import block_pairs
 
 SCALE = 4096  # of the tables' whole numbers
 
@@ -161,59 +164,74 @@ def index(vectors: DataFrame, quantiser: Quantiser, vec_id: str = "vec_id", embe
     return rows.mapInArrow(run, schema)
 
 
-def search(indexed: DataFrame, is_query: Column, quantiser: Quantiser, k: int = 5, rerank: int = 128, block: int = 32_768, share: float = 0.02) -> DataFrame:
+#: A block of vectors has at most so many rows, and so many bytes.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 24
+
+
+def blocks(rows: DataFrame, dim: int, most: int) -> DataFrame:
+    """Indexed rows (vec_id, embedding, codes) of each partition as ``(ids, matrix, codes)``, up to ``most`` a row: all as bytes end to end, unit vectors as doubles, in order of id."""
+    most = max(1, min(most, BLOCK_BYTES // (8 * dim)))
+
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        ids, unit, codes = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(ids, kind="stable")
+        return pa.RecordBatch.from_arrays([pa.array([x[order].tobytes()], pa.binary()) for x in (ids, unit, codes)], ["ids", "matrix", "codes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            while batch.num_rows:
+                part, batch = batch.slice(0, most - n), batch.slice(most - n)
+                ids = part.column(0).to_numpy().astype("<i8")
+                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
+                held.append((ids, _vectors(part.column(1), dim)[1], codes))
+                n += len(ids)
+                if n == most:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    return rows.select("vec_id", "embedding", "codes").mapInArrow(run, "ids binary, matrix binary, codes binary")
+
+
+def search(indexed: DataFrame, is_query: Column, quantiser: Quantiser, k: int = 5, rerank: int = 128, block: int = 1024, share: float = 0.02) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest by cosine of each row where ``is_query``.
 
-    Of a task's vectors, the ``rerank`` or the ``share`` that the tables put first, whichever are more, are compared exactly.
+    Of a block of vectors, the ``rerank`` or the ``share`` that the tables put first, whichever are more, are compared exactly.
+    ``block`` is the number of queries in a block.
     """
-    queries = indexed.where(is_query).select("vec_id", "embedding")
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        near = _scan(indexed, own, quantiser, k, rerank, share)
-        near = near if blocks == 1 else cut(near)
-        found = near if found is None else found.union(near)
+    asked = cut(indexed.where(is_query).groupBy("vec_id").agg(F.min(F.struct("embedding", "codes")).alias("q")).select("vec_id", "q.*"))
+    queries = cut(blocks(asked.repartition(max(1, -(-asked.count() // block))), quantiser.dim, block))
+    near = block_pairs(queries.select(F.col("ids").alias("query_ids"), "matrix"), blocks(indexed, quantiser.dim, BLOCK_ROWS), "ids")
+    found = near.select("query_ids", "query_matrix", "ids", "matrix", "codes").mapInArrow(_scan(quantiser, k, rerank, share), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _scan(indexed: DataFrame, queries: pa.Table, quantiser: Quantiser, k: int, rerank: int, share: float, held_bytes: int = 1 << 26) -> DataFrame:
-    column = queries.column("embedding")
-    column = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
-    rows, unit = _vectors(column, quantiser.dim) if len(column) else (np.zeros(0, np.int64), np.zeros((0, quantiser.dim)))
-    ids = queries.column("vec_id").to_numpy()[rows].astype(np.int64)
-    ids, first = np.unique(ids, return_index=True)
-    sent = indexed.sparkSession.sparkContext.broadcast((ids, unit[first]))
+def _scan(quantiser: Quantiser, k: int, rerank: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each pair of blocks' (query_id, vec_id, score): the k best of the vectors for each of the queries."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = sent.value
-        best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def compare() -> None:
-            """The vectors so far with all queries: all of a task's, but for partitions of more than ``held_bytes``."""
-            own, vectors, codes = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(own, kind="stable")
-            own, vectors, codes = own[order], vectors[order], codes[order]
-            chunk, some = max(1, (1 << 22) // max(len(own), 1)), max(rerank, int(np.ceil(share * len(own))))
-            for lo in range(0, len(ids), chunk):
-                part = slice(lo, lo + chunk)
-                _merge(best, part, ids[part], own, *_nearest(quantiser, ids[part], unit[part], own, vectors, codes, some), k)
-            held.clear()
-
-        for batch in batches:
-            own = batch.column(0).to_numpy().astype(np.int64)
-            held.append((own, _vectors(batch.column(1), quantiser.dim)[1], np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(own), -1)))
-            if sum(v.nbytes for _, v, _ in held) > held_bytes:
-                compare()
-        if held and sum(len(x) for x, _, _ in held):
-            compare()
+    def pair(asked: bytes, query: bytes, ids: bytes, matrix: bytes, codes: bytes) -> pa.RecordBatch:
+        asked, own = np.frombuffer(asked, "<i8"), np.frombuffer(ids, "<i8")
+        unit, vectors, codes = np.frombuffer(query, "<f8").reshape(len(asked), -1), np.frombuffer(matrix, "<f8").reshape(len(own), -1), np.frombuffer(codes, np.uint8).reshape(len(own), -1)
+        best = np.full((len(asked), k), -np.inf), np.full((len(asked), k), np.iinfo(np.int64).max)
+        # The chunk's sums take 32 MB and its tables 64 MB at most.
+        chunk = max(1, min((1 << 22) // len(own), (1 << 23) // (256 * codes.shape[1])))
+        some = max(rerank, int(np.ceil(share * len(own))))
+        for lo in range(0, len(asked), chunk):
+            part = slice(lo, lo + chunk)
+            _merge(best, part, own, *_nearest(quantiser, asked[part], unit[part], own, vectors, codes, some), k)
         scores, near = best
         q, r = np.nonzero(np.isfinite(scores))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(near[q, r]), pa.array(scores[q, r])], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(asked[q]), pa.array(near[q, r]), pa.array(scores[q, r])], ["query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pair(*(c[i].as_py() for c in batch.columns))
 
-    return indexed.mapInArrow(run, "query_id long, vec_id long, score double")
+    return run
 
 
 def _nearest(quantiser, ids, unit, own, vectors, codes, rerank) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +249,7 @@ def _nearest(quantiser, ids, unit, own, vectors, codes, rerank) -> tuple[np.ndar
     return places, exact
 
 
-def _merge(best, part, ids, own, places, exact, k) -> None:
+def _merge(best, part, own, places, exact, k) -> None:
     scores = np.concatenate((best[0][part], exact), axis=1)
     near = np.concatenate((best[1][part], own[places]), axis=1)
     order = np.lexsort((near, -scores), axis=-1)[:, :k]
