@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..cluster import cut
-from .common import SPACE, n_words
+from .common import n_words
 
 
 @dataclass(frozen=True)
@@ -45,13 +45,10 @@ class LineLimits:
     broadcast_lines: int = 200_000
 
 
-def normal_line(c):
-    return F.lower(F.trim(F.regexp_replace(c, f"[{SPACE}]+", " ")))
-
-
 def _hashes(text):
-    """The lines' hashes; null for a line without a word."""
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.when(normal_line(x) != "", F.xxhash64(normal_line(x))))
+    """The lines' hashes, each line normalised once; null for a line without a word."""
+    spaced = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09\\x0B-\\x0D]+", " "))
+    return F.transform(F.transform(F.split(spaced, "\n"), F.trim), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
 def frequent_lines(docs: DataFrame, text: str = "text", host: str = "host", limits: LineLimits = LineLimits()) -> DataFrame:
