@@ -182,6 +182,28 @@ def test_repeats_against_brute_force(spark, seed, hot, stripe, frequent):
         cores, is_hot = suffix_index._frequent_cores(docs.select(F.col("text").cast("binary")), 60, 20, 5, hot)
         assert len(cores) > 1 and is_hot.any() == (hot == 9)
     assert Counter((r["row"]["doc_id"], bytes(r["kept"] or b""), r["n_bytes"], len(r["spans"])) for r in got) == Counter((d, *w) for (d, _), w in zip(rows, want))
+    small = suffix_index.without_repeats(docs, length=60, core=20, batch=7, hot=hot, stripe=stripe, frequent=frequent, family=20).collect()
+    assert Counter(map(str, small)) == Counter(map(str, got))  # families that end every few groups
+
+
+def test_families_end_with_groups():
+    """A full family ends where the next group begins: none holds more than ``most`` contexts, one group and a batch, and no repeat is lost."""
+    import pyarrow as pa
+
+    rng, sizes = np.random.default_rng(3), []
+    groups = np.sort(rng.integers(-2048, 2048, 4000))
+    cores = (groups << suffix_index.GROUP_BITS) + rng.integers(0, 3, 4000)
+    rows = [(i, i, 100, int(c), 10, 6, bytes([int(c) % 3]) * 10 + b"before") for i, c in enumerate(cores)] + [(1, 2, 30, 5, 9, None, None)]
+    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[lo : lo + 90]), types)], ["k1", "k2", "at", "core", "n_after", "n_before", "context"]) for lo in range(0, len(rows), 90)]
+    for most in (200, 1 << 18):
+        own = [b.to_pylist() for b in suffix_index._found_spans(iter(batches), 10, 6, 50, most)]
+        found = [r for b in own for r in b]
+        sizes.append((max(map(len, own)), len(own)))
+        assert {"k1": 1, "k2": 2, "start": 30, "stop": 39} in found
+        again = Counter(cores.tolist())
+        assert {r["k1"] for r in found if r["k1"] == r["k2"]} >= {i for i, c in enumerate(cores.tolist()) if again[c] > 1}
+    assert sizes[0][0] <= 400 and sizes[0][1] > 10 and sizes[1][1] == 2
 
 
 def test_repeats_edges(docs, texts):

@@ -13,7 +13,8 @@ sees only those bytes, so two equal strings of ``length`` bytes have a sampled p
    A task sends equal contexts once; that they are equal settles their own places at once.
 3. Contexts are dealt out by core. Each task keeps a family of sorted levels: a new batch gets its suffix array, is
    merge-scanned with the suffixes of all levels that share a core with it, and becomes a level; levels of equal size merge,
-   so there are about log2(batches) of them.
+   so there are about log2(batches) of them. Contexts come by group of cores, and a family that is full ends with its group, so
+   that memory doesn't grow with the partition.
 4. A scan orders the contexts by what follows and, reversed, by what precedes, with the lengths of common prefixes of
    neighbours. Strings that start x bytes before their places are equal if and only if their places fall into the same
    class of both orders: neighbours that share length - x bytes, and neighbours that share x. The smallest and largest such x give
@@ -46,6 +47,8 @@ from .common import free_memory
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A core's group is what is above these bits: 4096 groups.
+GROUP_BITS = 52
 
 
 class Sampler:
@@ -386,33 +389,56 @@ def _sent_contexts(batches: Iterator[pa.RecordBatch], length: int, before: int,
     free_memory()
 
 
-def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, size: int) -> Iterator[pa.RecordBatch]:
-    """What goes, (k1, k2, start, stop), by all contexts of a task, and the spans that were settled before."""
-    family, names, waiting, rows = Family(length, before), [], [], 0
+def _group(core):
+    """A core's group: a task gets its contexts group by group, and a family ends with a group."""
+    return F.shiftright(core, GROUP_BITS)
+
+
+def _found_spans(batches: Iterator[pa.RecordBatch], length: int, before: int, size: int, most: int) -> Iterator[pa.RecordBatch]:
+    """What goes, (k1, k2, start, stop), by all contexts of a task, which come by group of cores, and the spans that were settled before.
+
+    A family that has ``most`` contexts ends with the group that it is in, so a task holds no more than those, one group's and a batch.
+    """
+    family, names, waiting, rows, held, last = Family(length, before), [], [], 0, 0, None
 
     def take() -> None:
+        nonlocal waiting, rows
         t = pa.Table.from_batches(waiting)
         block = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint8).reshape(-1, length + before)
         family.add(t.column(3).to_numpy(), block[:, :length], block[:, length:], t.column(4).to_numpy(), t.column(5).to_numpy())
         names.append([t.column(c).to_numpy() for c in range(3)])
+        waiting, rows = [], 0
+
+    def ended() -> pa.RecordBatch:
+        nonlocal family, names, held
+        if rows:
+            take()
+        k1, k2, at = (np.concatenate(x) for x in zip(*names))
+        hit = family.last >= 0
+        found = pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[hit], k2[hit], (at - family.last)[hit], (at + length - family.first)[hit])], ["k1", "k2", "start", "stop"])
+        family, names, held = Family(length, before), [], 0
+        return found
 
     for b in batches:
         there = b.column(6).is_valid()
-        done = b.filter(pa.compute.invert(there))
+        done, b = b.filter(pa.compute.invert(there)), b.filter(there)
         if done.num_rows:
             sizes = done.column(4).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*done.columns[:3], pa.compute.add(done.column(2), sizes)], ["k1", "k2", "start", "stop"])
-        waiting.append(b.filter(there))
-        rows += waiting[-1].num_rows
+        group = b.column(3).to_numpy() >> GROUP_BITS
+        if held >= most and b.num_rows and group[-1] != last:
+            past = int(np.argmax(group != last))
+            waiting.append(b.slice(0, past))
+            rows += past
+            yield ended()
+            b = b.slice(past)
+        if b.num_rows:
+            waiting.append(b)
+            rows, held, last = rows + b.num_rows, held + b.num_rows, group[-1]
         if rows >= size:
             take()
-            waiting, rows = [], 0
-    if rows:
-        take()
-    if names:
-        k1, k2, at = (np.concatenate(x) for x in zip(*names))
-        hit = family.last >= 0
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[hit], k2[hit], (at - family.last)[hit], (at + length - family.first)[hit])], ["k1", "k2", "start", "stop"])
+    if held:
+        yield ended()
     del family
     free_memory()
 
@@ -429,12 +455,12 @@ def _without(text: bytes, found: list[dict]) -> tuple[bytes, list[dict]]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])), runs
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 100_000, stripe: int = 8, frequent: int = 1000, as_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 200, core: int = 48, batch: int = 1 << 14, hot: int = 100_000, stripe: int = 8, frequent: int = 1000, family: int = 1 << 18, as_text: bool = False) -> DataFrame:
     """``(row, n_bytes, kept, spans)`` for every row.
 
     row has the other columns, kept the bytes that stay (null for a null text; with ``as_text`` the whole characters among them), and
     spans the maximal runs (start, stop) of bytes that go, in order. ``frequent`` is the least number of places from which on a core's
-    are dealt out one by one.
+    are dealt out one by one, and ``family`` the number of contexts (352 bytes each) from which on a task's family ends.
     """
     before, n, keys = length - core, partitions(docs), ["k1", "k2"]
     own = docs.select(F.xxhash64(doc_id).alias("k1"), F.xxhash64(text).alias("k2"), F.struct(*(c for c in docs.columns if c != text)).alias("row"), F.col(text).cast("binary").alias("bytes"))
@@ -445,8 +471,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_doc = repeated.groupBy(*keys).agg(F.collect_set(2 * F.col("at") + F.col("hot").cast("bigint")).alias("places"))
 
     joined = own.join(by_doc, keys).select(*keys, "row", "bytes", "places")
-    context = joined.mapInArrow(lambda x: _sent_contexts(x, length, before, stripe), f"{place}, n_after int, n_before int, context binary").repartition(n, "core")
-    gone = context.mapInArrow(lambda x: _found_spans(x, length, before, batch), "k1 long, k2 long, start long, stop long")
+    context = joined.mapInArrow(lambda x: _sent_contexts(x, length, before, stripe), f"{place}, n_after int, n_before int, context binary").repartition(n, "core").sortWithinPartitions(_group(F.col("core")))
+    gone = context.mapInArrow(lambda x: _found_spans(x, length, before, batch, family), "k1 long, k2 long, start long, stop long")
     # Rows with equal ids and texts have one key and find the same spans: each is kept once.
     by_doc = gone.groupBy(*keys).agg(F.collect_set(F.struct("start", "stop")).alias("found"))
 
