@@ -80,3 +80,12 @@ def test_model_folders(spark, tmp_path, monkeypatch):
     assert models.device() == "cpu"
     monkeypatch.setenv(models.DEVICE, "cuda:1")
     assert models.device() == "cuda:1"
+
+
+def test_page_ids_too_large_for_chunk_numbers_raise(spark):
+    most = 1 << 63 - ingest.PLACE_BITS
+    number = lambda page: ingest._numbered(spark.createDataFrame([(page, 3)], "page_id long, chunk_id long")).first()["chunk_idx"]
+    assert [number(p) for p in (-most, -1, 0, most - 1)] == [p * (1 << ingest.PLACE_BITS) + 3 for p in (-most, -1, 0, most - 1)]
+    for page in (-most - 1, most):
+        with pytest.raises(Exception, match="too large"):
+            number(page)

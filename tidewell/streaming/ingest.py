@@ -39,7 +39,8 @@ def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _numbered(chunks: DataFrame) -> DataFrame:
-    fits = (F.col("page_id") < (1 << 63 - PLACE_BITS)) & (F.col("chunk_id") < (1 << PLACE_BITS))
+    most = 1 << 63 - PLACE_BITS
+    fits = F.col("page_id").between(-most, most - 1) & (F.col("chunk_id") < (1 << PLACE_BITS))
     number = F.when(fits, F.shiftleft("page_id", PLACE_BITS) + F.col("chunk_id")).otherwise(F.raise_error(F.lit("page id or place is too large")).cast("bigint"))
     return chunks.withColumn("chunk_idx", number)
 
