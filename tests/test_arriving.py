@@ -89,3 +89,11 @@ def test_page_ids_too_large_for_chunk_numbers_raise(spark):
     for page in (-most - 1, most):
         with pytest.raises(Exception, match="too large"):
             number(page)
+
+
+def test_a_local_model_folder_goes_as_an_archive(spark, tmp_path):
+    """Spark sends no local folders on a cluster."""
+    folder = models.fit_buckets(spark.createDataFrame([("a cat",)], "t string"), "t", str(tmp_path / "sent-buckets"), 8)
+    shipped = models.ship(spark, f"file://{folder}", models.BucketModel.FILES)
+    assert any(x.endswith("#sent-buckets") for x in spark.sparkContext.listArchives)
+    assert spark.range(1).select(dense.embed_column(shipped.loader(models.BucketModel))(F.lit("a cat")).alias("e")).first()["e"] == models.BucketModel(folder)(["a cat"])[0].tolist()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import TypeVar
@@ -45,14 +47,22 @@ class ModelFolder:
 
 
 def ship(spark: SparkSession, folder: str, needs: tuple[str, ...] = ()) -> ModelFolder:
-    """Sends a folder, from the driver's disk or a store, to all workers. Raises now, and not in a task, if it or a needed file is missing."""
+    """Sends a folder, from the driver's disk or a store, to all workers. Raises now, and not in a task, if it or a needed file is missing.
+
+    A folder of the driver's disk goes as an archive, which Spark unpacks for each executor: it sends no local folders on a cluster.
+    """
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     for name in ("", *needs):
         at = hadoop.Path(f"{folder}/{name}" if name else folder)
         if not at.getFileSystem(conf).exists(at):
             raise FileNotFoundError(f"model folder {folder} has no {name}" if name else f"no model folder {folder}")
-    spark.sparkContext.addFile(folder, recursive=True)
-    return ModelFolder(folder.rstrip("/").rpartition("/")[2])
+    name, at = folder.rstrip("/").rpartition("/")[2], hadoop.Path(folder)
+    if at.getFileSystem(conf).getUri().getScheme() == "file":
+        packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", at.toUri().getPath())
+        spark.sparkContext.addArchive(f"{packed}#{name}")
+    else:
+        spark.sparkContext.addFile(folder, recursive=True)
+    return ModelFolder(name)
 
 
 class BucketModel:
