@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 from tidewell.operators import dense
+from tidewell.plans import queries
 from tidewell.plans.engine import BuildMetrics, Engine
 from tidewell.plans.queries import QUERIES
+from tidewell.sources import corpus
 
 
 def test_overlaps_of_every_page(spark, tmp_path):
@@ -76,3 +78,17 @@ def test_relevance_of_short_items(spark, tmp_path):
     spark.createDataFrame([(10, "a b c d e f"), (11, "z b c"), (12, "x"), (13, "b d c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["qrels"](spark, str(tmp_path)).collect()
     assert sorted((r["qid"], r["page_id"]) for r in got) == [(1, 10), (1, 11), (2, 12), (3, 10)]
+
+
+def test_page_files_in_subfolders_are_listed_one_by_one(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("json_pages_scan", "json_page_rejects", "page_listing")
+    rows = lambda: [sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in names]
+    want = rows()
+    listed = []
+    own = corpus._names
+    monkeypatch.setattr(corpus, "_names", lambda spark, prefix, files: listed.append((prefix, len(files.inputFiles()))) or own(spark, prefix, files))
+    monkeypatch.setattr(queries, "PER_FOLDER", 10)
+    assert rows() == want and len(want[0]) == 60
+    assert {p for p, _ in listed} == {f"part={i}/" for i in range(7)} and max(n for _, n in listed) < 30
