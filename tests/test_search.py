@@ -189,3 +189,23 @@ def test_stream_appends(spark, pages, tmp_path):
     whole = Engine.build(pages)
     assert index.n == 5 and round(index.avgdl, 9) == round(whole.index.avgdl, 9)
     assert Engine(spark, chunks, index, vectors).run(["blue fish", "birds"]) == whole.run(["blue fish", "birds"])
+
+
+def test_legacy_bundle_in_several_files(spark, small, tmp_path, monkeypatch):
+    """Beyond a size the bundle is several files, which end to end are one JSON object."""
+    monkeypatch.setattr(artifacts, "FILE_ENTRIES", 4)
+    index = lexical.build(small)
+    artifacts.write_legacy(str(tmp_path / "b.json"), small, index)
+    parts = sorted((tmp_path / "b.json").glob("part-*"))
+    bundle = json.loads("".join(p.read_text() for p in parts))
+    assert len(parts) > 3 and bundle["chunk_lengths"] == [3, 2, 1] and [c["page_id"] for c in bundle["chunks"]] == [0, 1, 2] and sorted(bundle["postings"]) == ["a", "b", "c"]
+    chunks, old = artifacts.read_legacy(spark, str(tmp_path / "b.json"))
+    rows = lambda df: sorted(map(tuple, df.select("term", "chunk_idx", "page_id", "length", "tf").collect()))
+    assert rows(old.postings) == rows(index.postings) and [r["page_id"] for r in chunks.orderBy("chunk_idx").collect()] == [0, 1, 2]
+
+
+def test_live_postings_are_joined_once(spark, pages, tmp_path):
+    ingest.append(pages, 0, str(tmp_path), embedder=None)
+    ingest.append(pages.limit(1), 1, str(tmp_path), embedder=None)
+    _, index, _ = ingest.opened(spark, str(tmp_path), with_dense=False)
+    assert "Join" not in index.postings._jdf.queryExecution().executedPlan().toString() and index.n == 5

@@ -1,3 +1,5 @@
+import re
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -52,3 +54,14 @@ def test_titled(spark):
 def test_first_tokens(spark):
     texts = [" a  b\n\tc d", "a b", " x ", "", None, "\x1c one　two three four"]
     assert _column(spark, texts, lambda c: tx.first_tokens(c, 3)) == [["a", "b", "c"], ["a", "b"], ["x"], [], [], ["one", "two", "three"]]
+
+
+def test_squeezing_and_paragraphs_of_odd_white_space(spark):
+    """What is white space to Python is white space here; a single space is none to replace."""
+    space = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+    texts = [f"a{x}b{x}{y} c {x}" for x in space for y in (" ", "\n", "　")] + [space, "", " a  b ", "\r\n\r\n a\r\rb \n \n\nc\n", "é à"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.squeeze(F.col("t")).alias("s"), tx.paragraphs(F.col("t")).alias("p")).collect()
+    for r in rows:
+        assert r["s"] == " ".join(r["t"].split())
+        unix = r["t"].replace("\r\n", "\n").replace("\r", "\n").strip()
+        assert r["p"] == [x for x in (" ".join(p.split()) for p in re.split(r"\n\s*\n+", unix)) if x]

@@ -62,3 +62,37 @@ def test_few_and_many_queries_meet_all_vectors(spark, monkeypatch):
         assert sorted((r["qid"], r["rank"], r["chunk_idx"], r["page_id"], r["score"]) for r in got.collect()) == want
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_by_blocks_of_chunks(spark, corpus, monkeypatch):
+    """The matrix of queries gives what the join gives, however small a task's blocks are, and nothing is aggregated by query and chunk."""
+    index = lexical.build(corpus)
+    asked = [(f"q{i}", f"w0 w{i} w{7 * i} tied") for i in range(30)] + [("none", "nowhere"), ("empty", "")]
+    queries = spark.createDataFrame(asked, "qid string, query string")
+    rows = lambda df: sorted(map(tuple, df.select("qid", "chunk_idx", "page_id", "score").collect()))
+    monkeypatch.setattr(lexical, "MATRIX", 0)
+    want, best = rows(lexical.scores(queries, index)), rows(lexical.best(queries, index, 7))
+    monkeypatch.setattr(lexical, "MATRIX", 4000)
+    monkeypatch.setattr(lexical, "SCORED", 100)
+    found = lexical.scores(queries, index)
+    assert rows(found) == want and rows(lexical.best(queries, index, 7)) == best
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_index_is_kept_as_columns(spark, corpus):
+    """Chunks and postings are tables, whose columns compress, and not the rows of a checkpoint."""
+    index = lexical.build(corpus)
+    for table in (index.postings, index.vocab):
+        assert table.inputFiles() and "Scan parquet" in table._jdf.queryExecution().executedPlan().toString()
+    terms = {(r["term"], r["chunk_idx"]): (r["length"], r["tf"]) for r in index.postings.collect()}
+    want = {(t, r["chunk_idx"]): (len(w), w.count(t)) for r in corpus.collect() for w in [r["chunk_text"].split()] for t in w}
+    assert terms == want
+
+
+def test_few_queries_are_one_matrix(spark):
+    """Vectors stream past them as they are: no block of theirs is a row beside a copy of the queries."""
+    rows = spark.createDataFrame([(i, i, [float(i % 5), 1.0]) for i in range(50)], "chunk_idx long, page_id long, embedding array<double>")
+    got = dense.search(rows.where("chunk_idx < 3").select(F.col("chunk_idx").alias("qid"), "embedding"), rows, 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "matrix" not in plan
+    assert [r["chunk_idx"] for r in got.where("qid = 1").orderBy("rank").collect()] == [4, 9, 14, 19]
