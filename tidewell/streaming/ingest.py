@@ -10,7 +10,7 @@ those that it was made of, so a crash at any point leaves a readable index, a ba
 found covered, and readers of covered levels go on until ``vacuum``.
 
 A chunk's number is its page's id and its place in the page, so numbers never change and are in the order of a build from the
-last state. Rows that are live are told by a join of narrow page ids when the index is opened.
+last state. Rows that aren't live are told by a join of the replaced pages' narrow ids when the index is opened, and its live postings are kept.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..cluster import small_side
+from ..cluster import kept, small_side
 from ..functions import text as tx
 from ..operators import chunking, dense, lexical
 from ..plans.config import BM25Config, ChunkConfig
@@ -29,6 +29,8 @@ from ..sources.corpus import PAGE
 
 #: A chunk's place takes so many bits of its number.
 PLACE_BITS = 20
+#: Ids of replaced pages that are sent to every task; more are joined by a shuffle of what they are taken from.
+PAGES_SENT = 2_000_000
 TABLES = ("chunks", "postings", "dense", "pages")
 
 
@@ -103,7 +105,7 @@ def merge(spark: SparkSession, folder: str, with_dense: bool = True) -> None:
         tables = {}
         for table in TABLES:
             if table != "dense" or with_dense:
-                kept = _read(spark, folder, table, old).join(small_side(gone), "page_id", "left_anti")
+                kept = _read(spark, folder, table, old).join(small_side(gone, PAGES_SENT), "page_id", "left_anti")
                 tables[table] = kept.unionByName(_read(spark, folder, table, new))
         _write(spark, folder, _name(_span(old)[0], _span(new)[1]), tables)
 
@@ -139,9 +141,10 @@ def opened(spark: SparkSession, folder: str, config: BM25Config = BM25Config(),
     if len(names) == 1:
         live = lambda table: all_of(table).drop("_level")
     else:
-        owners = all_of("pages").groupBy("page_id").agg(F.max("_level").alias("_level"))
-        live = lambda table: all_of(table).join(small_side(owners), ["page_id", "_level"], "left_semi").drop("_level")
-    chunks, postings = live("chunks"), live("postings")
+        seen = all_of("pages").groupBy("page_id").agg(F.sort_array(F.collect_set("_level"), False).alias("levels"))
+        dead = small_side(kept(seen.where("size(levels) > 1").select("page_id", F.explode(F.slice("levels", 2, len(names))).alias("_level"))), PAGES_SENT)
+        live = lambda table: all_of(table).join(dead, ["page_id", "_level"], "left_anti").drop("_level")
+    chunks, postings = live("chunks"), live("postings") if len(names) == 1 else kept(live("postings"))
     n, words = chunks.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     index = lexical.LexicalIndex.of(postings, n, words / n if n else 0.0, config)
     return chunks, index, live("dense") if with_dense else None
