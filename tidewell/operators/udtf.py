@@ -10,14 +10,13 @@ Rows go to the workers in Arrow batches; a page's chunks are made one by one, so
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
 from ..plans.config import ChunkConfig
-from .chunking import stream_chunks
+from .chunking import paragraph_words, stream_chunks
 
 _CHUNK = "chunk_id bigint, title string, chunk_text string, paragraph_index bigint, subchunk_index bigint"
 
@@ -26,15 +25,9 @@ def squeeze(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def paragraphs(text: str | None) -> list[str]:
-    """Squeezed paragraphs, which blank lines part."""
-    unix = re.sub("\r\n?", "\n", text or "").strip()
-    return [p for p in map(squeeze, re.split(r"\n\s*\n+", unix)) if p]
-
-
 def _chunks(title: str | None, content: str | None) -> Iterator[tuple]:
     title = squeeze(title)
-    for i, (text, paragraph, part) in enumerate(stream_chunks(paragraphs(content), ChunkConfig())):
+    for i, (text, paragraph, part) in enumerate(stream_chunks(paragraph_words(content or ""), ChunkConfig())):
         yield i, title, text, paragraph, part
 
 
