@@ -19,8 +19,7 @@ def main(args: list[str]) -> int:
     began = time.time()
     if args[0] == "build":
         metrics = BuildMetrics()
-        engine = Engine.build(corpus.scan_pages(spark, args[1]), order=("src_file",), metrics=metrics)
-        metrics.timed("writing", lambda: engine.save(args[2]))
+        Engine.build(corpus.scan_pages(spark, args[1]), order=("src_file",), metrics=metrics, folder=args[2])
         print(metrics.line())
     elif args[0] == "search":
         for text, pages in zip(args[2:], Engine.open(spark, args[1]).run(args[2:])):
